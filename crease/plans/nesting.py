@@ -256,3 +256,69 @@ def player_match_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = g.select(_s("o_custkey").alias("playerId"),
                     F.transform("ms", lambda x: x.dropFields("k")).alias("matchBattingStatsList"))
     return _json(docs, "playerId", "matchBattingStatsList")
+
+
+def squad_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per order; its lines' suppliers form the squad (status F = playing XI)."""
+    li = read_base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus")
+    s = read_base(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    j = li.join(s, li.l_suppkey == s.s_suppkey)
+    g = (j.groupBy("l_orderkey")
+         .agg(F.array_sort(F.collect_list(F.struct(
+             "l_linenumber", "l_suppkey",
+             F.struct(F.col("s_name").alias("name"),
+                      F.when(F.col("l_linestatus") == "F", "Playing XI").otherwise("Bench").alias("playingRole"))
+             .alias("p")))).alias("ps")))
+    docs = g.select(_s("l_orderkey").alias("matchId"),
+                    F.array(F.struct(F.transform("ps", lambda x: x["p"]).alias("players"))).alias("team"))
+    return _json(docs, "matchId", "team")
+
+
+RANKING_FORMATS = ("test", "odi", "t20")
+
+
+def ranking_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking lists per format, up to DOC_CHUNK players per document."""
+    c = read_base(spark, sf_dir, "customer")
+    n = read_base(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
+    fmt = F.element_at(F.array(*[F.lit(x) for x in RANKING_FORMATS]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    g = (j.groupBy(fmt.alias("formatType"), F.floor(F.col("c_custkey") / DOC_CHUNK).alias("doc"))
+         .agg(F.sort_array(F.collect_list(F.struct(
+             "c_custkey", F.struct(_s("c_custkey").alias("id"), F.col("c_name").alias("name"),
+                                   F.col("n_name").alias("country"),
+                                   _s(F.floor("c_acctbal")).alias("rating")).alias("r")))).alias("rs")))
+    return _json(g.select("formatType", F.transform("rs", lambda x: x["r"]).alias("rank")), "formatType", "rank")
+
+
+STAT_HEADERS = ("Format", "Runs", "Wickets", "Average")
+
+
+def stat_matrix_docs(t: TableSet) -> DataFrame:
+    """Per player a header row and one value row per format."""
+    pfs = t["player_format_summary"]
+    g = (pfs.groupBy("player_id")
+         .agg(F.sort_array(F.collect_list(F.struct(
+             "format", F.struct(F.array(F.col("format"), _s("total_runs"), _s("total_wickets"),
+                                        _s("batting_average")).alias("values")).alias("v")))).alias("vs")))
+    docs = g.select(_s("player_id").alias("playerId"),
+                    F.array(*[F.lit(h) for h in STAT_HEADERS]).alias("headers"),
+                    F.transform("vs", lambda x: x["v"]).alias("values"))
+    return _json(docs, "playerId", "headers", "values")
+
+
+def news_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories from the event log, up to DOC_CHUNK per document."""
+    e = read_base(spark, sf_dir, "events")
+    story = F.struct(
+        F.col("event_type").alias("hline"),
+        F.concat(F.lit("user "), _s("user_id")).alias("context"),
+        _s(F.unix_millis(F.col("ts").cast("timestamp"))).alias("pubTime"),
+        F.col("props").alias("intro"),
+        F.struct(F.when(F.col("value") > 50, F.concat(F.lit("value "), _s(F.floor("value")))).alias("caption"))
+        .alias("coverImage"))
+    g = (e.groupBy(F.floor(F.col("event_id") / DOC_CHUNK).alias("doc"))
+         .agg(F.sort_array(F.collect_list(F.struct("event_id", F.struct(story.alias("story")).alias("item"))))
+              .alias("items")))
+    return _json(g.select(_s("doc").alias("playerId"), F.transform("items", lambda x: x["item"]).alias("storyList")),
+                 "playerId", "storyList")

@@ -311,16 +311,22 @@ SELECT player_id AS "ID", full_name AS "Name", country AS "Team", playing_role A
 
 
 def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from crease.plans.product_queries import product_queries
+
     def norm(fn):
         def run(spark: SparkSession, d: str) -> DataFrame:
             return normalize_types(fn(spark, d))
         run.__name__ = fn.__name__
         return run
-    return {k: norm(v) for k, v in _QUERIES.items()}
+    out = {k: norm(v) for k, v in _QUERIES.items()}
+    out.update(product_queries())
+    return out
 
 
 def operator_oracles() -> dict[str, str]:
-    out = {}
+    from crease.plans.product_queries import product_oracles
+
+    out = dict(product_oracles())
     for k, sql in _ORACLES.items():
         out[k] = with_tables(sql)
     return out
