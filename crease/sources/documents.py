@@ -60,16 +60,15 @@ def read_documents(spark: SparkSession, path: str, schema: StructType, on_error:
                    multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read landed JSON documents with an explicit schema.
 
-    Returns (documents, rejected) like `parse_documents`.  Spark's JSON reader
-    splits files across tasks (line-delimited) and never infers the schema.
+    Returns (documents, rejected) like `parse_documents`.  Files are read as
+    text: line-delimited files split across tasks, one document per line;
+    `multi_line=True` reads one document per file.  Parsing is `from_json`
+    against the explicit schema, never inference.
     """
-    reader = spark.read.option("multiLine", str(multi_line).lower())
-    if on_error == "fail":
-        docs = reader.options(**_options("fail")).schema(schema).json(path)
-        return docs, docs.limit(0)
-    docs = reader.options(**_options("skip")).schema(_with_corrupt(schema)).json(path)
-    bad = F.col(CORRUPT).isNotNull()
-    return docs.filter(~bad).drop(CORRUPT), docs.filter(bad).select(F.col(CORRUPT).alias("raw"))
+    text = spark.read.option("wholetext", str(multi_line).lower()).text(path)
+    if not multi_line:
+        text = text.where(F.trim(F.col("value")) != "")
+    return parse_documents(text, "value", schema, on_error)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
