@@ -471,7 +471,12 @@ def q25_quarterly_trend(tables: Tables, min_rows: int = 3) -> DataFrame:
               avg_int_exact("runs_scored").alias("avg_runs"),
               F.avg("strike_rate").alias("avg_sr"))
          .filter(F.col("n") >= min_rows)
-         .withColumn("quarter_index", F.col("year") * 4 + F.col("quarter")))
+         .withColumn("quarter_index", F.col("year") * 4 + F.col("quarter"))
+         # one range exchange on player_id serves both the per-player window
+         # (clustered on player_id) and the final ORDER BY player_id, quarter
+         # (a range partitioning on a prefix of the sort keys), so neither
+         # needs its own shuffle
+         .repartitionByRange("player_id"))
     w = Window.partitionBy("player_id").orderBy("quarter_index")
     prev_qi = F.lag("quarter_index").over(w)
     prev_sr = F.lag("avg_sr").over(w)
