@@ -286,7 +286,7 @@ def extract_partnerships(docs: DataFrame) -> DataFrame:
     inn = _detailed_innings(docs)
     p = inn.select("match_id", parse_int("inn.inningsId").alias("innings_number"),
                    F.explode(F.coalesce(F.col("inn.partnerships"), F.array())).alias("p"))
-    b1, b2 = F.element_at("p.batsmen", 1), F.element_at("p.batsmen", 2)
+    b1, b2 = F.try_element_at("p.batsmen", F.lit(1)), F.try_element_at("p.batsmen", F.lit(2))
     out = (p.where(F.size("p.batsmen") >= 2)
            .select("match_id", "innings_number",
                    parse_long(b1.getField("id")).alias("player1_id"),

@@ -100,7 +100,7 @@ def stat_matrix(docs: DataFrame) -> DataFrame:
     cells = rows.select("playerId", (F.col("row_no") + 1).alias("row_no"), "headers",
                         F.posexplode(F.coalesce(F.col("v.values"), F.array())).alias("col_no", "value"))
     return cells.select("playerId", "row_no", (F.col("col_no") + 1).alias("col_no"),
-                        F.element_at("headers", F.col("col_no") + 1).alias("header"), "value") \
+                        F.try_element_at("headers", (F.col("col_no") + 1).cast("int")).alias("header"), "value") \
         .where(F.col("header").isNotNull())
 
 

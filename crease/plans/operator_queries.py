@@ -118,6 +118,24 @@ def q_new_rows(spark: SparkSession, d: str) -> DataFrame:
     return new_rows(t["player_match"], t["player_recent_form"], ["player_id", "match_date"], null_safe=True)
 
 
+def q_ingest_all(spark: SparkSession, d: str) -> DataFrame:
+    """All scorecards and career documents -> five stored tables; report rows per table."""
+    from crease.plans.product_queries import scratch_dir
+    from crease.sources.tables import load_table
+
+    t = fixture_tables(spark, d)
+    bat, bowl = N.career_docs(spark, d, t)
+    out = scratch_dir(spark, "ingest")
+    reports = I.ingest_all(_docs(N.detailed_docs(t), "detailed_scorecard"), _docs(bat, "career"),
+                           _docs(bowl, "career"), out)
+    counts = [load_table(spark, out, r.table).agg(F.count(F.lit(1)).alias("stored_rows"))
+              .select(F.lit(r.table).alias("table_name"), "stored_rows") for r in reports]
+    result = counts[0]
+    for c in counts[1:]:
+        result = result.unionByName(c)
+    return result
+
+
 # ---------------------------------------------------------------------------
 # constraints and change sets
 # ---------------------------------------------------------------------------
@@ -162,6 +180,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i16_extract_fielding": q_extract_fielding,
     "i17_extract_partnerships": q_extract_partnerships,
     "i18_merge_format_summary": q_merge_format_summary,
+    "i19_ingest_all": q_ingest_all,
     "c1_check_unique": q_check_unique,
     "c2_check_reference": q_check_reference,
     "c3_check_types": q_check_types,
@@ -289,6 +308,18 @@ SELECT player_id, format, CAST(total_runs AS BIGINT) AS total_runs, CAST(total_w
        CAST(centuries AS BIGINT) AS centuries, CAST(matches_played AS BIGINT) AS matches_played,
        CAST(innings_played AS BIGINT) AS innings_played
 FROM player_format_summary""",
+    "i19_ingest_all": """
+SELECT 'player_recent_form' AS table_name, CAST(COUNT(*) AS BIGINT) AS stored_rows
+FROM (SELECT DISTINCT player_id, match_id FROM player_recent_form)
+UNION ALL
+SELECT 'fielding_stats', COUNT(*) FROM (SELECT DISTINCT match_id, player_id FROM fielding_stats)
+UNION ALL
+SELECT 'batting_partnerships', COUNT(*) FROM (SELECT DISTINCT match_id, innings_number, player1_id, player2_id,
+                                                 batting_position1, batting_position2 FROM batting_partnerships)
+UNION ALL
+SELECT 'player_format_summary', COUNT(*) FROM player_format_summary
+UNION ALL
+SELECT 'player_quarterly_stats', COUNT(*) FROM player_quarterly_stats""",
     "c1_check_unique": """
 SELECT stat_id, CAST(COUNT(*) AS BIGINT) AS row_count FROM batting_stats
 GROUP BY stat_id HAVING COUNT(*) > 1 OR stat_id IS NULL""",

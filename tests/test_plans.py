@@ -62,3 +62,21 @@ def test_case_insensitive_option(tables):
     a = A.q01_players_by_country(tables, country="nation_7", case_insensitive=True).count()
     b = A.q01_players_by_country(tables, **FIXTURE_PARAMS["q01_players_by_country"]).count()
     assert a == b > 0
+
+
+def test_bucketed_fact_join_needs_no_exchange(spark, tmpdir_path):
+    """Q14's bowling ⨝ matches join on co-bucketed tables reads buckets directly."""
+    from crease.sources.tables import write_bucketed_tables
+    src = fixture_tables(spark, SF_SMALL)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = write_bucketed_tables(spark, src, tmpdir_path, 4,
+                                  ["matches", "bowling_stats", "players", "venues"], prefix="bkt_")
+        df = A.q14_bowling_by_venue(t)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in p
+        assert "hashpartitioning(match_id" not in p
+        assert df.count() == A.q14_bowling_by_venue(src).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
