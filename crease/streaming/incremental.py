@@ -13,12 +13,19 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from crease.operators.keys import dedupe, new_rows
 
+# Largest micro-batch key set that is broadcast to probe the stored table.
+BROADCAST_KEY_ROWS = 2_000_000
+# Files per micro-batch: bounds every batch, including the first one.
+DEFAULT_MAX_FILES_PER_TRIGGER = 1000
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -30,20 +37,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def incremental_load(spark: SparkSession, source: str, schema: StructType, target: str,
                      keys: Sequence[str], order_by: Sequence[str], checkpoint: str,
                      fmt: str = "parquet", glob: str | None = None,
-                     max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the load; with `available_now=True` it processes what is there and stops."""
+                     max_files_per_trigger: int | None = DEFAULT_MAX_FILES_PER_TRIGGER,
+                     available_now: bool = True) -> StreamingQuery:
+    """Start the load; with `available_now=True` it processes what is there and stops.
+
+    Probing the stored table: the batch's keys are counted (one number to
+    the driver); when there are at most BROADCAST_KEY_ROWS of them they are
+    broadcast and semi-joined with the stored keys, so the stored table is
+    only scanned (key column, pruned), never shuffled.  Larger batches fall
+    back to a shuffled anti-join.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(source)
+    keys = list(keys)
 
     def load_batch(batch: DataFrame, _epoch_id: int) -> None:
-        fresh = dedupe(batch, keys, order_by)
-        if _exists(spark, target):
-            fresh = new_rows(fresh, spark.read.schema(batch.schema).parquet(target), keys)
-        fresh.write.mode("append").parquet(target)
+        fresh = dedupe(batch, keys, order_by).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if _exists(spark, target):
+                stored_keys = spark.read.schema(batch.schema).parquet(target).select(*keys)
+                batch_keys = fresh.select(*keys)
+                if batch_keys.count() <= BROADCAST_KEY_ROWS:
+                    present = stored_keys.join(F.broadcast(batch_keys), keys, "left_semi")
+                    out = fresh.join(present, keys, "left_anti")
+                else:
+                    out = new_rows(fresh, stored_keys, keys)
+            else:
+                out = fresh
+            out.write.mode("append").parquet(target)
+        finally:
+            fresh.unpersist()
 
     w = stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
