@@ -7,7 +7,6 @@ Missing keys and JSON nulls both take the source's default (SURVEY 8.10).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -405,6 +404,3 @@ def stub_players(facts: DataFrame, players: DataFrame) -> DataFrame:
                           defaults={"country": UNKNOWN, "playing_role": UNKNOWN,
                                     "batting_style": UNKNOWN, "bowling_style": UNKNOWN})
 
-
-def landing_path(base: str, name: str) -> str:
-    return os.path.join(base, name)

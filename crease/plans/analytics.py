@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crease.functions.semantics import (
-    avg_int_exact, days_back, greatest_strict, least_strict, pct2, quarter_index, round2,
+    avg_int_exact, days_back, greatest_strict, least_strict, pct2, round2,
     safe_div, years_back,
 )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
 from crease.operators.changes import apply_changes, display_players, players_change_set
-from crease.operators.keys import assign_keys, dedupe, ensure_members, new_rows
+from crease.operators.keys import assign_keys, dedupe, new_rows
 from crease.operators.quality import check_types, check_unique, reference_report
 from crease.plans import nesting as N
 from crease.plans.oracle_sql import r2, with_tables

@@ -1,7 +1,6 @@
 """Data products, sinks and the master ingest."""
 
 import json
-import os
 
 from pyspark.sql import functions as F
 
