@@ -335,7 +335,11 @@ def q21_performance_ranking(tables: Tables, preaggregate: bool = False, **weight
     """
     w = dict(RANKING_WEIGHTS)
     w.update(weights)
-    pfs = (tables["player_format_summary"].groupBy("player_id", "format")
+    # The summary holds one row per (player, format), so a partial aggregate
+    # would not shrink it; partitioning it on player_id up front serves both
+    # the (player, format) aggregate and the join with the per-player
+    # fielding totals, which are themselves hash-partitioned on player_id.
+    pfs = (tables["player_format_summary"].repartition("player_id").groupBy("player_id", "format")
            .agg(F.count(F.lit(1)).alias("n_pfs"),
                 F.sum("total_runs").alias("sum_runs"),
                 F.sum("total_wickets").alias("sum_wkts"),
