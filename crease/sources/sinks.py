@@ -47,3 +47,37 @@ def append_rows(df: DataFrame, base_dir: str, table: str, skipped: int = 0, reje
         w = w.partitionBy(*partition_by)
     w.parquet(os.path.join(base_dir, table))
     return LoadReport(table, int(obs.get["rows"]), skipped, rejected)
+
+
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def replace_table(df: DataFrame, base_dir: str, table: str) -> str:
+    """Rewrite a stored table with `df`, which may itself read that table.
+
+    The new version is written next to the table first; only after the write
+    has finished are the folders swapped (current -> `.<table>-previous-<id>`,
+    new -> current), so the path being read is never overwritten and a
+    failure before the swap leaves the current version untouched.  Returns
+    the folder holding the previous version (kept; the caller decides when
+    to drop it).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex[:12]
+    target = os.path.join(base_dir, table)
+    staged = os.path.join(base_dir, f".{table}-new-{tag}")
+    previous = os.path.join(base_dir, f".{table}-previous-{tag}")
+    out = conform(df, table) if table in TABLE_DDL else df
+    out.write.mode("errorifexists").parquet(staged)
+    fs, cur = _fs(spark, target)
+    jvm = spark.sparkContext._jvm
+    if fs.exists(cur) and not fs.rename(cur, jvm.org.apache.hadoop.fs.Path(previous)):
+        raise OSError(f"could not move {target} aside")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), cur):
+        raise OSError(f"could not move {staged} into place (previous version at {previous})")
+    return previous

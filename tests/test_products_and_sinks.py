@@ -127,3 +127,17 @@ def test_ingest_all_rerun_adds_nothing(spark, tmpdir_path):
     assert [r.inserted for r in again] == [0, 0, 0, 0, 0]
     prf = load_table(spark, tmpdir_path, "player_recent_form").first()
     assert prf.is_above_50 is True and str(prf.match_date) == "2023-11-14"
+
+
+def test_replace_table_with_changes_read_from_itself(spark, tmpdir_path):
+    from crease.operators.changes import apply_changes
+    from crease.sources.sinks import replace_table
+    players = spark.createDataFrame([(1, "A", "X"), (2, "B", "Y")], "player_id bigint, full_name string, country string")
+    append_rows(players, tmpdir_path, "players")
+    current = load_table(spark, tmpdir_path, "players")
+    changes = spark.createDataFrame([("D", 1, 1, None, None), ("I", 2, 3, "C", "Z")],
+                                    "op string, seq bigint, player_id bigint, full_name string, country string")
+    result, _ = apply_changes(current, changes, ["player_id"])
+    previous = replace_table(result, tmpdir_path, "players")
+    assert sorted(r.player_id for r in load_table(spark, tmpdir_path, "players").collect()) == [2, 3]
+    assert spark.read.parquet(previous).count() == 2
