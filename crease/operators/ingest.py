@@ -121,7 +121,7 @@ def flatten_match_list(docs: DataFrame, wrapped: bool = True, keep: Sequence[str
 
 
 def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
-                    existing: DataFrame | None = None) -> dict[str, DataFrame]:
+                    existing: DataFrame | None = None, stage_dir: str | None = None) -> dict[str, DataFrame]:
     """Wrapped match lists -> matches rows, creating missing teams / venues.
 
     Returns {"matches", "new_teams", "new_venues", "duplicates"}.  Team and
@@ -129,6 +129,11 @@ def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
     country 'Unknown', unknown venues city/country 'Unknown' and capacity 0.
     A match_id already stored in `existing` (or repeated in the input) is
     reported in "duplicates" and skipped; the rest load.
+
+    The outputs read the flattened rows several times (key numbering needs a
+    sampling pass and a count pass).  With `stage_dir` (a folder in the
+    cluster's shared checkpoint area) the rows are written there once and
+    every pass reads that compact Parquet instead of re-parsing documents.
     """
     info = flatten_match_list(docs, wrapped=True).select("info.*")
     rows = info.select(
@@ -144,6 +149,10 @@ def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
         text_or("venueInfo.ground").alias("venue_name"),
         text_or("tossResults.tossWinner").alias("toss_winner"),
         text_or("tossResults.decision").alias("toss_decision"))
+    if stage_dir:
+        path = f"{stage_dir.rstrip('/')}/matches_flat"
+        rows.write.mode("overwrite").parquet(path)
+        rows = rows.sparkSession.read.parquet(path)
     names = rows.select(F.col("team1_name").alias("team_name")).unionByName(
         rows.select(F.col("team2_name").alias("team_name")))
     team_ids, new_teams = assign_keys(names, teams, "team_name", "team_id", {"country": UNKNOWN})

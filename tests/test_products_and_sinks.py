@@ -141,3 +141,14 @@ def test_replace_table_with_changes_read_from_itself(spark, tmpdir_path):
     previous = replace_table(result, tmpdir_path, "players")
     assert sorted(r.player_id for r in load_table(spark, tmpdir_path, "players").collect()) == [2, 3]
     assert spark.read.parquet(previous).count() == 2
+
+
+def test_extract_matches_staged_equals_lazy(spark, tmpdir_path):
+    d = docs(spark, "match_list", [MATCH_DOC])
+    teams = spark.createDataFrame([(3, "Reds", "X")], "team_id bigint, team_name string, country string")
+    venues = spark.createDataFrame([(5, "Oval", "London", "UK", 1000)],
+                                   "venue_id bigint, venue_name string, city string, country string, capacity int")
+    lazy = I.extract_matches(d, teams, venues)
+    staged = I.extract_matches(d, teams, venues, stage_dir=tmpdir_path)
+    for k in ("matches", "new_teams", "new_venues", "duplicates"):
+        assert sorted(lazy[k].collect()) == sorted(staged[k].collect()), k
