@@ -80,3 +80,15 @@ def test_bucketed_fact_join_needs_no_exchange(spark, tmpdir_path):
         assert df.count() == A.q14_bowling_by_venue(src).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_runner_writes_a_named_question(spark, tmpdir_path):
+    from crease import run
+    from crease.sources.tables import write_tables
+    write_tables(fixture_tables(spark, SF_SMALL), tmpdir_path, ["player_recent_form", "players"])
+    out = f"{tmpdir_path}/out"
+    assert run.main(["--tables", tmpdir_path, "--query", "q16_yearly_batting", "--out", out,
+                     "--param", "since=1996-01-01", "--param", "min_matches=5"]) == 0
+    assert spark.read.parquet(out).count() == A.q16_yearly_batting(fixture_tables(spark, SF_SMALL),
+                                                                   since="1996-01-01").count()
+    assert "q23_recent_form(short=5" in run.describe()
