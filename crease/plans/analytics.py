@@ -416,9 +416,6 @@ def q22b_head_to_head_ordered(tables: Tables, years: int = 3, min_matches: int =
             .filter(F.col("total_matches") >= min_matches))
 
 
-FORM_BANDS = (("Excellent Form", 10, 50), ("Good Form", 15), ("Average Form", 25), ("Poor Form",))
-
-
 def q23_recent_form(tables: Tables, short: int = 5, long: int = 10, fifty: int = 50,
                     excellent_sd: float = 10, excellent_avg: float = 50, good_sd: float = 15,
                     average_sd: float = 25) -> DataFrame:
