@@ -74,10 +74,29 @@ def create_tables(spark: SparkSession, base_dir: str, names: list[str] | None =
 
 
 def write_tables(tables: Mapping[str, DataFrame], base_dir: str, names: list[str] | None = None,
-                 mode: str = "overwrite") -> None:
-    """Store a TableSet as Parquet (one folder per table)."""
-    for name in names or list(tables):
-        tables[name].write.mode(mode).parquet(os.path.join(base_dir, name))
+                 mode: str = "overwrite", parallel: int = 1) -> None:
+    """Store a TableSet as Parquet (one folder per table).
+
+    `parallel > 1` submits the independent writes from that many driver
+    threads; Spark runs jobs from different threads concurrently, so small
+    tables no longer wait on each other's scheduling.  Plans are built first,
+    one at a time, so lazily built tables are never built twice.
+    """
+    names = names or list(tables)
+    plans = [(n, tables[n]) for n in names]
+
+    def write(item):
+        name, df = item
+        df.write.mode(mode).parquet(os.path.join(base_dir, name))
+
+    if parallel <= 1:
+        for item in plans:
+            write(item)
+        return
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        for f in [pool.submit(write, item) for item in plans]:
+            f.result()
 
 
 # Storage layout for co-located joins at scale: every table that joins on
