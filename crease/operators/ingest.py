@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -387,9 +388,21 @@ def ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: Dat
     Each table is made idempotent: rows whose key is already stored are
     skipped (I8) and the per-(player, format) summary keeps one row per key
     (last wins, SURVEY D5), so a rerun after a partial failure adds nothing
-    twice.
+    twice.  The three document sets feed ten passes (five guarded writes), so
+    they are persisted for the duration of the call; a lost executor's blocks
+    are recomputed from their lineage.
     """
     existing = existing or {}
+    cached = [d.persist(StorageLevel.MEMORY_AND_DISK) for d in (scorecards, batting_docs, bowling_docs)]
+    try:
+        return _ingest_all(*cached, out_dir, existing)
+    finally:
+        for d in cached:
+            d.unpersist()
+
+
+def _ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: DataFrame, out_dir: str,
+                existing: dict[str, DataFrame]) -> list[LoadReport]:
     outputs = {
         "player_recent_form": (extract_recent_form(scorecards), ["player_id", "match_id"]),
         "fielding_stats": (extract_fielding(scorecards), ["stat_id"]),
