@@ -18,6 +18,7 @@ from crease.functions.semantics import (
     parse_long, round2, round_dec, text_or,
 )
 from crease.operators.keys import assign_keys, dedupe, ensure_members, new_rows
+from crease.sources.documents import DOC_ORDER
 from crease.sources.sinks import LoadReport, append_rows
 
 UNKNOWN = "Unknown"
@@ -28,14 +29,22 @@ DEFAULT_FORMAT = "T20I"
 # Probing several keys
 # ---------------------------------------------------------------------------
 
+ENTRY_POS = "_entry_pos"
+
+
 def collect_entries(docs: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Entries found under *any* of `keys` (array fields of the same element type).
 
-    Concatenates the arrays present (missing -> empty) and explodes them once.
+    Concatenates the arrays present (missing -> empty) in `keys` order and
+    explodes them once; `_entry_pos` is the entry's position in that
+    concatenation, and a `_doc_order` column of the documents is carried along.
     """
+    keep = list(keep)
+    if DOC_ORDER in docs.columns and DOC_ORDER not in keep:
+        keep.append(DOC_ORDER)
     arrays = [F.coalesce(F.col(f"`{k}`"), F.array()) for k in keys]
     allv = F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0]
-    return docs.select(*keep, F.explode(allv).alias("entry")).select(*keep, "entry.*")
+    return docs.select(*keep, F.posexplode(allv).alias(ENTRY_POS, "entry")).select(*keep, ENTRY_POS, "entry.*")
 
 
 def first_present(*cols: str | Column) -> Column:
@@ -51,19 +60,23 @@ def extract_players(entries: DataFrame, country: str | Column = UNKNOWN) -> Data
     """Entries {id, name, role, battingStyle, bowlingStyle} -> players rows.
 
     Entries without an id (missing, NULL or empty text) are dropped; text
-    fields default to ''.  One row per player_id (first by name, I7).
+    fields default to ''.  One row per player_id (I7): the first occurrence in
+    document order when the entries carry it (`_doc_order`, `_entry_pos`),
+    otherwise the smallest by name.
     """
     ctry = country if isinstance(country, Column) else F.lit(country)
+    order = [c for c in (DOC_ORDER, ENTRY_POS) if c in entries.columns]
     rows = (entries.where(non_blank(F.col("id")))
             .select(parse_long("id").alias("player_id"),
                     text_or("name").alias("full_name"),
                     ctry.alias("country"),
                     text_or("role").alias("playing_role"),
                     text_or("battingStyle").alias("batting_style"),
-                    text_or("bowlingStyle").alias("bowling_style"))
+                    text_or("bowlingStyle").alias("bowling_style"),
+                    *[F.col(c) for c in order])
             .where(F.col("player_id").isNotNull()))
-    return dedupe(rows, ["player_id"], ["full_name", "playing_role", "batting_style", "bowling_style",
-                                        "country"])
+    values = ["full_name", "playing_role", "batting_style", "bowling_style", "country"]
+    return dedupe(rows, ["player_id"], order + values).select("player_id", *values)
 
 
 def extract_teams(docs: DataFrame) -> DataFrame:

@@ -62,6 +62,8 @@ def consecutive_ids(df: DataFrame, order_by: Sequence[str], start: Column | int
     ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by) \
         .withColumn("_pid", F.spark_partition_id())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # running total over the per-partition counts: this window sees one row per
+    # partition (bounded by the partition count), never the data rows
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))

@@ -36,15 +36,25 @@ def parse_json_column(text: Column | str, schema: StructType, on_error: str = "s
     return F.from_json(col, s, _options(on_error))
 
 
+DOC_ORDER = "_doc_order"
+
+
 def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error: str = "skip",
-                    keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                    keep: list[str] | None = None, with_order: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse a column of JSON text into top-level columns.
 
     Returns (documents, rejected).  `rejected` keeps the raw text of documents
     that were not JSON objects (the source logs and skips those); NULL text
     is treated as a missing document and dropped.
+
+    `with_order=True` adds `_doc_order`, increasing in input order (partition,
+    then row), for "keep the first occurrence" rules downstream.  It is
+    reproducible for the same files and split settings.
     """
-    keep = keep or []
+    keep = list(keep or [])
+    if with_order:
+        df = df.withColumn(DOC_ORDER, F.monotonically_increasing_id())
+        keep.append(DOC_ORDER)
     parsed = df.select(*keep, F.col(text_col).alias("_text"),
                        parse_json_column(text_col, schema, on_error).alias("_doc"))
     parsed = parsed.filter(F.col("_text").isNotNull())
@@ -57,7 +67,7 @@ def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error:
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType, on_error: str = "skip",
-                   multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+                   multi_line: bool = False, with_order: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read landed JSON documents with an explicit schema.
 
     Returns (documents, rejected) like `parse_documents`.  Files are read as
@@ -68,7 +78,7 @@ def read_documents(spark: SparkSession, path: str, schema: StructType, on_error:
     text = spark.read.option("wholetext", str(multi_line).lower()).text(path)
     if not multi_line:
         text = text.where(F.trim(F.col("value")) != "")
-    return parse_documents(text, "value", schema, on_error)
+    return parse_documents(text, "value", schema, on_error, with_order=with_order)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -161,3 +161,12 @@ def test_apply_changes(spark):
     once, _ = apply_changes(base, ch2, ["player_id"])
     twice, _ = apply_changes(once, ch2, ["player_id"])
     assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 3
+
+
+def test_players_keep_first_in_document_order(spark):
+    rows = [(json.dumps({"players": [{"id": "1", "name": "Zed"}]}),),
+            (json.dumps({"player": [{"id": "2", "name": "Q"}], "rank": [{"id": "1", "name": "Abe"}]}),)]
+    df = spark.createDataFrame(rows, "value string").coalesce(1)
+    good, _ = parse_documents(df, "value", doc_schema("player_lists"), with_order=True)
+    out = {r.player_id: r.full_name for r in I.extract_players(I.collect_entries(good, ["player", "players", "rank"])).collect()}
+    assert out == {1: "Zed", 2: "Q"}      # first occurrence wins, not the smallest name
