@@ -7,6 +7,7 @@ codegen, no Python runs per row.
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,14 +36,44 @@ def round_dec(x, precision: int, scale: int = 2) -> Column:
 
 
 def avg_int_exact(x) -> Column:
-    """AVG of an integer column as an exact DECIMAL with 4 fractional digits."""
+    """AVG of an integer column as an exact DECIMAL with 4 fractional digits.
+
+    The source database returns AVG of exact values as DECIMAL with the
+    argument's scale + 4, rounded half up; Spark's AVG of a DECIMAL(p,0)
+    follows the same rule.  (AVG of a DECIMAL(p,2) column is already exact
+    with 6 places in Spark.)
+    """
     return F.avg(_c(x).cast("decimal(20,0)"))
 
 
+def round_half_up(x, scale: int = 2) -> Column:
+    """ROUND of an exact DECIMAL: half away from zero, returned as DOUBLE."""
+    return F.round(_c(x), scale).cast("double")
+
+
+def round_approx(x, scale: int = 2) -> Column:
+    """ROUND of a DOUBLE as the source database does it: rint(x * 10^s) / 10^s.
+
+    That is half-to-even on the binary value (8.165 -> 8.16, 12.345 -> 12.34),
+    unlike ROUND of an exact decimal.
+    """
+    p = float(10 ** scale)
+    return F.rint(_c(x) * F.lit(p)) / F.lit(p)
+
+
+def div_decimal(a, b, scale: int) -> Column:
+    """a / b for exact values, rounded half up to `scale` places; NULL when b is 0.
+
+    The source database keeps the dividend's scale + 4 places in a division
+    (SUM(int) / SUM(DECIMAL(4,1)) has 4, SUM(int) * 100.0 / COUNT(*) has 5).
+    """
+    return F.try_divide(_c(a), _c(b)).cast(f"decimal(38,{scale})")
+
+
 def pct2(part, whole) -> Column:
-    """ROUND(part * 100.0 / whole, 2); NULL when whole is 0."""
-    return round2(F.try_divide(_c(part).cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)"),
-                               _c(whole).cast("decimal(20,0)")))
+    """ROUND(part * 100.0 / whole, 2): the quotient keeps 5 places, then rounds half up."""
+    return round_half_up(div_decimal(_c(part).cast("decimal(20,0)") * F.lit(Decimal("100.0")),
+                                     _c(whole).cast("decimal(20,0)"), 5))
 
 
 def safe_div(a, b) -> Column:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crease.functions.semantics import (
-    avg_int_exact, days_back, greatest_strict, least_strict, pct2, round2,
-    safe_div, years_back,
+    avg_int_exact, days_back, div_decimal, greatest_strict, least_strict, pct2, round_approx,
+    round_half_up, years_back,
 )
 
 Tables = Mapping[str, DataFrame]
@@ -156,7 +156,7 @@ def q11_cross_format(tables: Tables, formats: Sequence[str] = FORMATS, min_forma
          .agg(F.max(F.when(F.col("format") == test_f, F.col("total_runs")).otherwise(0)).alias("test_runs"),
               F.max(F.when(F.col("format") == odi_f, F.col("total_runs")).otherwise(0)).alias("odi_runs"),
               F.max(F.when(F.col("format") == t20_f, F.col("total_runs")).otherwise(0)).alias("t20_runs"),
-              round2(F.avg("batting_average")).alias("overall_batting_avg"),
+              round_half_up(F.avg("batting_average")).alias("overall_batting_avg"),
               F.count_distinct("format").alias("n_formats"))
          .filter(F.col("n_formats") >= min_formats))
     p = tables["players"].select("player_id", "full_name")
@@ -200,7 +200,7 @@ def q14_bowling_by_venue(tables: Tables, min_overs: float = 4.0, min_matches: in
          .groupBy("player_id", "venue_id")
          .agg(F.count(F.lit(1)).alias("matches_played"),
               F.sum("wickets_taken").alias("total_wickets"),
-              round2(F.avg("economy_rate")).alias("avg_economy"))
+              round_half_up(F.avg("economy_rate")).alias("avg_economy"))
          .filter(F.col("matches_played") >= min_matches))
     p = tables["players"].select("player_id", "full_name")
     v = tables["venues"].select("venue_id", "venue_name")
@@ -235,7 +235,7 @@ def q15_close_matches(tables: Tables, runs_margin: int = 50, wickets_margin: int
     prf = tables["player_recent_form"].select("player_id", "match_id", "runs_scored")
     g = (prf.join(sides, "match_id")
          .groupBy("player_id")
-         .agg(round2(F.avg("runs_scored")).alias("avg_runs"),
+         .agg(round_half_up(avg_int_exact("runs_scored")).alias("avg_runs"),
               F.count(F.lit(1)).alias("close_matches_played"),
               F.sum("won").alias("matches_won_by_team")))
     p = tables["players"].select("player_id", "full_name")
@@ -246,8 +246,8 @@ def q15_close_matches(tables: Tables, runs_margin: int = 50, wickets_margin: int
 def q16_yearly_batting(tables: Tables, since="2020-01-01", min_matches: int = 5) -> DataFrame:
     prf = tables["player_recent_form"].filter(F.col("match_date") >= F.lit(_date(since)))
     g = (prf.groupBy("player_id", F.year("match_date").alias("year"))
-         .agg(round2(F.avg("runs_scored")).alias("avg_runs_per_match"),
-              round2(F.avg("strike_rate")).alias("avg_strike_rate"),
+         .agg(round_half_up(avg_int_exact("runs_scored")).alias("avg_runs_per_match"),
+              round_half_up(F.avg("strike_rate")).alias("avg_strike_rate"),
               F.count(F.lit(1)).alias("matches_played"))
          .filter(F.col("matches_played") >= min_matches))
     p = tables["players"].select("player_id", "full_name")
@@ -277,8 +277,8 @@ def q18_economical_bowlers(tables: Tables, formats: Sequence[str] = ("ODI", "T20
                  # SUM(overs) / COUNT(DISTINCT match) >= x, without a rounded division
                  & (F.col("total_overs") >= F.col("matches_played") * _dec(min_overs_per_match))))
     return (g.select("player_id", "matches_played", "total_overs", "total_runs", "total_wickets",
-                     round2(safe_div(F.col("total_runs").cast("decimal(20,0)"), F.col("total_overs")))
-                     .alias("economy_rate"))
+                     round_half_up(div_decimal(F.col("total_runs").cast("decimal(20,0)"),
+                                               F.col("total_overs"), 4)).alias("economy_rate"))
             .orderBy(F.col("economy_rate").asc_nulls_first()))
 
 
@@ -287,8 +287,8 @@ def q19_consistent_batsmen(tables: Tables, min_balls: int = 10, since="2022-01-0
     prf = tables["player_recent_form"].filter(
         (F.col("balls_faced") >= min_balls) & (F.col("match_date") >= F.lit(_date(since))))
     return (prf.groupBy("player_id")
-            .agg(round2(F.avg("runs_scored")).alias("avg_runs"),
-                 round2(F.stddev_pop("runs_scored")).alias("run_std_dev"),
+            .agg(round_half_up(avg_int_exact("runs_scored")).alias("avg_runs"),
+                 round_approx(F.stddev_pop("runs_scored")).alias("run_std_dev"),
                  F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= min_rows)
             .select("player_id", "avg_runs", "run_std_dev")
@@ -301,14 +301,14 @@ def q20a_format_counts(tables: Tables, formats: Sequence[str] = FORMATS) -> Data
             .agg(F.count(F.lit(1)).alias("total_rows"),
                  F.count_distinct("match_id").alias("matches_played"),
                  F.sum(F.when(F.col("format").isin(list(formats)), 1).otherwise(0)).alias("valid_format_rows"),
-                 round2(F.avg("runs_scored")).alias("batting_avg")))
+                 round_half_up(avg_int_exact("runs_scored")).alias("batting_avg")))
 
 
 def q20b_format_counts_min(tables: Tables, formats: Sequence[str] = FORMATS, min_valid: int = 20) -> DataFrame:
     bs = tables["batting_stats"]
     return (bs.groupBy("player_id")
             .agg(F.count_distinct("match_id").alias("matches_played"),
-                 round2(F.avg("runs_scored")).alias("batting_avg"),
+                 round_half_up(avg_int_exact("runs_scored")).alias("batting_avg"),
                  F.sum(F.when(F.col("format").isin(list(formats)), 1).otherwise(0)).alias("valid"))
             .filter(F.col("valid") >= min_valid)
             .select("player_id", "matches_played", "batting_avg"))
@@ -388,8 +388,8 @@ def q22a_head_to_head(tables: Tables, years: int = 3, min_matches: int = 5, as_o
             .agg(F.count(F.lit(1)).alias("total_matches"),
                  F.sum(F.when(a_won, 1).otherwise(0)).alias("team_a_wins"),
                  F.sum(F.when(b_won, 1).otherwise(0)).alias("team_b_wins"),
-                 round2(F.avg(F.when(a_won, F.col("victory_margin")))).alias("team_a_avg_margin"),
-                 round2(F.avg(F.when(b_won, F.col("victory_margin")))).alias("team_b_avg_margin"))
+                 round_half_up(avg_int_exact(F.when(a_won, F.col("victory_margin")))).alias("team_a_avg_margin"),
+                 round_half_up(avg_int_exact(F.when(b_won, F.col("victory_margin")))).alias("team_b_avg_margin"))
             .filter(F.col("total_matches") >= min_matches))
 
 
@@ -411,8 +411,8 @@ def q22b_head_to_head_ordered(tables: Tables, years: int = 3, min_matches: int =
             .agg(F.count(F.lit(1)).alias("total_matches"),
                  F.sum(F.when(w1, 1).otherwise(0)).alias("team1_wins"),
                  F.sum(F.when(w2, 1).otherwise(0)).alias("team2_wins"),
-                 round2(F.avg(F.when(w1, F.col("victory_margin")))).alias("team1_avg_margin"),
-                 round2(F.avg(F.when(w2, F.col("victory_margin")))).alias("team2_avg_margin"))
+                 round_half_up(avg_int_exact(F.when(w1, F.col("victory_margin")))).alias("team1_avg_margin"),
+                 round_half_up(avg_int_exact(F.when(w2, F.col("victory_margin")))).alias("team2_avg_margin"))
             .filter(F.col("total_matches") >= min_matches))
 
 
@@ -430,11 +430,11 @@ def q23_recent_form(tables: Tables, short: int = 5, long: int = 10, fifty: int =
     w = Window.partitionBy("player_id").orderBy(F.col("match_date").desc(), F.col("match_id").desc())
     recent = prf.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= long)
     sd = F.stddev_pop("runs_scored")
-    mean = F.avg("runs_scored")
+    mean = avg_int_exact("runs_scored")
     return (recent.groupBy("player_id")
-            .agg(round2(F.avg(F.when(F.col("rn") <= short, F.col("runs_scored")))).alias("avg_last_5"),
-                 round2(mean).alias("avg_last_10"),
-                 round2(sd).alias("consistency_score"),
+            .agg(round_half_up(avg_int_exact(F.when(F.col("rn") <= short, F.col("runs_scored")))).alias("avg_last_5"),
+                 round_half_up(mean).alias("avg_last_10"),
+                 round_approx(sd).alias("consistency_score"),
                  F.sum(F.when(F.col("runs_scored") >= fifty, 1).otherwise(0)).alias("fifties_count"),
                  F.when((sd < excellent_sd) & (mean > excellent_avg), "Excellent Form")
                  .when(sd < good_sd, "Good Form")
@@ -448,9 +448,9 @@ def q24_best_opening_pairs(tables: Tables, pos1: int = 1, pos2: int = 2, good_av
         (F.col("batting_position1") == pos1) & (F.col("batting_position2") == pos2))
     g = (bp.groupBy(F.col("player1_id").alias("batsman1_id"), F.col("player2_id").alias("batsman2_id"))
          .agg(F.count(F.lit(1)).alias("partnership_count"),
-              round2(F.avg("partnership_runs")).alias("avg_runs"),
+              round_half_up(avg_int_exact("partnership_runs")).alias("avg_runs"),
               F.max("partnership_runs").alias("highest"),
-              F.when(F.avg("partnership_runs") > good_avg, "Good").otherwise("Average")
+              F.when(avg_int_exact("partnership_runs") > good_avg, "Good").otherwise("Average")
               .alias("good_partnerships")))
     return (g.orderBy(F.col("avg_runs").desc(), F.col("batsman1_id"), F.col("batsman2_id"))
             .limit(k))
