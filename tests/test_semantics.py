@@ -52,3 +52,17 @@ def test_non_blank(spark):
     assert one(spark, S.non_blank(F.lit("  "))) is False
     assert one(spark, S.non_blank(F.lit(None).cast("string"))) is False
     assert one(spark, S.non_blank(F.lit("not out"))) is True
+
+
+def test_source_exact_value_rules(spark):
+    # ROUND of a DOUBLE: rint on the binary value
+    assert one(spark, S.round_approx(F.lit(8.165))) == 8.16      # 816.4999... -> 816
+    assert one(spark, S.round_approx(F.lit(12.345))) == 12.34    # 1234.5 exactly -> even
+    assert one(spark, S.round_approx(F.lit(2.675))) == 2.68      # 267.5 exactly -> even
+    # a division keeps the dividend's scale + 4 places before ROUND(., 2):
+    # 24699 / 20000.0 = 1.23495 -> 1.2350 -> 1.24 (the 6-place route would give 1.23)
+    q = S.div_decimal(F.lit(24699).cast("decimal(20,0)"), F.lit("20000.0").cast("decimal(14,1)"), 4)
+    assert one(spark, S.round_half_up(q)) == 1.24
+    # AVG of integers is an exact 4-place decimal
+    df = spark.createDataFrame([(1,), (2,), (2,)], "x int")
+    assert str(df.select(S.avg_int_exact("x").alias("v")).first().v) == "1.6667"
