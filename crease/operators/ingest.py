@@ -203,14 +203,21 @@ def _innings(docs: DataFrame, match_id: str | None) -> DataFrame:
                        F.explode(F.coalesce(F.col("scorecard"), F.array())).alias("inn"))
 
 
-def extract_batting(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str | None = None) -> DataFrame:
+def extract_batting(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str | None = None,
+                    not_out_values: Sequence[str] = ()) -> DataFrame:
     """Batsman lines -> batting_stats rows.
 
     Position is the 1-based order within the innings list; the strike rate
     loses thousands separators; `is_out` is true for any non-blank dismissal
-    text (SURVEY D10).  The format comes from the document when it has one,
-    else `fmt` (the source stamps every row 'T20I', D11).
+    text (SURVEY D10); pass e.g. `not_out_values=("not out",)` to treat those
+    texts (compared trimmed, case-folded) as not out.  The format comes from
+    the document when it has one, else `fmt` (the source stamps every row
+    'T20I', D11).
     """
+    out_text = F.col("b.outdec")
+    is_out = non_blank(out_text)
+    if not_out_values:
+        is_out = is_out & ~F.lower(F.trim(out_text)).isin([v.strip().lower() for v in not_out_values])
     inn = _innings(docs, match_id)
     b = inn.select("match_id", "_doc_format", F.posexplode(F.coalesce(F.col("inn.batsman"), F.array()))
                    .alias("pos", "b"))
@@ -221,7 +228,7 @@ def extract_batting(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str |
                     F.coalesce(parse_int("b.balls"), F.lit(0)).alias("balls_faced"),
                     F.coalesce(parse_double("b.strkrate"), F.lit(0.0)).alias("strike_rate"),
                     (F.col("pos") + 1).cast("int").alias("batting_position"),
-                    non_blank(F.col("b.outdec")).alias("is_out"),
+                    is_out.alias("is_out"),
                     text_or("b.name", UNKNOWN).alias("name")))
 
 

@@ -170,3 +170,12 @@ def test_players_keep_first_in_document_order(spark):
     good, _ = parse_documents(df, "value", doc_schema("player_lists"), with_order=True)
     out = {r.player_id: r.full_name for r in I.extract_players(I.collect_entries(good, ["player", "players", "rank"])).collect()}
     assert out == {1: "Zed", 2: "Q"}      # first occurrence wins, not the smallest name
+
+
+def test_not_out_values_option(spark):
+    good, _ = docs(spark, "scorecard", [{"matchId": "1", "scorecard": [{"batsman": [
+        {"id": "1", "outdec": "not out"}, {"id": "2", "outdec": "c X b Y"}, {"id": "3", "outdec": " Not Out "}]}]}])
+    default = {r.player_id: r.is_out for r in I.extract_batting(good).collect()}
+    assert default == {1: True, 2: True, 3: True}          # the source's rule: any text counts as out
+    opt = {r.player_id: r.is_out for r in I.extract_batting(good, not_out_values=["not out"]).collect()}
+    assert opt == {1: False, 2: True, 3: False}
