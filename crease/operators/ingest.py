@@ -17,7 +17,7 @@ from crease.functions.semantics import (
     epoch_ms_to_date, month_to_quarter, non_blank, parse_decimal, parse_double, parse_int,
     parse_long, round2, round_dec, text_or,
 )
-from crease.operators.keys import assign_keys, dedupe, ensure_members, new_rows
+from crease.operators.keys import assign_keys, dedupe, dedupe_all, ensure_members, new_rows
 from crease.sources.documents import DOC_ORDER
 from crease.sources.sinks import LoadReport, append_rows
 
@@ -180,7 +180,7 @@ def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
             "winning_team", "victory_margin", "victory_type", "venue_id", "toss_winner", "toss_decision"]
     resolved = resolved.select(*cols)
     # one row per match id: the first by description / date; the rest are duplicates
-    unique = dedupe(resolved, ["match_id"], ["match_date", "match_description", "team1_id", "team2_id"])
+    unique = dedupe_all(resolved, ["match_id"])
     dup_ids = resolved.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     out = unique
     if existing is not None:
@@ -432,7 +432,7 @@ def _ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: Da
     }
     reports = []
     for table, (df, keys) in outputs.items():
-        df = dedupe(df, keys, [c for c in df.columns if c not in keys][:1] or keys)
+        df = dedupe_all(df, keys)
         if table in existing:
             df = new_rows(df, existing[table], keys)
         reports.append(append_rows(df, out_dir, table))

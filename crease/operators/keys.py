@@ -31,6 +31,12 @@ def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column])
     return picked.select(*keys, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
+def dedupe_all(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`dedupe` ordered by every non-key column: a deterministic pick whatever the input order."""
+    rest = [c for c in df.columns if c not in keys]
+    return dedupe(df, keys, rest or list(keys))
+
+
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """I8 / U4: rows of `df` whose key is not in `existing` (anti-join).
 

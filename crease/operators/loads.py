@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
-from crease.operators.keys import consecutive_ids, dedupe, new_rows
+from crease.operators.keys import consecutive_ids, dedupe_all, new_rows
 from crease.sources.schemas import table_schema
 from crease.sources.sinks import LoadReport, append_rows
 from crease.sources.tables import load_table
@@ -87,7 +87,7 @@ def load_batting(docs: DataFrame, base_dir: str, fmt: str = I.DEFAULT_FORMAT) ->
     """
     lines = I.extract_batting(docs, fmt)
     rows = lines.withColumn("stat_id", I.stat_id("match_id", "format", "player_id", "batting_position"))
-    rows = dedupe(rows, ["stat_id"], ["runs_scored", "balls_faced"])
+    rows = dedupe_all(rows, ["stat_id"])
     return [_with_player_stubs(lines, base_dir), _append_new(rows, base_dir, "batting_stats", ["stat_id"])]
 
 
@@ -95,7 +95,7 @@ def load_bowling(docs: DataFrame, base_dir: str, fmt: str = I.DEFAULT_FORMAT) ->
     """Innings scorecards -> bowling lines, with stub players for unknown ids."""
     lines = I.extract_bowling(docs, fmt)
     rows = lines.withColumn("stat_id", I.stat_id("match_id", "format", "player_id"))
-    rows = dedupe(rows, ["stat_id"], ["overs_bowled", "runs_conceded", "wickets_taken"])
+    rows = dedupe_all(rows, ["stat_id"])
     return [_with_player_stubs(lines, base_dir), _append_new(rows, base_dir, "bowling_stats", ["stat_id"])]
 
 
@@ -105,5 +105,5 @@ def load_player_match(docs: DataFrame, base_dir: str) -> LoadReport:
     The table declares no key; (player, date, runs) is used so that a rerun
     does not insert the same innings twice.
     """
-    rows = dedupe(I.extract_player_match(docs), ["player_id", "match_date", "runs_scored"], ["strike_rate"])
+    rows = dedupe_all(I.extract_player_match(docs), ["player_id", "match_date", "runs_scored"])
     return _append_new(rows, base_dir, "player_match", ["player_id", "match_date", "runs_scored"])
