@@ -51,8 +51,11 @@ def q_extract_venues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_extract_matches(spark: SparkSession, d: str) -> DataFrame:
+    from crease.plans.product_queries import scratch_dir
+
     t = fixture_tables(spark, d)
-    out = I.extract_matches(_docs(N.match_list_docs(t), "match_list"), t["teams"], t["venues"])
+    out = I.extract_matches(_docs(N.match_list_docs(t), "match_list"), t["teams"], t["venues"],
+                            stage_dir=scratch_dir(spark, "matches-stage"))
     return out["matches"]
 
 
