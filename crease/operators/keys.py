@@ -64,7 +64,7 @@ def consecutive_ids(df: DataFrame, order_by: Sequence[str], start: Column | int
     row per partition), turn the counts into offsets, then add the in-partition
     row number.  `order_by` must be unique for repeatable ids.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by) \
         .withColumn("_pid", F.spark_partition_id())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

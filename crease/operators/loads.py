@@ -18,17 +18,14 @@ from crease.operators import ingest as I
 from crease.operators.keys import consecutive_ids, dedupe_all, new_rows
 from crease.sources.schemas import table_schema
 from crease.sources.sinks import LoadReport, append_rows
-from crease.sources.tables import load_table
+from crease.sources.tables import load_table, path_exists
 
 PLAYER_LIST_KEYS = ("player", "players", "rank", "values")
 
 
 def stored(spark: SparkSession, base_dir: str, table: str) -> DataFrame:
     """The stored table, or an empty frame with its schema when it does not exist yet."""
-    path = os.path.join(base_dir, table)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if path_exists(spark, os.path.join(base_dir, table)):
         return load_table(spark, base_dir, table)
     return spark.createDataFrame([], table_schema(table))
 

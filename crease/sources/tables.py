@@ -36,6 +36,20 @@ class TableSet(Mapping):
         return len(self._builders)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, through the cluster's file system."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # noqa: BLE001 - no JVM gateway: fall back to listing through a read
+        try:
+            spark.read.format("binaryFile").load(path).schema  # resolving the path raises if absent
+            return True
+        except Exception:  # noqa: BLE001
+            return False
+
+
 def table_path(base_dir: str, name: str) -> str:
     """Parquet location of a table: a directory `<base>/<name>` or a file `<base>/<name>.parquet`."""
     single = os.path.join(base_dir, f"{name}.parquet")

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from crease.operators.keys import dedupe, new_rows
+from crease.sources.tables import path_exists
 
 # Largest micro-batch key set that is broadcast to probe the stored table.
 BROADCAST_KEY_ROWS = 2_000_000
@@ -27,13 +28,6 @@ BROADCAST_KEY_ROWS = 2_000_000
 DEFAULT_MAX_FILES_PER_TRIGGER = 1000
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 def incremental_load(spark: SparkSession, source: str, schema: StructType, target: str,
                      keys: Sequence[str], order_by: Sequence[str], checkpoint: str,
                      fmt: str = "parquet", glob: str | None = None,
@@ -58,7 +52,7 @@ def incremental_load(spark: SparkSession, source: str, schema: StructType, targe
     def load_batch(batch: DataFrame, _epoch_id: int) -> None:
         fresh = dedupe(batch, keys, order_by).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if _exists(spark, target):
+            if path_exists(spark, target):
                 stored_keys = spark.read.schema(batch.schema).parquet(target).select(*keys)
                 batch_keys = fresh.select(*keys)
                 if batch_keys.count() <= BROADCAST_KEY_ROWS:
