@@ -30,6 +30,7 @@ DEFAULT_FORMAT = "T20I"
 # ---------------------------------------------------------------------------
 
 ENTRY_POS = "_entry_pos"
+LIST_POS = "_list_pos"
 
 
 def collect_entries(docs: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -121,17 +122,24 @@ def flatten_match_list(docs: DataFrame, wrapped: bool = True, keep: Sequence[str
 
     `wrapped=True` reads the `seriesAdWrapper.matches[].matchInfo` shape,
     `False` the flat `matches[]` shape (SURVEY D7).
+    `_list_pos` is the match's position in the document (type, series and
+    match index), for first-occurrence rules.
     """
-    t = docs.select(*keep, F.explode(F.coalesce(F.col("typeMatches"), F.array())).alias("tm"))
-    s = t.select(*keep, F.col("tm.matchType").alias("match_type"),
-                 F.explode(F.coalesce(F.col("tm.seriesMatches"), F.array())).alias("sm"))
+    keep = list(keep)
+    if DOC_ORDER in docs.columns and DOC_ORDER not in keep:
+        keep.append(DOC_ORDER)
+    t = docs.select(*keep, F.posexplode(F.coalesce(F.col("typeMatches"), F.array())).alias("_t", "tm"))
+    s = t.select(*keep, "_t", F.col("tm.matchType").alias("match_type"),
+                 F.posexplode(F.coalesce(F.col("tm.seriesMatches"), F.array())).alias("_s", "sm"))
     if wrapped:
-        m = s.select(*keep, "match_type", F.col("sm.seriesAdWrapper.seriesName").alias("series_name"),
-                     F.explode(F.coalesce(F.col("sm.seriesAdWrapper.matches"), F.array())).alias("mm"))
+        m = s.select(*keep, "_t", "_s", "match_type", F.col("sm.seriesAdWrapper.seriesName").alias("series_name"),
+                     F.posexplode(F.coalesce(F.col("sm.seriesAdWrapper.matches"), F.array())).alias("_m", "mm"))
         return m.where(F.col("mm.matchInfo").isNotNull()) \
-            .select(*keep, "match_type", "series_name", F.col("mm.matchInfo").alias("info"))
-    m = s.select(*keep, "match_type", F.explode(F.coalesce(F.col("sm.matches"), F.array())).alias("mm"))
-    return m.select(*keep, "match_type", "mm.*")
+            .select(*keep, F.struct("_t", "_s", "_m").alias(LIST_POS), "match_type", "series_name",
+                    F.col("mm.matchInfo").alias("info"))
+    m = s.select(*keep, "_t", "_s", "match_type",
+                 F.posexplode(F.coalesce(F.col("sm.matches"), F.array())).alias("_m", "mm"))
+    return m.select(*keep, F.struct("_t", "_s", "_m").alias(LIST_POS), "match_type", "mm.*")
 
 
 def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
@@ -149,8 +157,11 @@ def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
     cluster's shared checkpoint area) the rows are written there once and
     every pass reads that compact Parquet instead of re-parsing documents.
     """
-    info = flatten_match_list(docs, wrapped=True).select("info.*")
+    flat = flatten_match_list(docs, wrapped=True)
+    order_cols = [c for c in (DOC_ORDER, LIST_POS) if c in flat.columns]
+    info = flat.select(*order_cols, "info.*")
     rows = info.select(
+        *order_cols,
         F.coalesce(parse_long("matchId"), F.lit(0)).alias("match_id"),
         text_or("matchDesc").alias("match_description"),
         epoch_ms_to_date(F.coalesce(F.col("startDate"), F.lit("0"))).alias("match_date"),
@@ -178,9 +189,13 @@ def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
                 .join(venue_ids, "venue_name", "left"))
     cols = ["match_id", "match_description", "match_date", "match_status", "team1_id", "team2_id",
             "winning_team", "victory_margin", "victory_type", "venue_id", "toss_winner", "toss_decision"]
+    # one row per match id: the first occurrence when the document order is
+    # known (as the source's first insert wins), then by value; later ones are
+    # reported as duplicates
+    ordered = resolved.select(*order_cols, *cols)
+    values = [c for c in cols if c != "match_id"]
+    unique = dedupe(ordered, ["match_id"], order_cols + values).select(*cols)
     resolved = resolved.select(*cols)
-    # one row per match id: the first by description / date; the rest are duplicates
-    unique = dedupe_all(resolved, ["match_id"])
     dup_ids = resolved.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     out = unique
     if existing is not None:

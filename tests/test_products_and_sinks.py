@@ -48,6 +48,7 @@ def test_extract_matches_creates_keys_and_reports_duplicates(spark):
     assert m[11].team1_id == 3 and m[11].team2_id == 5 and m[11].venue_id == 5
     assert m[11].victory_margin == 12 and str(m[11].match_date) == "2023-11-14"
     assert [r.match_id for r in out["duplicates"].collect()] == [12]
+    assert (m[12].team1_id, m[12].match_description) == (6, "")      # the first occurrence wins
 
 
 def test_match_board(spark):
