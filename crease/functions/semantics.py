@@ -61,6 +61,16 @@ def round_approx(x, scale: int = 2) -> Column:
     return F.rint(_c(x) * F.lit(p)) / F.lit(p)
 
 
+def round_float(x, scale: int = 2) -> Column:
+    """Python's round(x, scale) of a DOUBLE: half-to-even on the exact binary value.
+
+    `format_number` rounds with java.text.DecimalFormat, which rounds the exact
+    binary value half-to-even (2.675 -> 2.67, 12.345 -> 12.35, 3.125 -> 3.12),
+    the same result Python's round gives; the text is parsed back to DOUBLE.
+    """
+    return F.regexp_replace(F.format_number(_c(x), scale), ",", "").cast("double")
+
+
 def div_decimal(a, b, scale: int) -> Column:
     """a / b for exact values, rounded half up to `scale` places; NULL when b is 0.
 

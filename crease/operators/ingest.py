@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from crease.functions.semantics import (
     epoch_ms_to_date, month_to_quarter, non_blank, parse_decimal, parse_double, parse_int,
-    parse_long, round2, round_dec, text_or,
+    parse_long, round_dec, round_float, text_or,
 )
 from crease.operators.keys import assign_keys, dedupe, dedupe_all, ensure_members, new_rows
 from crease.sources.documents import DOC_ORDER
@@ -273,7 +273,8 @@ def stat_id(*cols: str) -> Column:
 def extract_player_match(docs: DataFrame, player_id: str = "playerId") -> DataFrame:
     """Match list rows with a date, runs and a non-zero ball count.
 
-    strike_rate = round(runs / balls * 100, 2) with decimal half-up rounding.
+    strike_rate = round((runs / balls) * 100, 2) computed as the source does:
+    floating-point division and product, then Python's rounding (`round_float`).
     """
     m = docs.select(parse_long(player_id).alias("player_id"),
                     F.explode(F.coalesce(F.col("matchBattingStatsList"), F.array())).alias("m"))
@@ -282,7 +283,7 @@ def extract_player_match(docs: DataFrame, player_id: str = "playerId") -> DataFr
             .select("player_id",
                     F.to_date(F.col("m.matchDate")).alias("match_date"),
                     runs.alias("runs_scored"),
-                    round2(runs.cast("decimal(20,0)") * 100 / balls.cast("decimal(20,0)")).alias("strike_rate")))
+                    round_float((runs.cast("double") / balls.cast("double")) * F.lit(100.0)).alias("strike_rate")))
 
 
 # ---------------------------------------------------------------------------

@@ -273,7 +273,7 @@ SELECT o_custkey AS player_id, l_orderkey AS match_id, fmt AS format,
 FROM {_LO_FULL}""",
     "i13_extract_player_match": f"""
 SELECT o_custkey AS player_id, CAST(l_shipdate AS DATE) AS match_date, CAST(q * 3 AS BIGINT) AS runs_scored,
-       {r2('CAST(q * 3 AS DECIMAL(20,0)) * 100 / CAST(l_partkey % 120 AS DECIMAL(20,0))')} AS strike_rate
+       CAST(printf('%.2f', (CAST(q * 3 AS DOUBLE) / CAST(l_partkey % 120 AS DOUBLE)) * 100) AS DOUBLE) AS strike_rate
 FROM {_LO_FULL} WHERE l_partkey % 120 <> 0""",
     "i14_extract_quarterly": f"""
 WITH monthly AS (

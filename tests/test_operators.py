@@ -179,3 +179,11 @@ def test_not_out_values_option(spark):
     assert default == {1: True, 2: True, 3: True}          # the source's rule: any text counts as out
     opt = {r.player_id: r.is_out for r in I.extract_batting(good, not_out_values=["not out"]).collect()}
     assert opt == {1: False, 2: True, 3: False}
+
+
+def test_player_match_rate_rounds_like_python(spark):
+    good, _ = docs(spark, "player_matches", [{"playerId": "1", "matchBattingStatsList": [
+        {"matchDate": "2024-01-0%d" % (i + 1), "runs": str(r), "ballsFaced": str(b)}
+        for i, (r, b) in enumerate([(1, 32), (107, 40), (1, 3), (2, 3)])]}])
+    got = sorted(r.strike_rate for r in I.extract_player_match(good).collect())
+    assert got == sorted(round((r / b) * 100, 2) for r, b in [(1, 32), (107, 40), (1, 3), (2, 3)])
