@@ -117,3 +117,17 @@ def test_q11_needs_two_formats_and_q14_overs_boundary(tbl):
     v = tbl("venues", [{"venue_id": 9, "venue_name": "V"}])
     r = A.q14_bowling_by_venue({"bowling_stats": bs, "matches": m, "venues": v, "players": players}).first()
     assert (r.matches_played, r.total_wickets, r.avg_economy) == (3, 3, 4.25)
+
+
+def test_top_k_with_orphans_widens_candidates(tbl):
+    """Top matches whose venue is unknown are dropped by the inner join; the
+    candidate probe must widen until k real rows are found."""
+    teams = tbl("teams", [{"team_id": 1, "team_name": "A"}, {"team_id": 2, "team_name": "B"}])
+    venues = tbl("venues", [{"venue_id": 1, "venue_name": "V", "city": "C"}])
+    rows = [{"match_id": i, "match_date": D(2001, 1, 1) + dt.timedelta(days=i), "match_status": "Completed",
+             "team1_id": 1, "team2_id": 2, "venue_id": 9 if i >= 40 else 1} for i in range(60)]
+    t = {"matches": tbl("matches", rows), "teams": teams, "venues": venues}
+    out = A.q10_latest_completed(t, k=20).collect()
+    assert [r.match_date for r in out] == [D(2001, 1, 1) + dt.timedelta(days=i) for i in range(39, 19, -1)]
+    few = A.q10_latest_completed(t, k=50).collect()          # only 40 rows exist: candidates exhausted
+    assert len(few) == 40
