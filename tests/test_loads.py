@@ -51,3 +51,21 @@ def test_load_workflows_are_idempotent(spark, tmpdir_path):
     names = {r.player_id: r.full_name for r in load_table(spark, base, "players").collect()}
     assert names == {1: "A", 2: "B", 7: "New"}             # id 7 stubbed from the scorecard
     assert load_table(spark, base, "batting_stats").count() == 2
+
+
+def test_load_cli_from_files(spark, tmpdir_path):
+    import os
+    from crease import load
+    landing = os.path.join(tmpdir_path, "landing")
+    os.makedirs(landing)
+    with open(os.path.join(landing, "p1.json"), "w") as fh:
+        fh.write(json.dumps({"players": [{"id": "5", "name": "E"}, {"id": "6", "name": "F"}]}) + "\n")
+        fh.write("not json\n")
+        fh.write(json.dumps({"player": [{"id": "5", "name": "E-later"}]}) + "\n")
+    tables = os.path.join(tmpdir_path, "tables")
+    first = load.run(spark, "players", landing, tables)
+    assert first == [{"table": "players", "inserted": 2, "rejected": 1}]
+    again = load.run(spark, "players", landing, tables)
+    assert again[0]["inserted"] == 0
+    names = {r.player_id: r.full_name for r in load_table(spark, tables, "players").collect()}
+    assert names == {5: "E", 6: "F"}                   # first occurrence in file order
