@@ -59,6 +59,22 @@ def q_extract_matches(spark: SparkSession, d: str) -> DataFrame:
     return out["matches"]
 
 
+def q_load_matches_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """I6 + I9 through the ingest workflow: all match lists into an empty table folder.
+
+    Every team and venue is new, so each gets an id in name order; the stored
+    matches must carry those ids.
+    """
+    from crease.operators.loads import load_matches
+    from crease.plans.product_queries import scratch_dir
+    from crease.sources.tables import load_table
+
+    t = fixture_tables(spark, d)
+    out = scratch_dir(spark, "fresh-tables")
+    load_matches(_docs(N.match_list_docs(t), "match_list"), out, stage_dir=out + "-stage")
+    return load_table(spark, out, "matches")
+
+
 def q_assign_keys(spark: SparkSession, d: str) -> DataFrame:
     """Team names from the nations plus every part brand; brands get new ids after max(team_id)."""
     t = fixture_tables(spark, d)
@@ -174,6 +190,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i07_dedupe": q_dedupe,
     "i08_new_rows": q_new_rows,
     "i09_assign_keys": q_assign_keys,
+    "i09b_load_matches_fresh": q_load_matches_fresh,
     "i10_ensure_members": q_ensure_members,
     "i11_extract_batting": q_extract_batting,
     "i12_extract_bowling": q_extract_bowling,
@@ -252,6 +269,23 @@ SELECT team_name, team_id FROM teams
 UNION ALL
 SELECT b AS team_name, (SELECT MAX(team_id) FROM teams) + ROW_NUMBER() OVER (ORDER BY b) AS team_id
 FROM (SELECT DISTINCT p_brand AS b FROM part WHERE p_brand NOT IN (SELECT team_name FROM teams))""",
+    "i09b_load_matches_fresh": """
+WITH used AS (
+  SELECT m.*, t1.team_name AS t1n, t2.team_name AS t2n, v.venue_name AS vn
+  FROM matches m
+  LEFT JOIN teams t1 ON t1.team_id = m.team1_id
+  LEFT JOIN teams t2 ON t2.team_id = m.team2_id
+  LEFT JOIN venues v ON v.venue_id = m.venue_id),
+team_ids AS (SELECT n, ROW_NUMBER() OVER (ORDER BY n) AS id
+             FROM (SELECT t1n AS n FROM used UNION SELECT t2n FROM used)),
+venue_ids AS (SELECT vn, ROW_NUMBER() OVER (ORDER BY vn) AS id FROM (SELECT DISTINCT vn FROM used))
+SELECT u.match_id, u.match_description, u.match_date, u.match_status, a.id AS team1_id, b.id AS team2_id,
+       COALESCE(u.winning_team, '') AS winning_team, CAST(u.victory_margin AS BIGINT) AS victory_margin,
+       u.victory_type, c.id AS venue_id, u.toss_winner, u.toss_decision
+FROM used u
+JOIN team_ids a ON a.n = u.t1n
+JOIN team_ids b ON b.n = u.t2n
+JOIN venue_ids c ON c.vn = u.vn""",
     "i10_ensure_members": """
 SELECT b.player_id, 'Unknown' AS full_name, 'Unknown' AS country, 'Unknown' AS playing_role,
        'Unknown' AS batting_style, 'Unknown' AS bowling_style
