@@ -20,7 +20,13 @@ class LoadReport:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select and cast the target table's columns in declared order (missing -> NULL)."""
+    """Select and cast the target table's columns in declared order (missing -> NULL).
+
+    Casts are strict under ANSI mode: a value that does not fit the declared
+    type (e.g. a rate above 999.99 for DECIMAL(5,2)) fails the write, as the
+    source database's strict mode rejects the insert, instead of being
+    silently replaced by NULL.
+    """
     schema = table_schema(table)
     cols = []
     for f in schema.fields:
