@@ -1,5 +1,6 @@
 """Property tests against small pure-Python models."""
 
+import os
 from decimal import ROUND_HALF_UP, Decimal
 
 from hypothesis import HealthCheck, given, settings
@@ -10,7 +11,9 @@ from crease.functions.semantics import round2
 from crease.operators.changes import apply_changes
 from crease.operators.keys import consecutive_ids, dedupe
 
-SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+# CREASE_EXAMPLES raises the example count for a deeper one-off run
+SETTINGS = settings(max_examples=int(os.environ.get("CREASE_EXAMPLES", "12")), deadline=None,
+                    suppress_health_check=list(HealthCheck))
 
 
 @SETTINGS
@@ -78,3 +81,57 @@ def test_apply_changes_model(spark, base_rows, changes):
     out, _ = apply_changes(b, ch, ["player_id"])
     got = {r.player_id: {"full_name": r.full_name, "country": r.country} for r in out.collect()}
     assert got == _model(base, changes)
+
+
+_num = st.integers(0, 250).map(str)
+_rate = st.decimals(min_value=0, max_value=1500, places=2, allow_nan=False).map(lambda d: f"{d:,}")
+_batter = st.fixed_dictionaries({"id": st.integers(1, 99).map(str)},
+                                optional={"runs": _num, "balls": _num, "strkrate": _rate,
+                                          "outdec": st.sampled_from(["", "  ", "b X", "not out"])})
+_bowler = st.fixed_dictionaries({"id": st.integers(1, 99).map(str)},
+                                optional={"overs": st.decimals(min_value=0, max_value=50, places=2).map(str),
+                                          "runs": _num, "wickets": st.integers(0, 10).map(str),
+                                          "econ": st.decimals(min_value=0, max_value=36, places=2).map(str)})
+_innings = st.fixed_dictionaries({}, optional={"batsman": st.lists(_batter, max_size=6),
+                                               "bowler": st.lists(_bowler, max_size=4)})
+
+
+def _source_batting(doc):
+    """The source's batting loop, line by line in Python."""
+    out = []
+    for innings in doc["scorecard"]:
+        for position, b in enumerate(innings.get("batsman", []), start=1):
+            out.append((int(b["id"]), int(b.get("runs", 0)), int(b.get("balls", 0)),
+                        float(b.get("strkrate", "0").replace(",", "")), position,
+                        b.get("outdec", "").strip() != ""))
+    return sorted(out)
+
+
+def _source_bowling(doc):
+    """The source's bowling loop; DECIMAL columns keep the text's value rounded half up."""
+    q = lambda s, e: Decimal(str(float(s.replace(",", "")))).quantize(Decimal(e), rounding=ROUND_HALF_UP)
+    out = []
+    for innings in doc["scorecard"]:
+        for b in innings.get("bowler", []):
+            out.append((int(b["id"]), q(b.get("overs", "0"), "0.1"), int(b.get("runs", 0)),
+                        int(b.get("wickets", 0)), q(b.get("econ", "0"), "0.01")))
+    return sorted(out)
+
+
+@SETTINGS
+@given(st.lists(_innings, min_size=1, max_size=3))
+def test_scorecard_extractors_follow_the_source_loops(spark, innings):
+    import json
+
+    from crease.operators import ingest as I
+    from crease.sources.documents import parse_documents
+    from crease.sources.schemas import doc_schema
+    doc = {"matchId": "77", "scorecard": innings}
+    good, _ = parse_documents(spark.createDataFrame([(json.dumps(doc),)], "value string"), "value",
+                              doc_schema("scorecard"))
+    bat = sorted((r.player_id, r.runs_scored, r.balls_faced, r.strike_rate, r.batting_position, r.is_out)
+                 for r in I.extract_batting(good).collect())
+    assert bat == _source_batting(doc)
+    bowl = sorted((r.player_id, r.overs_bowled, r.runs_conceded, r.wickets_taken, r.economy_rate)
+                  for r in I.extract_bowling(good).collect())
+    assert bowl == _source_bowling(doc)
