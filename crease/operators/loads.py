@@ -63,8 +63,16 @@ def load_venues(series_docs: DataFrame | None, match_docs: DataFrame | None, bas
 
 
 def load_matches(docs: DataFrame, base_dir: str, stage_dir: str | None = None) -> list[LoadReport]:
-    """Wrapped match lists -> new matches, plus teams and venues created on the way."""
+    """Wrapped match lists -> new matches, plus teams and venues created on the way.
+
+    The flattened rows are staged once (by default in `<base_dir>/_staging/`,
+    next to the tables on the same shared storage) so the key-numbering passes
+    read compact Parquet instead of re-parsing the documents.
+    """
     spark = docs.sparkSession
+    if stage_dir is None:
+        import uuid
+        stage_dir = os.path.join(base_dir, "_staging", f"matches-{uuid.uuid4().hex}")
     out = I.extract_matches(docs, stored(spark, base_dir, "teams"), stored(spark, base_dir, "venues"),
                             existing=stored(spark, base_dir, "matches"), stage_dir=stage_dir)
     return [append_rows(out["new_teams"], base_dir, "teams"),
