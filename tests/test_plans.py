@@ -92,3 +92,15 @@ def test_runner_writes_a_named_question(spark, tmpdir_path):
     assert spark.read.parquet(out).count() == A.q16_yearly_batting(fixture_tables(spark, SF_SMALL),
                                                                    since="1996-01-01").count()
     assert "q23_recent_form(short=5" in run.describe()
+
+
+def test_every_question_same_on_bucketed_layout(spark, tmpdir_path):
+    from crease.plans.registry import normalize_types
+    from crease.sources.tables import write_bucketed_tables
+    src = fixture_tables(spark, SF_SMALL)
+    bucketed = write_bucketed_tables(spark, src, tmpdir_path, 4, prefix="all_")
+    for name, fn in A.ALL_QUERIES.items():
+        params = FIXTURE_PARAMS.get(name, {})
+        a = sorted(map(tuple, normalize_types(fn(src, **params)).collect()), key=repr)
+        b = sorted(map(tuple, normalize_types(fn(bucketed, **params)).collect()), key=repr)
+        assert a == b, name
