@@ -81,7 +81,11 @@ def top_k_with_lookups(facts: DataFrame, order: Sequence, k: int, lookup, exact_
     """
     from crease.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(facts.sparkSession)
+    try:
+        ensure_checkpoint_dir(facts.sparkSession)
+    except Exception:  # noqa: BLE001 - no checkpoint support (e.g. a remote session): plain plan
+        n_plain = exact_fallback(facts) if exact_fallback else lookup(facts, False)
+        return n_plain.orderBy(*order).limit(k)
     n = k
     while n <= max_candidates:
         # n rows, written once to the shared checkpoint folder: the counts and
