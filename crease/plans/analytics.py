@@ -122,8 +122,8 @@ def _match_with_names(tables: Tables, m: DataFrame, small: bool = False) -> Data
 def q02_recent_matches(tables: Tables, days: int = 30, as_of=None) -> DataFrame:
     m = tables["matches"].filter(F.col("match_date") >= days_back(days, as_of))
     return (_match_with_names(tables, m)
-            .select("match_description", "team1", "team2", "venue_name", "city", "match_date")
-            .orderBy(F.col("match_date").desc()))
+            .orderBy(F.col("match_date").desc(), F.col("match_id").desc())
+            .select("match_description", "team1", "team2", "venue_name", "city", "match_date"))
 
 
 def q03_top_run_scorers(tables: Tables, fmt: str = "ODI", k: int = 10) -> DataFrame:
@@ -138,8 +138,8 @@ def q03_top_run_scorers(tables: Tables, fmt: str = "ODI", k: int = 10) -> DataFr
 
 def q04_large_venues(tables: Tables, min_capacity: int = 50000) -> DataFrame:
     return (tables["venues"].filter(F.col("capacity") > min_capacity)
-            .select("venue_name", "city", "country", "capacity")
-            .orderBy(F.col("capacity").desc()))
+            .orderBy(F.col("capacity").desc(), F.col("venue_id").asc())
+            .select("venue_name", "city", "country", "capacity"))
 
 
 def q05_team_wins(tables: Tables, status: str = COMPLETED, case_insensitive: bool = False) -> DataFrame:
@@ -153,7 +153,7 @@ def q05_team_wins(tables: Tables, status: str = COMPLETED, case_insensitive: boo
         cond = wins.winning_team == t.team_name
     return (wins.join(t, cond)
             .groupBy("team_name").agg(F.sum("n").alias("total_wins"))
-            .orderBy(F.col("total_wins").desc()))
+            .orderBy(F.col("total_wins").desc(), F.col("team_name").asc()))
 
 
 def q06_role_counts(tables: Tables) -> DataFrame:
@@ -330,7 +330,7 @@ def q18_economical_bowlers(tables: Tables, formats: Sequence[str] = ("ODI", "T20
     return (g.select("player_id", "matches_played", "total_overs", "total_runs", "total_wickets",
                      round_half_up(div_decimal(F.col("total_runs").cast("decimal(20,0)"),
                                                F.col("total_overs"), 4)).alias("economy_rate"))
-            .orderBy(F.col("economy_rate").asc_nulls_first()))
+            .orderBy(F.col("economy_rate").asc_nulls_first(), F.col("player_id").asc()))
 
 
 def q19_consistent_batsmen(tables: Tables, min_balls: int = 10, since="2022-01-01",
@@ -343,7 +343,7 @@ def q19_consistent_batsmen(tables: Tables, min_balls: int = 10, since="2022-01-0
                  F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= min_rows)
             .select("player_id", "avg_runs", "run_std_dev")
-            .orderBy(F.col("run_std_dev").asc_nulls_first()))
+            .orderBy(F.col("run_std_dev").asc_nulls_first(), F.col("player_id").asc()))
 
 
 def q20a_format_counts(tables: Tables, formats: Sequence[str] = FORMATS) -> DataFrame:
@@ -418,7 +418,7 @@ def q21_performance_ranking(tables: Tables, preaggregate: bool = False, **weight
                      bowling.cast("double").alias("bowling_points"),
                      fielding.cast("double").alias("fielding_points"),
                      F.round(batting + bowling + fielding, 2).cast("double").alias("total_score"))
-            .orderBy(F.col("total_score").desc_nulls_last()))
+            .orderBy(F.col("total_score").desc_nulls_last(), F.col("player_id").asc(), F.col("format").asc()))
 
 
 def q22a_head_to_head(tables: Tables, years: int = 3, min_matches: int = 5, as_of=None,
