@@ -16,7 +16,7 @@ Plan notes that hold for the whole module
 * Joins carry no broadcast hint: Spark broadcasts a side only when its
   measured size is under `spark.sql.autoBroadcastJoinThreshold`, and AQE
   re-plans with runtime sizes; otherwise it sort-merge joins.
-* Every top-k / row_number has a unique tie-break so results are deterministic.
+* Every ORDER BY, top-k and row_number has a unique tie-break, so results and their order are deterministic.
 """
 
 from __future__ import annotations
