@@ -153,3 +153,13 @@ def test_extract_matches_staged_equals_lazy(spark, tmpdir_path):
     staged = I.extract_matches(d, teams, venues, stage_dir=tmpdir_path)
     for k in ("matches", "new_teams", "new_venues", "duplicates"):
         assert sorted(lazy[k].collect()) == sorted(staged[k].collect()), k
+
+
+def test_first_present_and_squad_lists(spark):
+    df = spark.createDataFrame([(None, "b", "c"), ("a", None, "c"), (None, None, None)], "x string, y string, z string")
+    assert [r.v for r in df.select(I.first_present("x", "y", "z").alias("v")).collect()] == ["b", "a", None]
+    d = docs(spark, "squad", [{"matchId": "3", "team": [{"players": [{"name": "A", "playingRole": "Playing XI"},
+                                                                       {"name": "B", "playingRole": "Playing XI"},
+                                                                       {"name": "C", "playingRole": "Bench"}]}]}])
+    got = {r.group: sorted(r.names) for r in P.squad_lists(d).collect()}
+    assert got == {"playing XI": ["A", "B"], "bench": ["C"]}
