@@ -1,7 +1,11 @@
 """Spark session defaults for this library.
 
-Everything here is ordinary Spark configuration.  On a cluster the session is
-created by the platform; `get_session` only fills in settings that are unset.
+Everything here is ordinary Spark configuration.  `get_session` builds a
+session with these defaults (on an existing session Spark applies the SQL
+options of the builder as well); the session time zone is always pinned to
+UTC because epoch conversions depend on it.  The checkpoint folder is only
+read from the cluster's `spark.checkpoint.dir`, and created locally only
+when that is unset (tests).
 """
 
 from __future__ import annotations
