@@ -113,6 +113,35 @@ def write_tables(tables: Mapping[str, DataFrame], base_dir: str, names: list[str
             f.result()
 
 
+# Partition layout: filters on these columns prune whole folders.  Dates are
+# the columns the questions filter by range (Q2, Q16, Q19, Q22), format the
+# one they filter by value (Q3, Q18, Q20).
+PARTITIONING: dict[str, list[str]] = {
+    "matches": ["match_date"],
+    "player_recent_form": ["match_date"],
+    "batting_stats": ["format"],
+    "bowling_stats": ["format"],
+    "player_format_summary": ["format"],
+}
+
+
+def write_partitioned_tables(tables: Mapping[str, DataFrame], base_dir: str, names: list[str] | None = None,
+                             mode: str = "overwrite") -> None:
+    """Store tables as Parquet, partitioning those in PARTITIONING by folder.
+
+    Rows are first clustered by the partition columns so each write task
+    produces few files per partition.  `load_table` reads them back with the
+    declared schema, partition columns included.
+    """
+    for name in names or list(tables):
+        df = tables[name]
+        w = df.write.mode(mode)
+        if name in PARTITIONING:
+            cols = PARTITIONING[name]
+            w = df.repartition(*cols).write.mode(mode).partitionBy(*cols)
+        w.parquet(os.path.join(base_dir, name))
+
+
 # Storage layout for co-located joins at scale: every table that joins on
 # match_id is bucketed by it with one shared bucket count, so a sort-merge
 # join between two of them reads matching buckets and shuffles neither side.

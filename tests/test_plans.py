@@ -122,3 +122,25 @@ def test_questions_same_without_broadcast(spark, tables):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert with_bc == without
+
+
+def test_partitioned_layout_prunes_and_matches(spark, tmpdir_path):
+    from crease.plans.registry import normalize_types
+    from crease.sources.tables import PARTITIONING, load_tables, write_partitioned_tables
+    src = fixture_tables(spark, SF_SMALL)
+    names = list(PARTITIONING) + ["players", "teams", "venues", "fielding_stats"]
+    write_partitioned_tables(src, tmpdir_path, names)
+    part = load_tables(spark, tmpdir_path, names)
+    assert dict(part["matches"].dtypes)["match_date"] == "date"
+    q2 = A.q02_recent_matches(part, as_of="2001-08-01")
+    assert "PartitionFilters: [isnotnull(match_date" in q2._jdf.queryExecution().executedPlan().toString()
+    q18 = A.q18_economical_bowlers(part)
+    assert "PartitionFilters: [format" in q18._jdf.queryExecution().executedPlan().toString() or \
+        "PartitionFilters: [isnotnull(format" in q18._jdf.queryExecution().executedPlan().toString()
+    for name in ("q02_recent_matches", "q03_top_run_scorers", "q16_yearly_batting", "q18_economical_bowlers",
+                 "q19_consistent_batsmen", "q20a_format_counts", "q21_performance_ranking", "q22a_head_to_head",
+                 "q23_recent_form", "k2_date_range"):
+        fn, params = A.ALL_QUERIES[name], FIXTURE_PARAMS.get(name, {})
+        a = sorted(map(tuple, normalize_types(fn(src, **params)).collect()), key=repr)
+        b = sorted(map(tuple, normalize_types(fn(part, **params)).collect()), key=repr)
+        assert a == b, name
