@@ -177,6 +177,11 @@ def parse_decimal(x, precision: int, scale: int) -> Column:
     return F.regexp_replace(_c(x).cast("string"), ",", "").try_cast(f"decimal({precision},{scale})")
 
 
+def unreadable(text, parsed) -> Column:
+    """TRUE when a field holds text (not blank) that did not parse."""
+    return non_blank(_c(text).cast("string")) & parsed.isNull()
+
+
 def text_or(x, default: str = "") -> Column:
     """Value of a text field, or `default` when the key is missing / null."""
     return F.coalesce(_c(x).cast("string"), F.lit(default))

@@ -4,10 +4,14 @@
     spark-submit crease/load.py --kind venues --docs /landing/series_venues \
         --docs2 /landing/match_lists_flat --tables /data/warehouse
 
-Documents are read line by line with the kind's explicit schema; malformed
-ones are counted as rejected and skipped.  Every workflow appends only rows
-whose key is not stored yet, so a rerun adds nothing.  One JSON line per
-target table is printed: {"table": ..., "inserted": ..., "rejected": ...}.
+    spark-submit crease/load.py --kind master --docs /landing/scorecards \
+        --docs2 /landing/batting_careers --docs3 /landing/bowling_careers --tables /data/warehouse
+
+Documents are read line by line with the kind's explicit schema and parsed
+once; malformed ones are counted as rejected and skipped, as are rows with
+unreadable numbers.  Every workflow appends only rows that are not stored yet,
+so a rerun adds nothing.  One JSON line per target table is printed:
+{"table": ..., "inserted": ..., "rejected": ...}.
 """
 
 from __future__ import annotations
@@ -29,49 +33,64 @@ KINDS = {
     "batting": "scorecard",
     "bowling": "scorecard",
     "player_match": "player_matches",
+    "master": "detailed_scorecard",
 }
 
 
 def run(spark, kind: str, docs_path: str, tables: str, docs2: str | None = None,
-        multi_line: bool = False) -> list[dict]:
+        multi_line: bool = False, docs3: str | None = None) -> list[dict]:
+    from pyspark.sql import Observation
+
     from crease.operators import loads as L
+    from crease.operators.ingest import ingest_all
     from crease.sources.documents import read_documents
     from crease.sources.schemas import doc_schema
 
-    docs, rejected = read_documents(spark, docs_path, doc_schema(KINDS[kind]), multi_line=multi_line,
-                                    with_order=True)
-    n_rejected = rejected.count()
+    seen: list[Observation] = []
+
+    def read(path: str, schema: str):
+        seen.append(Observation())
+        return read_documents(spark, path, doc_schema(schema), multi_line=multi_line, with_order=True,
+                              observe=seen[-1])[0]
+
+    docs = read(docs_path, KINDS[kind])
     if kind == "players":
         reports = [L.load_players(docs, tables)]
     elif kind == "teams":
         reports = [L.load_teams(docs, tables)]
     elif kind == "venues":
-        flat = read_documents(spark, docs2, doc_schema("match_list"), multi_line=multi_line)[0] if docs2 else None
-        reports = [L.load_venues(docs, flat, tables)]
+        reports = [L.load_venues(docs, read(docs2, "match_list") if docs2 else None, tables)]
     elif kind == "matches":
         reports = L.load_matches(docs, tables)
     elif kind == "batting":
         reports = L.load_batting(docs, tables)
     elif kind == "bowling":
         reports = L.load_bowling(docs, tables)
+    elif kind == "master":
+        reports = ingest_all(docs, read(docs2, "career"), read(docs3, "career"), tables)
     else:
         reports = [L.load_player_match(docs, tables)]
-    return [{"table": r.table, "inserted": r.inserted, "rejected": n_rejected} for r in reports]
+    # the documents' parse counted the malformed ones
+    bad_documents = sum(int(o.get.get("rejected", 0)) for o in seen)
+    return [{"table": r.table, "inserted": r.inserted, "rejected": bad_documents + r.rejected} for r in reports]
 
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--kind", required=True, choices=sorted(KINDS))
     ap.add_argument("--docs", required=True, help="file, folder or glob of JSON documents")
-    ap.add_argument("--docs2", help="venues only: flat match-list documents")
+    ap.add_argument("--docs2", help="venues: flat match-list documents; master: batting careers")
+    ap.add_argument("--docs3", help="master: bowling careers")
     ap.add_argument("--tables", required=True, help="folder of stored tables")
     ap.add_argument("--multi-line", action="store_true", help="one document per file")
     args = ap.parse_args(argv)
+    if args.kind == "master" and not (args.docs2 and args.docs3):
+        ap.error("--kind master needs --docs2 and --docs3")
 
     from crease.session import get_session
 
     spark = get_session(app=f"crease-load-{args.kind}")
-    for line in run(spark, args.kind, args.docs, args.tables, args.docs2, args.multi_line):
+    for line in run(spark, args.kind, args.docs, args.tables, args.docs2, args.multi_line, args.docs3):
         print(json.dumps(line))
     return 0
 

@@ -1,8 +1,8 @@
 """Row mutations as change sets: validated insert, update, delete.
 
-`apply_changes` is one full outer join of the table with the latest change
-per key, so it is a single shuffle on the key whatever the table size.  The
-result is a new DataFrame; write it to a new path and swap, never over the
+`apply_changes` left-joins the table with the latest updates and deletes per
+key and adds the checked inserts, so Spark can broadcast a small change set and
+leave the table unshuffled.  The result is a new DataFrame; write it to a new path and swap, never over the
 path being read.
 """
 
@@ -49,15 +49,10 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str],
     ch = latest.select(*keys, F.col("op").alias("_op"),
                        *[F.col(c).alias(f"_c_{c}") if c in changes.columns
                          else F.lit(None).cast(base.schema[c].dataType).alias(f"_c_{c}") for c in values])
-    b = base.withColumn("_in_base", F.lit(True))
-    j = b.join(ch, keys, "full_outer")
-    in_base = F.col("_in_base").isNotNull()
-    op = F.col("_op")
-
     valid = F.lit(True)
     for k in keys:
         if dict(base.dtypes)[k] in ("int", "bigint", "smallint"):
-            valid = valid & (F.col(k) > 0)
+            valid = valid & F.coalesce(F.col(k) > 0, F.lit(False))
     for c in required:
         valid = valid & non_blank(F.col(f"_c_{c}"))
 
@@ -65,17 +60,17 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str],
         col = F.col(f"_c_{c}")
         return F.trim(col) if dict(base.dtypes)[c] == "string" else col
 
-    keep_base = in_base & (op.isNull() | (op == "I"))
-    updated = in_base & (op == "U")
-    inserted = ~in_base & (op == "I") & valid
-    out_cols = [F.when(updated, F.coalesce(F.col(f"_c_{c}"), F.col(c)))
-                .when(inserted, trimmed(c)).otherwise(F.col(c)).alias(c) for c in values]
-    result = (j.where(keep_base | updated | inserted)
-              .select(*keys, *out_cols).select(*base.columns))
-    rejected = j.where((op == "I") & (in_base | ~valid)).select(*keys, op.alias("op"),
-                                                                F.when(in_base, "duplicate key")
-                                                                .otherwise("invalid row").alias("reason"))
-    return result, rejected
+    changed = base.join(ch.where(F.col("_op").isin("U", "D")), keys, "left")
+    kept = changed.where(F.col("_op").isNull() | (F.col("_op") == "U")).select(
+        *keys, *[F.when(F.col("_op") == "U", F.coalesce(F.col(f"_c_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
+                 for c in values])
+    inserts = ch.where(F.col("_op") == "I")
+    fresh = inserts.join(base.select(*keys), keys, "left_anti")
+    added = fresh.where(valid).select(*keys, *[trimmed(c).alias(c) for c in values])
+    again = inserts.join(base.select(*keys).distinct(), keys, "left_semi")
+    rejected = again.select(*keys, F.col("_op").alias("op"), F.lit("duplicate key").alias("reason")).unionByName(
+        fresh.where(~valid).select(*keys, F.col("_op").alias("op"), F.lit("invalid row").alias("reason")))
+    return kept.unionByName(added).select(*base.columns), rejected
 
 
 def players_change_set(players: DataFrame) -> DataFrame:

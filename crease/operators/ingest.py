@@ -7,19 +7,21 @@ Missing keys and JSON nulls both take the source's default (SURVEY 8.10).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions.semantics import (
     epoch_ms_to_date, month_to_quarter, non_blank, parse_decimal, parse_double, parse_int,
-    parse_long, round_dec, round_float, text_or,
+    parse_long, round_dec, round_float, text_or, unreadable,
 )
 from crease.operators.keys import assign_keys, dedupe, dedupe_all, ensure_members, new_rows
 from crease.sources.documents import DOC_ORDER
-from crease.sources.sinks import LoadReport, append_rows
+from crease.session import delete_folder
+from crease.sources.sinks import LoadReport, append_rows, stage_lines
+from crease.sources.tables import load_table, path_exists
 
 UNKNOWN = "Unknown"
 DEFAULT_FORMAT = "T20I"
@@ -211,58 +213,101 @@ def extract_matches(docs: DataFrame, teams: DataFrame, venues: DataFrame,
 # Innings scorecards
 # ---------------------------------------------------------------------------
 
+FAULT = "fault"
+
+
+def read_fields(rows: DataFrame, plain: Sequence[Column], numbers: dict[str, tuple], with_faults: bool) -> DataFrame:
+    """Rows of plain columns and parsed numbers.
+
+    `numbers` maps an output name to (raw text, parsed value, default, or None
+    for no default).  A missing or blank field takes the default; text that
+    does not parse is a fault.  `with_faults=True` returns every row with the
+    names of its faulty fields in `fault` ('' when it has none); otherwise
+    faulty rows are left out.
+    """
+    values = [(parsed if default is None else F.coalesce(parsed, default)).alias(n)
+              for n, (_, parsed, default) in numbers.items()]
+    bad = [F.when(unreadable(raw, parsed), F.lit(n)) for n, (raw, parsed, _) in numbers.items()]
+    out = rows.select(*plain, *values, F.concat_ws(",", *bad).alias(FAULT))
+    return out if with_faults else out.where(F.col(FAULT) == "").drop(FAULT)
+
+
+def _number(raw: str, parse=parse_int, default=0) -> tuple:
+    return F.col(raw), parse(raw), None if default is None else F.lit(default)
+
+
+def _decimal(raw: str, precision: int, scale: int) -> tuple:
+    return (F.col(raw), parse_decimal(raw, precision, scale),
+            F.lit(0).cast(f"decimal({precision},{scale})"))
+
+
 def _innings(docs: DataFrame, match_id: str | None) -> DataFrame:
-    mid = parse_long(match_id or "matchId")
-    return docs.select(mid.alias("match_id"), F.col("format").alias("_doc_format") if "format" in docs.columns
+    return docs.select(F.col(match_id or "matchId").cast("string").alias("_match"),
+                       F.col("format").alias("_doc_format") if "format" in docs.columns
                        else F.lit(None).cast("string").alias("_doc_format"),
-                       F.explode(F.coalesce(F.col("scorecard"), F.array())).alias("inn"))
+                       F.posexplode(F.coalesce(F.col("scorecard"), F.array())).alias("_inn", "inn"))
+
+
+def _line_numbers(position: str = "pos") -> list[Column]:
+    """1-based place of the innings in its document, and of the line in its innings."""
+    return [(F.col("_inn") + 1).cast("int").alias("innings_number"),
+            (F.col(position) + 1).cast("int").alias("line_number")]
 
 
 def extract_batting(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str | None = None,
-                    not_out_values: Sequence[str] = ()) -> DataFrame:
-    """Batsman lines -> batting_stats rows.
+                    not_out_values: Sequence[str] = (), with_faults: bool = False) -> DataFrame:
+    """Batsman lines -> batting_stats rows, one per line of every innings.
 
     Position is the 1-based order within the innings list; the strike rate
     loses thousands separators; `is_out` is true for any non-blank dismissal
     text (SURVEY D10); pass e.g. `not_out_values=("not out",)` to treat those
     texts (compared trimmed, case-folded) as not out.  The format comes from
     the document when it has one, else `fmt` (the source stamps every row
-    'T20I', D11).
+    'T20I', D11).  Missing numbers are 0; lines with unreadable ones are left
+    out, or marked (`read_fields`).
     """
     out_text = F.col("b.outdec")
     is_out = non_blank(out_text)
     if not_out_values:
         is_out = is_out & ~F.lower(F.trim(out_text)).isin([v.strip().lower() for v in not_out_values])
     inn = _innings(docs, match_id)
-    b = inn.select("match_id", "_doc_format", F.posexplode(F.coalesce(F.col("inn.batsman"), F.array()))
+    b = inn.select("_match", "_doc_format", "_inn", F.posexplode(F.coalesce(F.col("inn.batsman"), F.array()))
                    .alias("pos", "b"))
-    return (b.where(non_blank(F.col("b.id")))
-            .select(parse_long("b.id").alias("player_id"), "match_id",
-                    F.coalesce(F.col("_doc_format"), F.lit(fmt)).alias("format"),
-                    F.coalesce(parse_int("b.runs"), F.lit(0)).alias("runs_scored"),
-                    F.coalesce(parse_int("b.balls"), F.lit(0)).alias("balls_faced"),
-                    F.coalesce(parse_double("b.strkrate"), F.lit(0.0)).alias("strike_rate"),
-                    (F.col("pos") + 1).cast("int").alias("batting_position"),
-                    is_out.alias("is_out"),
-                    text_or("b.name", UNKNOWN).alias("name")))
-
-
-def extract_bowling(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str | None = None) -> DataFrame:
-    """Bowler lines -> bowling_stats rows (numbers lose thousands separators)."""
+    innings, position = _line_numbers()
+    return read_fields(
+        b.where(non_blank(F.col("b.id"))),
+        [F.coalesce(F.col("_doc_format"), F.lit(fmt)).alias("format"), innings, position.alias("batting_position"),
+         is_out.alias("is_out"), text_or("b.name", UNKNOWN).alias("name")],
+        {"player_id": _number("b.id", parse_long, None), "match_id": _number("_match", parse_long, None),
+         "runs_scored": _number("b.runs"), "balls_faced": _number("b.balls"),
+         "strike_rate": _number("b.strkrate", parse_double, 0.0)}, with_faults)
+
+
+def extract_bowling(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str | None = None,
+                    with_faults: bool = False) -> DataFrame:
+    """Bowler lines -> bowling_stats rows, one per line of every innings.
+
+    Numbers lose thousands separators; a rate that does not fit its column is unreadable.
+    """
     inn = _innings(docs, match_id)
-    b = inn.select("match_id", "_doc_format", F.explode(F.coalesce(F.col("inn.bowler"), F.array())).alias("b"))
-    return (b.where(non_blank(F.col("b.id")))
-            .select(parse_long("b.id").alias("player_id"), "match_id",
-                    F.coalesce(F.col("_doc_format"), F.lit(fmt)).alias("format"),
-                    F.coalesce(parse_decimal("b.overs", 4, 1), F.lit(0).cast("decimal(4,1)")).alias("overs_bowled"),
-                    F.coalesce(parse_int("b.runs"), F.lit(0)).alias("runs_conceded"),
-                    F.coalesce(parse_int("b.wickets"), F.lit(0)).alias("wickets_taken"),
-                    F.coalesce(parse_decimal("b.econ", 4, 2), F.lit(0).cast("decimal(4,2)")).alias("economy_rate"),
-                    text_or("b.name", UNKNOWN).alias("name")))
+    b = inn.select("_match", "_doc_format", "_inn", F.posexplode(F.coalesce(F.col("inn.bowler"), F.array()))
+                   .alias("pos", "b"))
+    return read_fields(
+        b.where(non_blank(F.col("b.id"))),
+        [F.coalesce(F.col("_doc_format"), F.lit(fmt)).alias("format"), *_line_numbers(),
+         text_or("b.name", UNKNOWN).alias("name")],
+        {"player_id": _number("b.id", parse_long, None), "match_id": _number("_match", parse_long, None),
+         "overs_bowled": _decimal("b.overs", 4, 1), "runs_conceded": _number("b.runs"),
+         "wickets_taken": _number("b.wickets"), "economy_rate": _decimal("b.econ", 4, 2)}, with_faults)
+
+
+#: natural keys: a line's place in its match, a partnership's pair and places
+LINE_KEYS = ["match_id", "innings_number", "line_number", "player_id"]
+PARTNERSHIP_KEYS = ["match_id", "innings_number", "player1_id", "player2_id", "batting_position1", "batting_position2"]
 
 
 def stat_id(*cols: str) -> Column:
-    """Deterministic surrogate key from a natural key."""
+    """Deterministic surrogate id from a natural key; never compared in its place."""
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
@@ -270,20 +315,22 @@ def stat_id(*cols: str) -> Column:
 # Player match list
 # ---------------------------------------------------------------------------
 
-def extract_player_match(docs: DataFrame, player_id: str = "playerId") -> DataFrame:
+def extract_player_match(docs: DataFrame, player_id: str = "playerId", with_faults: bool = False) -> DataFrame:
     """Match list rows with a date, runs and a non-zero ball count.
 
     strike_rate = round((runs / balls) * 100, 2) computed as the source does:
     floating-point division and product, then Python's rounding (`round_float`).
     """
-    m = docs.select(parse_long(player_id).alias("player_id"),
+    m = docs.select(F.col(player_id).cast("string").alias("_player"),
                     F.explode(F.coalesce(F.col("matchBattingStatsList"), F.array())).alias("m"))
-    runs, balls = parse_int("m.runs"), parse_int("m.ballsFaced")
-    return (m.where(non_blank(F.col("m.matchDate")) & runs.isNotNull() & balls.isNotNull() & (balls != 0))
-            .select("player_id",
-                    F.to_date(F.col("m.matchDate")).alias("match_date"),
-                    runs.alias("runs_scored"),
-                    round_float((runs.cast("double") / balls.cast("double")) * F.lit(100.0)).alias("strike_rate")))
+    runs, balls, day = parse_int("m.runs"), parse_int("m.ballsFaced"), F.col("m.matchDate").try_cast("date")
+    there = non_blank(F.col("m.matchDate")) & non_blank(F.col("m.runs")) & non_blank(F.col("m.ballsFaced"))
+    rate = round_float(F.try_divide(runs.cast("double"), balls.cast("double")) * F.lit(100.0))
+    return read_fields(
+        m.where(there & F.coalesce(balls != 0, F.lit(True))), [rate.alias("strike_rate")],
+        {"player_id": _number("_player", parse_long, None), "match_date": (F.col("m.matchDate"), day, None),
+         "runs_scored": (F.col("m.runs"), runs, None), "_balls": (F.col("m.ballsFaced"), balls, None)},
+        with_faults).drop("_balls")
 
 
 # ---------------------------------------------------------------------------
@@ -291,56 +338,55 @@ def extract_player_match(docs: DataFrame, player_id: str = "playerId") -> DataFr
 # ---------------------------------------------------------------------------
 
 def _detailed_innings(docs: DataFrame) -> DataFrame:
-    return docs.select(parse_long("matchId").alias("match_id"),
+    return docs.select(F.col("matchId").cast("string").alias("_match"),
                        F.col("matchHeader.startDate").alias("start_ms"),
-                       F.explode(F.coalesce(F.col("innings"), F.array())).alias("inn"))
+                       F.posexplode(F.coalesce(F.col("innings"), F.array())).alias("_inn", "inn"))
 
 
-def extract_recent_form(docs: DataFrame) -> DataFrame:
+def extract_recent_form(docs: DataFrame, with_faults: bool = False) -> DataFrame:
     """Batters of every innings -> player_recent_form rows (`is_above_50` = runs >= 50).
 
     Documents without a header date or innings yield nothing (source guard).
     """
     inn = _detailed_innings(docs.where(F.col("matchHeader.startDate").isNotNull()))
-    b = inn.select("match_id", "start_ms",
-                   F.explode(F.coalesce(F.col("inn.batting.batters"), F.array())).alias("b"))
-    runs = F.coalesce(parse_int("b.runs"), F.lit(0))
-    return (b.where(non_blank(F.col("b.id")))
-            .select(parse_long("b.id").alias("player_id"), "match_id",
-                    runs.alias("runs_scored"),
-                    F.coalesce(parse_int("b.balls"), F.lit(0)).alias("balls_faced"),
-                    round_dec(F.coalesce(parse_double("b.strikeRate"), F.lit(0.0)), 7).alias("strike_rate"),
-                    (runs >= 50).alias("is_above_50"),
-                    epoch_ms_to_date("start_ms").alias("match_date")))
-
-
-def extract_fielding(docs: DataFrame) -> DataFrame:
+    b = inn.select("_match", "start_ms", "_inn",
+                   F.posexplode(F.coalesce(F.col("inn.batting.batters"), F.array())).alias("pos", "b"))
+    rate = round_dec(parse_double("b.strikeRate"), 7)
+    rows = read_fields(
+        b.where(non_blank(F.col("b.id"))), _line_numbers(),
+        {"player_id": _number("b.id", parse_long, None), "match_id": _number("_match", parse_long, None),
+         "runs_scored": _number("b.runs"), "balls_faced": _number("b.balls"),
+         "strike_rate": (F.col("b.strikeRate"), F.when(F.abs(rate) < 1000, rate), round_dec(F.lit(0.0), 7)),
+         "match_date": (F.col("start_ms"), epoch_ms_to_date("start_ms"), None)}, with_faults)
+    return rows.withColumn("is_above_50", F.col("runs_scored") >= 50)
+
+
+def extract_fielding(docs: DataFrame, with_faults: bool = False) -> DataFrame:
     """I16: fielders of every innings -> fielding_stats rows, counts default 0."""
     inn = _detailed_innings(docs)
-    p = inn.select("match_id", F.explode(F.coalesce(F.col("inn.fielding.players"), F.array())).alias("p"))
-    return (p.where(non_blank(F.col("p.id")))
-            .select(parse_long("p.id").alias("player_id"), "match_id",
-                    F.coalesce(parse_int("p.catches"), F.lit(0)).alias("catches"),
-                    F.coalesce(parse_int("p.stumpings"), F.lit(0)).alias("stumpings"),
-                    F.coalesce(parse_int("p.runouts"), F.lit(0)).alias("runouts"))
-            .withColumn("stat_id", stat_id("match_id", "player_id")))
+    p = inn.select("_match", "_inn", F.posexplode(F.coalesce(F.col("inn.fielding.players"), F.array())).alias("pos", "p"))
+    rows = read_fields(
+        p.where(non_blank(F.col("p.id"))), _line_numbers(),
+        {"player_id": _number("p.id", parse_long, None), "match_id": _number("_match", parse_long, None),
+         "catches": _number("p.catches"), "stumpings": _number("p.stumpings"), "runouts": _number("p.runouts")},
+        with_faults)
+    return rows.withColumn("stat_id", stat_id(*LINE_KEYS))
 
 
-def extract_partnerships(docs: DataFrame) -> DataFrame:
+def extract_partnerships(docs: DataFrame, with_faults: bool = False) -> DataFrame:
     """Partnerships -> batting_partnerships rows (two-element batsmen array)."""
     inn = _detailed_innings(docs)
-    p = inn.select("match_id", parse_int("inn.inningsId").alias("innings_number"),
+    p = inn.select("_match", F.col("inn.inningsId").alias("_no"),
                    F.explode(F.coalesce(F.col("inn.partnerships"), F.array())).alias("p"))
-    b1, b2 = F.try_element_at("p.batsmen", F.lit(1)), F.try_element_at("p.batsmen", F.lit(2))
-    out = (p.where(F.size("p.batsmen") >= 2)
-           .select("match_id", "innings_number",
-                   parse_long(b1.getField("id")).alias("player1_id"),
-                   parse_long(b2.getField("id")).alias("player2_id"),
-                   parse_int(b1.getField("position")).alias("batting_position1"),
-                   parse_int(b2.getField("position")).alias("batting_position2"),
-                   parse_int("p.runs").alias("partnership_runs")))
-    return out.withColumn("partnership_id", stat_id("match_id", "innings_number", "player1_id", "player2_id",
-                                                    "batting_position1", "batting_position2"))
+    p = p.where(F.size("p.batsmen") >= 2).select("*", F.try_element_at("p.batsmen", F.lit(1)).alias("b1"),
+                                                 F.try_element_at("p.batsmen", F.lit(2)).alias("b2"))
+    rows = read_fields(p, [], {
+        "match_id": _number("_match", parse_long, None), "innings_number": _number("_no", parse_int, None),
+        "player1_id": _number("b1.id", parse_long, None), "player2_id": _number("b2.id", parse_long, None),
+        "batting_position1": _number("b1.position", parse_int, None),
+        "batting_position2": _number("b2.position", parse_int, None),
+        "partnership_runs": _number("p.runs", parse_int, None)}, with_faults)
+    return rows.withColumn("partnership_id", stat_id(*PARTNERSHIP_KEYS))
 
 
 # ---------------------------------------------------------------------------
@@ -352,6 +398,17 @@ def _career_stats(docs: DataFrame) -> DataFrame:
                        F.explode(F.coalesce(F.col("stats"), F.array())).alias("s"))
 
 
+def quarterly_months(batting_docs: DataFrame, with_faults: bool = False) -> DataFrame:
+    """The months of every timeline, with their quarter; months with unreadable numbers are left out, or marked."""
+    s = _career_stats(batting_docs)
+    t = s.select("player_id", F.col("s.format").alias("format"),
+                 F.explode(F.coalesce(F.col("s.timeline"), F.array())).alias("t"))
+    rows = read_fields(t, [F.col("player_id"), F.col("format")], {
+        "year": _number("t.year"), "_month": _number("t.month", parse_int, 1), "runs": _number("t.runs"),
+        "sr": _decimal("t.strikeRate", 9, 2), "matches": _number("t.matches")}, with_faults)
+    return rows.withColumn("quarter", month_to_quarter("_month")).drop("_month")
+
+
 def extract_quarterly(batting_docs: DataFrame) -> DataFrame:
     """Monthly timeline -> one row per (player, year, quarter, format).
 
@@ -359,15 +416,7 @@ def extract_quarterly(batting_docs: DataFrame) -> DataFrame:
     months are rolled up: runs and matches summed, the strike rate averaged
     with the month's match count as weight.
     """
-    s = _career_stats(batting_docs)
-    t = s.select("player_id", F.col("s.format").alias("format"),
-                 F.explode(F.coalesce(F.col("s.timeline"), F.array())).alias("t"))
-    months = t.select("player_id", "format",
-                      F.coalesce(parse_int("t.year"), F.lit(0)).alias("year"),
-                      month_to_quarter(F.coalesce(parse_int("t.month"), F.lit(1))).alias("quarter"),
-                      F.coalesce(parse_int("t.runs"), F.lit(0)).alias("runs"),
-                      F.coalesce(parse_decimal("t.strikeRate", 9, 2), F.lit(0).cast("decimal(9,2)")).alias("sr"),
-                      F.coalesce(parse_int("t.matches"), F.lit(0)).alias("matches"))
+    months = quarterly_months(batting_docs)
     return (months.groupBy("player_id", "year", "quarter", "format")
             .agg(F.sum("runs").cast("int").alias("total_runs"),
                  round_dec(F.try_divide(F.sum(F.col("sr") * F.col("matches")), F.sum("matches")), 7)
@@ -381,11 +430,15 @@ def merge_format_summary(batting_docs: DataFrame, bowling_docs: DataFrame) -> Da
     A format listed twice in one document keeps its last entry (the source
     builds a dict by format).
     """
-    def last_per_format(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    def last_per_format(docs: DataFrame, fields: dict[str, Column], read: dict) -> DataFrame:
         s = docs.select(parse_long("playerId").alias("player_id"),
                         F.posexplode(F.coalesce(F.col("stats"), F.array())).alias("i", "s"))
-        s = s.where(F.col("s.format").isNotNull()).select("player_id", F.col("s.format").alias("format"),
-                                                          "i", *[c.alias(k) for k, c in fields.items()])
+        good = F.lit(True)
+        for k, size in read.items():  # entries with unreadable numbers are rejected (career_faults)
+            parsed = parse_int(f"s.{k}") if size is None else parse_decimal(f"s.{k}", *size)
+            good = good & ~unreadable(f"s.{k}", parsed)
+        s = s.where(F.col("s.format").isNotNull() & good).select(
+            "player_id", F.col("s.format").alias("format"), "i", *[c.alias(k) for k, c in fields.items()])
         rest = list(fields)
         return (s.groupBy("player_id", "format")
                 .agg(F.max_by(F.struct(*rest), "i").alias("_v"))
@@ -394,10 +447,10 @@ def merge_format_summary(batting_docs: DataFrame, bowling_docs: DataFrame) -> Da
     bat = last_per_format(batting_docs, {
         "total_runs": parse_int("s.runs"), "batting_average": parse_decimal("s.average", 7, 2),
         "strike_rate": parse_decimal("s.strikeRate", 7, 2), "centuries": parse_int("s.hundreds"),
-        "matches_played": parse_int("s.matches"), "innings_played": parse_int("s.innings")})
+        "matches_played": parse_int("s.matches"), "innings_played": parse_int("s.innings")}, BATTING_FIELDS)
     bowl = last_per_format(bowling_docs, {
         "total_wickets": parse_int("s.wickets"), "bowling_average": parse_decimal("s.average", 7, 2),
-        "economy_rate": parse_decimal("s.economyRate", 7, 2)})
+        "economy_rate": parse_decimal("s.economyRate", 7, 2)}, BOWLING_FIELDS)
     j = bat.join(bowl, ["player_id", "format"], "full_outer")
     z_int, z_dec = F.lit(0), F.lit(0).cast("decimal(7,2)")
     return j.select(
@@ -417,41 +470,63 @@ def merge_format_summary(batting_docs: DataFrame, bowling_docs: DataFrame) -> Da
 # Master ingest
 # ---------------------------------------------------------------------------
 
+def career_faults(docs: DataFrame, fields: dict[str, tuple[int, int] | None]) -> DataFrame:
+    """Career entries with unreadable numbers: player_id, format, fault.
+
+    `fields` names the entry's fields: None for an integer, else a decimal's (precision, scale).
+    """
+    s = _career_stats(docs)
+    numbers = {k: _number(f"s.{k}") if size is None else _decimal(f"s.{k}", *size) for k, size in fields.items()}
+    rows = read_fields(s, [F.col("player_id"), F.col("s.format").alias("format")], numbers, with_faults=True)
+    return rows.where(F.col(FAULT) != "").select("player_id", "format", FAULT)
+
+
+BATTING_FIELDS = {"runs": None, "average": (7, 2), "strikeRate": (7, 2), "hundreds": None, "matches": None,
+                  "innings": None}
+BOWLING_FIELDS = {"wickets": None, "average": (7, 2), "economyRate": (7, 2)}
+
+
 def ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: DataFrame, out_dir: str,
                existing: dict[str, DataFrame] | None = None) -> list[LoadReport]:
-    """One pass over *all* documents -> five tables, one append each.
-
-    Each table is made idempotent: rows whose key is already stored are
-    skipped (I8) and the per-(player, format) summary keeps one row per key
-    (last wins, SURVEY D5), so a rerun after a partial failure adds nothing
-    twice.  The three document sets feed ten passes (five guarded writes), so
-    they are persisted for the duration of the call; a lost executor's blocks
-    are recomputed from their lineage.
+    """*all* documents -> five tables, one append each.
+
+    Rows whose natural key is stored already are skipped (I8), so a rerun, also
+    after a partial failure, adds nothing twice; the stored tables are read
+    from `out_dir` unless `existing` gives them.  The per-(player, format)
+    summary keeps one row per key (last wins, SURVEY D5).  Each extractor's
+    rows are parsed once and staged on shared storage, and lines with
+    unreadable numbers are counted as rejected while they are staged.
     """
     existing = existing or {}
-    cached = [d.persist(StorageLevel.MEMORY_AND_DISK) for d in (scorecards, batting_docs, bowling_docs)]
-    try:
-        return _ingest_all(*cached, out_dir, existing)
-    finally:
-        for d in cached:
-            d.unpersist()
-
-
-def _ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: DataFrame, out_dir: str,
-                existing: dict[str, DataFrame]) -> list[LoadReport]:
     outputs = {
-        "player_recent_form": (extract_recent_form(scorecards), ["player_id", "match_id"]),
-        "fielding_stats": (extract_fielding(scorecards), ["stat_id"]),
-        "batting_partnerships": (extract_partnerships(scorecards), ["partnership_id"]),
-        "player_format_summary": (merge_format_summary(batting_docs, bowling_docs), ["player_id", "format"]),
-        "player_quarterly_stats": (extract_quarterly(batting_docs), ["player_id", "year", "quarter", "format"]),
+        "player_recent_form": (extract_recent_form(scorecards, with_faults=True), LINE_KEYS),
+        "fielding_stats": (extract_fielding(scorecards, with_faults=True), LINE_KEYS),
+        "batting_partnerships": (extract_partnerships(scorecards, with_faults=True), PARTNERSHIP_KEYS),
+        "player_format_summary": (merge_format_summary(batting_docs, bowling_docs).withColumn(FAULT, F.lit("")),
+                                  ["player_id", "format"]),
+        "player_quarterly_stats": (extract_quarterly(batting_docs).withColumn(FAULT, F.lit("")),
+                                   ["player_id", "year", "quarter", "format"]),
+    }
+    # faulty career entries and months never reach the aggregates; they are counted on their own
+    rejected = {
+        "player_format_summary": career_faults(batting_docs, BATTING_FIELDS).unionByName(
+            career_faults(bowling_docs, BOWLING_FIELDS)),
+        "player_quarterly_stats": quarterly_months(batting_docs, with_faults=True).where(F.col(FAULT) != ""),
     }
     reports = []
     for table, (df, keys) in outputs.items():
-        df = dedupe_all(df, keys)
-        if table in existing:
-            df = new_rows(df, existing[table], keys)
-        reports.append(append_rows(df, out_dir, table))
+        spark = df.sparkSession
+        lines, path, bad = stage_lines(df, table, FAULT)
+        if table in rejected:
+            bad = rejected[table].count()
+        fresh = dedupe_all(lines.where(F.col(FAULT) == "").drop(FAULT), keys)
+        stored = existing.get(table)
+        if stored is None and path_exists(spark, os.path.join(out_dir, table)):
+            stored = load_table(spark, out_dir, table)
+        if stored is not None:
+            fresh = new_rows(fresh, stored, keys, null_safe=True)
+        reports.append(append_rows(fresh, out_dir, table, rejected=bad))
+        delete_folder(spark, path)
     return reports
 
 

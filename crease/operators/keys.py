@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crease.session import shared_folder
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -32,20 +34,28 @@ def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column])
 
 
 def dedupe_all(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`dedupe` ordered by every non-key column: a deterministic pick whatever the input order."""
+    """`dedupe` ordered by every non-key column: a deterministic pick whatever the input order.
+
+    The smallest struct of the other columns is both order and payload, so
+    they travel once.
+    """
+    keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    return dedupe(df, keys, rest or list(keys))
+    if not rest:
+        return df.select(*keys).distinct()
+    least = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_first"))
+    return least.select(*keys, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """I8 / U4: rows of `df` whose key is not in `existing` (anti-join).
 
     `null_safe=True` treats NULL keys as equal (the source's pandas merge pairs
-    NaN with NaN on composite keys).  Only the distinct existing keys are
-    joined, so a stored table with repeated keys does not inflate the join.
+    NaN with NaN on composite keys).  Only the key columns of the stored table
+    are read; an anti-join returns each row of `df` at most once.
     """
     keys = list(keys)
-    ex = existing.select(*keys).distinct()
+    ex = existing.select(*keys)
     if not null_safe:
         return df.join(ex, keys, "left_anti")
     ex = ex.select(*[F.col(k).alias(f"_ex_{k}") for k in keys])
@@ -60,13 +70,18 @@ def consecutive_ids(df: DataFrame, order_by: Sequence[str], start: Column | int
                     id_col: str = "id", num_partitions: int | None = None) -> DataFrame:
     """Number rows start, start+1, ... in `order_by` order, without a global window.
 
-    Two passes: range-partition and sort, count rows per partition (one small
-    row per partition), turn the counts into offsets, then add the in-partition
-    row number.  `order_by` must be unique for repeatable ids.
+    The range-partitioned rows are written once, with their partition number,
+    to the shared scratch folder: both the rows per partition (one small row
+    each, turned into offsets) and the numbering read the same files, so the
+    two cannot disagree about the partitions' borders.  `order_by` must be
+    unique for repeatable ids.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by) \
-        .withColumn("_pid", F.spark_partition_id())
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    path = shared_folder(spark, "numbering")
+    ranged = df.repartitionByRange(n, *order_by).withColumn("_pid", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # running total over the per-partition counts: this window sees one row per
     # partition (bounded by the partition count), never the data rows

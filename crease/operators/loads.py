@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
 from crease.operators.keys import consecutive_ids, dedupe_all, new_rows
+from crease.session import delete_folder
 from crease.sources.schemas import table_schema
-from crease.sources.sinks import LoadReport, append_rows
+from crease.sources.sinks import LoadReport, append_rows, conform, stage_lines
 from crease.sources.tables import load_table, path_exists
 
 PLAYER_LIST_KEYS = ("player", "players", "rank", "values")
@@ -85,30 +86,47 @@ def _with_player_stubs(lines: DataFrame, base_dir: str) -> LoadReport:
     return append_rows(stubs, base_dir, "players")
 
 
-def load_batting(docs: DataFrame, base_dir: str, fmt: str = I.DEFAULT_FORMAT) -> list[LoadReport]:
-    """Innings scorecards -> batting lines, with stub players for unknown ids.
+def _load_lines(lines: DataFrame, base_dir: str, table: str, keys: list[str]) -> list[LoadReport]:
+    """Scorecard lines -> stub players, then new lines by natural key (NULL-safe); the id is a hash of the key.
 
-    The stored id is a hash of (match, format, player, position) (SURVEY D2).
+    The documents are parsed once, into staged lines.
     """
-    lines = I.extract_batting(docs, fmt)
-    rows = lines.withColumn("stat_id", I.stat_id("match_id", "format", "player_id", "batting_position"))
-    rows = dedupe_all(rows, ["stat_id"])
-    return [_with_player_stubs(lines, base_dir), _append_new(rows, base_dir, "batting_stats", ["stat_id"])]
+    staged, path, bad = stage_lines(lines, table, I.FAULT)
+    good = staged.where(F.col(I.FAULT) == "").drop(I.FAULT)
+    rows = dedupe_all(good.withColumn("stat_id", I.stat_id(*keys)), keys)
+    fresh = new_rows(rows, stored(lines.sparkSession, base_dir, table), keys, null_safe=True)
+    reports = [_with_player_stubs(good, base_dir), append_rows(fresh, base_dir, table, rejected=bad)]
+    delete_folder(lines.sparkSession, path)
+    return reports
+
+
+def load_batting(docs: DataFrame, base_dir: str, fmt: str = I.DEFAULT_FORMAT) -> list[LoadReport]:
+    """Innings scorecards -> batting lines, with stub players for unknown ids."""
+    return _load_lines(I.extract_batting(docs, fmt, with_faults=True), base_dir, "batting_stats",
+                       ["match_id", "format", "innings_number", "batting_position", "player_id"])
 
 
 def load_bowling(docs: DataFrame, base_dir: str, fmt: str = I.DEFAULT_FORMAT) -> list[LoadReport]:
     """Innings scorecards -> bowling lines, with stub players for unknown ids."""
-    lines = I.extract_bowling(docs, fmt)
-    rows = lines.withColumn("stat_id", I.stat_id("match_id", "format", "player_id"))
-    rows = dedupe_all(rows, ["stat_id"])
-    return [_with_player_stubs(lines, base_dir), _append_new(rows, base_dir, "bowling_stats", ["stat_id"])]
+    return _load_lines(I.extract_bowling(docs, fmt, with_faults=True), base_dir, "bowling_stats",
+                       ["match_id", "format", "innings_number", "line_number", "player_id"])
 
 
 def load_player_match(docs: DataFrame, base_dir: str) -> LoadReport:
     """Per-player match lists -> player_match rows.
 
-    The table declares no key; (player, date, runs) is used so that a rerun
-    does not insert the same innings twice.
+    The table declares no key and the source inserts every entry, so equal
+    rows are kept: as many of each are appended as the documents have more of
+    them than the stored table.  A strike rate that does not fit its column is
+    rejected, as the source database rejects the insert.
     """
-    rows = dedupe_all(I.extract_player_match(docs), ["player_id", "match_date", "runs_scored"])
-    return _append_new(rows, base_dir, "player_match", ["player_id", "match_date", "runs_scored"])
+    lines = I.extract_player_match(docs, with_faults=True)
+    fits = F.coalesce(F.abs("strike_rate") < 1000, F.lit(True))  # DECIMAL(5,2)
+    lines = lines.withColumn(I.FAULT, F.when(fits, F.col(I.FAULT)).otherwise(F.concat_ws(
+        ",", F.nullif(F.col(I.FAULT), F.lit("")), F.lit("strike_rate"))))
+    staged, path, bad = stage_lines(lines, "player_match", I.FAULT)
+    rows = conform(staged.where(F.col(I.FAULT) == "").drop(I.FAULT), "player_match")
+    fresh = rows.exceptAll(stored(docs.sparkSession, base_dir, "player_match"))
+    report = append_rows(fresh, base_dir, "player_match", rejected=bad)
+    delete_folder(docs.sparkSession, path)
+    return report

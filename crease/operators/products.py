@@ -62,35 +62,49 @@ def squads(docs: DataFrame) -> DataFrame:
     a case-folded substring of the role, and `players{"playing XI": [...],
     "bench": [...]}`.
     """
+    return _squad_rows(docs).select("matchId", "group", "name")
+
+
+def _squad_rows(docs: DataFrame) -> DataFrame:
+    """`squads` with each name's place (`at`) in its document."""
     mid = parse_long("matchId").alias("matchId")
-    p = docs.select(mid, F.explode(F.coalesce(F.col("team"), F.array())).alias("t")) \
-        .select("matchId", F.explode(F.coalesce(F.col("t.players"), F.array())).alias("p"))
+    t = docs.select(mid, F.posexplode(F.coalesce(F.col("team"), F.array())).alias("_t", "t"))
+    p = t.select("matchId", "_t", F.posexplode(F.coalesce(F.col("t.players"), F.array())).alias("_p", "p"))
     role = F.lower(F.coalesce(F.col("p.playingRole"), F.lit("")))
     grp = None
     for name, needle in SQUAD_GROUPS:
         grp = F.when(role.contains(needle), name) if grp is None else grp.when(role.contains(needle), name)
-    by_role = p.select("matchId", grp.alias("group"),
-                       F.coalesce(F.col("p.name"), F.lit("Unknown")).alias("name")).where(F.col("group").isNotNull())
-    listed = None
+    rows = p.select("matchId", grp.alias("group"), F.struct("_t", "_p").alias("at"),
+                    F.coalesce(F.col("p.name"), F.lit("Unknown")).alias("name")).where(F.col("group").isNotNull())
     for name, _ in SQUAD_GROUPS:
         part = docs.select(mid, F.lit(name).alias("group"),
-                           F.explode(F.coalesce(F.col(f"players.`{name}`"), F.array())).alias("name"))
-        listed = part if listed is None else listed.unionByName(part)
-    return by_role.unionByName(listed)
+                           F.posexplode(F.coalesce(F.col(f"players.`{name}`"), F.array())).alias("_p", "name"))
+        rows = rows.unionByName(part.select("matchId", "group", F.struct(F.lit(-1).alias("_t"), "_p").alias("at"),
+                                            "name"))
+    return rows
 
 
 def squad_lists(docs: DataFrame) -> DataFrame:
     """B2 grouped: one row per (matchId, group) with the names in document order."""
-    return squads(docs).groupBy("matchId", "group").agg(F.collect_list("name").alias("names"))
+    listed = _squad_rows(docs).groupBy("matchId", "group").agg(F.sort_array(F.collect_list(F.struct("at", "name")))
+                                                               .alias("x"))
+    return listed.select("matchId", "group", F.col("x.name").alias("names"))
+
+
+def _ranked(docs: DataFrame, fmt: str) -> DataFrame:
+    r = docs.where(F.col("formatType") == fmt).select(F.posexplode(F.coalesce(F.col("rank"), F.array())).alias("_p", "r"))
+    return r.select((F.col("_p") + 1).alias("position"), parse_long("r.id").alias("id"), F.col("r.name").alias("name"),
+                    F.col("r.country").alias("country"), F.col("r.rating").try_cast("double").alias("rating"))
 
 
 def rankings(docs: DataFrame, fmt: str, k: int = RANKINGS_SHOWN) -> DataFrame:
     """Top-k ranked players of one format (rating desc, id as tie-break)."""
-    r = docs.where(F.col("formatType") == fmt).select(F.explode(F.coalesce(F.col("rank"), F.array())).alias("r"))
-    rating = F.col("r.rating").try_cast("double")
-    return (r.select(parse_long("r.id").alias("id"), F.col("r.name").alias("name"),
-                     F.col("r.country").alias("country"), rating.alias("rating"))
-            .orderBy(F.col("rating").desc_nulls_last(), F.col("id").asc()).limit(k))
+    return _ranked(docs, fmt).drop("position").orderBy(F.col("rating").desc_nulls_last(), F.col("id").asc()).limit(k)
+
+
+def ranking_list(docs: DataFrame, fmt: str, k: int = RANKINGS_SHOWN) -> DataFrame:
+    """B3 as listed: the first k entries of one format's ordered list, with their position in it."""
+    return _ranked(docs, fmt).where(F.col("position") <= k).orderBy("position", "id")
 
 
 def stat_matrix(docs: DataFrame) -> DataFrame:

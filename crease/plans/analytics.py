@@ -2,7 +2,7 @@
 
 Every function takes a `tables` mapping (name -> DataFrame) plus keyword
 parameters whose defaults are the source's constants, and returns a lazy
-DataFrame.  Nothing is collected.
+DataFrame.  Building a plan starts no Spark job.
 
 Plan notes that hold for the whole module
 ----------------------------------------
@@ -59,46 +59,6 @@ def _date(d):
 # Q1-Q10
 # ---------------------------------------------------------------------------
 
-# Candidate ceiling for top-k-then-lookup; beyond it the plain join plan runs.
-TOP_K_MAX_CANDIDATES = 1_000_000
-# Candidate sets up to this many rows are broadcast to the dimension joins.
-TOP_K_BROADCAST_ROWS = 100_000
-
-
-def top_k_with_lookups(facts: DataFrame, order: Sequence, k: int, lookup, exact_fallback=None,
-                       max_candidates: int = TOP_K_MAX_CANDIDATES) -> DataFrame:
-    """Top-k rows of `lookup(facts)` (inner dimension joins) without joining all of `facts`.
-
-    The inner joins only drop rows (a fact with an unknown key), so the answer
-    is among the first candidates of `facts` in the same order.  Take n = k
-    candidates (a map-side top-k, no shuffle), look them up (the candidate set
-    is at most n rows: `lookup(frame, small)` is told so and broadcasts that
-    side of every join when n <= TOP_K_BROADCAST_ROWS), and count the survivors.  If
-    fewer than k survive while more candidates exist, retry with 4n.  Past
-    `max_candidates` the plain plan (join everything, then top-k) runs, so
-    the result is exact in every case.  Each probe returns one number to the
-    driver.
-    """
-    from crease.session import ensure_checkpoint_dir
-
-    try:
-        ensure_checkpoint_dir(facts.sparkSession)
-    except Exception:  # noqa: BLE001 - no checkpoint support (e.g. a remote session): plain plan
-        n_plain = exact_fallback(facts) if exact_fallback else lookup(facts, False)
-        return n_plain.orderBy(*order).limit(k)
-    n = k
-    while n <= max_candidates:
-        # n rows, written once to the shared checkpoint folder: the counts and
-        # the final plan read them instead of scanning the facts again
-        cand = facts.orderBy(*order).limit(n).checkpoint(eager=True)
-        got = lookup(cand, n <= TOP_K_BROADCAST_ROWS)
-        if got.count() >= k or cand.count() < n:
-            return got.orderBy(*order).limit(k)
-        n *= 4
-    full = exact_fallback(facts) if exact_fallback else lookup(facts, False)
-    return full.orderBy(*order).limit(k)
-
-
 def q01_players_by_country(tables: Tables, country: str = "India",
                            case_insensitive: bool = False) -> DataFrame:
     p = tables["players"]
@@ -106,17 +66,15 @@ def q01_players_by_country(tables: Tables, country: str = "India",
             .select("full_name", "playing_role", "batting_style", "bowling_style"))
 
 
-def _match_with_names(tables: Tables, m: DataFrame, small: bool = False) -> DataFrame:
-    """Matches with both team names and the venue; `small=True` when `m` has a
-    proven small row count, so that side is broadcast at every join."""
-    hint = F.broadcast if small else (lambda df: df)
+def _match_with_names(tables: Tables, m: DataFrame) -> DataFrame:
+    """Matches with both team names and the venue."""
     teams = tables["teams"].select("team_id", "team_name")
     t1 = teams.select(F.col("team_id").alias("t1_id"), F.col("team_name").alias("team1"))
     t2 = teams.select(F.col("team_id").alias("t2_id"), F.col("team_name").alias("team2"))
     v = tables["venues"].select(F.col("venue_id").alias("v_id"), "venue_name", "city")
-    j = hint(m).join(t1, F.col("team1_id") == t1.t1_id)
-    j = hint(j).join(t2, F.col("team2_id") == t2.t2_id)
-    return hint(j).join(v, F.col("venue_id") == v.v_id)
+    return (m.join(t1, F.col("team1_id") == t1.t1_id)
+            .join(t2, F.col("team2_id") == t2.t2_id)
+            .join(v, F.col("venue_id") == v.v_id))
 
 
 def q02_recent_matches(tables: Tables, days: int = 30, as_of=None) -> DataFrame:
@@ -130,9 +88,7 @@ def q03_top_run_scorers(tables: Tables, fmt: str = "ODI", k: int = 10) -> DataFr
     pfs = (tables["player_format_summary"].filter(F.col("format") == fmt)
            .select("player_id", "total_runs", "batting_average", "centuries"))
     p = tables["players"].select("player_id", "full_name")
-    order = [F.col("total_runs").desc(), F.col("player_id").asc()]
-    top = top_k_with_lookups(pfs, order, k,
-                             lambda c, small: (F.broadcast(c) if small else c).join(p, "player_id"))
+    top = pfs.join(p, "player_id").orderBy(F.col("total_runs").desc(), F.col("player_id").asc()).limit(k)
     return top.select("full_name", "total_runs", "batting_average", "centuries")
 
 
@@ -183,15 +139,13 @@ def q09_allrounders(tables: Tables, role: str = "All-rounder", min_runs: int = 1
 def q10_latest_completed(tables: Tables, k: int = 20, status: str = COMPLETED) -> DataFrame:
     """Last k completed matches with team and venue names.
 
-    Top-k is taken on the matches first and only the candidates are joined
-    to the dimensions (`top_k_with_lookups`): the same rows as joining every
-    completed match, without a fact-sized join.
+    The joins keep only matches whose teams and venue are known, so the top-k
+    comes after them; it is a map-side top-k of the joined rows.
     """
     m = (tables["matches"].filter(F.col("match_status") == status)
          .select("match_id", "match_description", "match_date", "team1_id", "team2_id", "winning_team",
                  "victory_margin", "victory_type", "venue_id"))
-    order = [F.col("match_date").desc(), F.col("match_id").desc()]
-    top = top_k_with_lookups(m, order, k, lambda c, small: _match_with_names(tables, c, small))
+    top = _match_with_names(tables, m).orderBy(F.col("match_date").desc(), F.col("match_id").desc()).limit(k)
     return top.select("match_description", "team1", "team2", "winning_team", "victory_margin",
                       "victory_type", "venue_name", "match_date")
 

@@ -91,11 +91,12 @@ def q_ensure_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_extract_batting(spark: SparkSession, d: str) -> DataFrame:
-    return I.extract_batting(_docs(N.scorecard_docs(spark, d), "scorecard")).drop("name")
+    return I.extract_batting(_docs(N.scorecard_docs(spark, d), "scorecard")).drop("name", "innings_number")
 
 
 def q_extract_bowling(spark: SparkSession, d: str) -> DataFrame:
-    return I.extract_bowling(_docs(N.scorecard_docs(spark, d), "scorecard")).drop("name")
+    b = I.extract_bowling(_docs(N.scorecard_docs(spark, d), "scorecard"))
+    return b.drop("name", "innings_number", "line_number")
 
 
 def q_extract_player_match(spark: SparkSession, d: str) -> DataFrame:
@@ -103,12 +104,13 @@ def q_extract_player_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_extract_recent_form(spark: SparkSession, d: str) -> DataFrame:
-    return I.extract_recent_form(_docs(N.detailed_docs(fixture_tables(spark, d)), "detailed_scorecard"))
+    f = I.extract_recent_form(_docs(N.detailed_docs(fixture_tables(spark, d)), "detailed_scorecard"))
+    return f.drop("innings_number", "line_number")
 
 
 def q_extract_fielding(spark: SparkSession, d: str) -> DataFrame:
     f = I.extract_fielding(_docs(N.detailed_docs(fixture_tables(spark, d)), "detailed_scorecard"))
-    return f.drop("stat_id")
+    return f.drop("stat_id", "innings_number", "line_number")
 
 
 def q_extract_partnerships(spark: SparkSession, d: str) -> DataFrame:
@@ -379,6 +381,7 @@ SELECT player_id AS "ID", full_name AS "Name", country AS "Team", playing_role A
 
 
 def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from crease.plans.load_queries import load_queries
     from crease.plans.product_queries import product_queries
 
     def norm(fn):
@@ -388,13 +391,15 @@ def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
     out = {k: norm(v) for k, v in _QUERIES.items()}
     out.update(product_queries())
+    out.update(load_queries())
     return out
 
 
 def operator_oracles() -> dict[str, str]:
+    from crease.plans.load_queries import load_oracles
     from crease.plans.product_queries import product_oracles
 
-    out = dict(product_oracles())
+    out = {**product_oracles(), **load_oracles()}
     for k, sql in _ORACLES.items():
         out[k] = with_tables(sql)
     return out

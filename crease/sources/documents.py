@@ -8,7 +8,7 @@ explicit schema; malformed ones are split off instead of failing the load
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -40,7 +40,8 @@ DOC_ORDER = "_doc_order"
 
 
 def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error: str = "skip",
-                    keep: list[str] | None = None, with_order: bool = False) -> tuple[DataFrame, DataFrame]:
+                    keep: list[str] | None = None, with_order: bool = False,
+                    observe: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse a column of JSON text into top-level columns.
 
     Returns (documents, rejected).  `rejected` keeps the raw text of documents
@@ -50,6 +51,9 @@ def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error:
     `with_order=True` adds `_doc_order`, increasing in input order (partition,
     then row), for "keep the first occurrence" rules downstream.  It is
     reproducible for the same files and split settings.
+
+    `observe` counts the rejected documents (metric `rejected`) while a later
+    action parses them anyway, so no extra pass is needed.
     """
     keep = list(keep or [])
     if with_order:
@@ -61,13 +65,16 @@ def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error:
     if on_error == "fail":
         return parsed.select(*keep, "_doc.*"), parsed.limit(0).select(*keep, "_text")
     bad = F.col(f"_doc.{CORRUPT}").isNotNull()
+    if observe is not None:
+        parsed = parsed.observe(observe, F.count(F.when(bad, 1)).alias("rejected"))
     good = parsed.filter(~bad).select(*keep, *[F.col(f"_doc.`{n}`").alias(n) for n in schema.fieldNames()])
     rejected = parsed.filter(bad).select(*keep, F.col("_text").alias("raw"))
     return good, rejected
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType, on_error: str = "skip",
-                   multi_line: bool = False, with_order: bool = False) -> tuple[DataFrame, DataFrame]:
+                   multi_line: bool = False, with_order: bool = False,
+                   observe: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Read landed JSON documents with an explicit schema.
 
     Returns (documents, rejected) like `parse_documents`.  Files are read as
@@ -78,7 +85,7 @@ def read_documents(spark: SparkSession, path: str, schema: StructType, on_error:
     text = spark.read.option("wholetext", str(multi_line).lower()).text(path)
     if not multi_line:
         text = text.where(F.trim(F.col("value")) != "")
-    return parse_documents(text, "value", schema, on_error, with_order=with_order)
+    return parse_documents(text, "value", schema, on_error, with_order=with_order, observe=observe)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

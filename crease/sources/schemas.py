@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
-# Target tables, T1-T13.  `runouts` is kept on fielding_stats.
+# Target tables, T1-T13.  `runouts` is kept on fielding_stats.  The four tables of
+# scorecard lines also keep a line's place (innings, line): the source inserts a row per line, and
+# a player may have equal lines in two innings of one match.
 TABLE_DDL: dict[str, str] = {
     "players": "player_id bigint, full_name string, country string, playing_role string, "
                "batting_style string, bowling_style string",
@@ -21,13 +23,13 @@ TABLE_DDL: dict[str, str] = {
                "victory_type string, venue_id bigint, toss_winner string, toss_decision string",
     "batting_stats": "stat_id bigint, player_id bigint, match_id bigint, format string, "
                      "runs_scored int, balls_faced int, strike_rate double, batting_position int, "
-                     "is_out boolean",
+                     "is_out boolean, innings_number int",
     "bowling_stats": "stat_id bigint, player_id bigint, match_id bigint, format string, "
                      "overs_bowled decimal(4,1), runs_conceded int, wickets_taken int, "
-                     "economy_rate decimal(4,2)",
+                     "economy_rate decimal(4,2), innings_number int, line_number int",
     "player_match": "player_id bigint, match_date date, runs_scored int, strike_rate decimal(5,2)",
     "fielding_stats": "stat_id bigint, player_id bigint, match_id bigint, catches int, "
-                      "stumpings int, runouts int",
+                      "stumpings int, runouts int, innings_number int, line_number int",
     "batting_partnerships": "partnership_id bigint, match_id bigint, innings_number int, "
                             "player1_id bigint, player2_id bigint, batting_position1 int, "
                             "batting_position2 int, partnership_runs int",
@@ -38,7 +40,8 @@ TABLE_DDL: dict[str, str] = {
     "player_quarterly_stats": "player_id bigint, year int, quarter int, format string, "
                               "total_runs int, strike_rate decimal(5,2), matches_played int",
     "player_recent_form": "player_id bigint, match_id bigint, runs_scored int, balls_faced int, "
-                          "strike_rate decimal(5,2), is_above_50 boolean, match_date date",
+                          "strike_rate decimal(5,2), is_above_50 boolean, match_date date, "
+                          "innings_number int, line_number int",
 }
 
 # Declared keys: used by the constraint checks C1/C2.

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from crease.session import shared_folder
 from crease.sources.schemas import TABLE_DDL, table_schema
 
 
@@ -37,22 +38,30 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def append_rows(df: DataFrame, base_dir: str, table: str, skipped: int = 0, rejected: int = 0,
                 partition_by: list[str] | None = None) -> LoadReport:
-    """One distributed append of `df` to `<base_dir>/<table>`.
+    """One distributed append of `df` to `<base_dir>/<table>`, in one pass.
 
-    R8: nothing is written when `df` is empty.  R10: the inserted row count
-    is gathered by an `Observation` during the write itself, not by a second
-    pass over the data.
+    R8: an empty `df` adds no rows.  R10: the inserted row count is gathered by
+    an `Observation` during the write itself, not by a second pass.
     """
     out = conform(df, table) if table in TABLE_DDL else df
-    if out.isEmpty():
-        return LoadReport(table, 0, skipped, rejected)
     obs = Observation(f"append_{table}")
-    observed = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = observed.write.mode("append")
+    w = out.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(os.path.join(base_dir, table))
-    return LoadReport(table, int(obs.get["rows"]), skipped, rejected)
+    return LoadReport(table, int(obs.get.get("rows", 0)), skipped, rejected)
+
+
+def stage_lines(df: DataFrame, name: str, fault: str | None = None) -> tuple[DataFrame, str, int]:
+    """Write `df` once to the shared scratch folder; return it read back, its folder, and its faulty rows.
+
+    Rows whose `fault` text is not empty are counted while they are written.
+    """
+    path = shared_folder(df.sparkSession, name)
+    obs = Observation(f"stage_{name}")
+    bad = F.count(F.when(F.col(fault) != "", 1)) if fault else F.count(F.lit(None))
+    df.observe(obs, bad.alias("bad")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, int(obs.get.get("bad", 0))
 
 
 def _fs(spark, path: str):

@@ -1,45 +1,61 @@
 """Incremental insert-if-absent loading with Structured Streaming (ST1).
 
 The source re-runs a batch script that appends only rows whose key is not
-stored yet.  Here a file-source stream does the same: every micro-batch is
-deduplicated on the key (I7), anti-joined with the stored table (I8) and
-appended.  The anti-join makes each batch idempotent, so a batch replayed
-after an executor or driver failure adds nothing twice; the checkpoint
-records which files were consumed, so a rerun reads only new files.
+stored yet.  Here a file-source stream does the same in two steps.  Every
+micro-batch is deduplicated on the key (I7) and written under its own number
+next to the checkpoint, so a batch replayed after a failure replaces itself.
+:func:`merge_staged` then keeps the first row by `order_by` of every key over
+all staged batches, drops keys that are stored already (I8), and appends the
+rest.  The rows of a run therefore do not depend on how its files fell into
+batches; a key that an earlier run has stored keeps its stored row.  Merging
+again adds nothing, so a failure before the staged batches are dropped does
+no harm.  The checkpoint records which files were consumed.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from crease.operators.keys import dedupe, new_rows
+from crease.session import delete_folder
 from crease.sources.tables import path_exists
 
-# Largest micro-batch key set that is broadcast to probe the stored table.
-BROADCAST_KEY_ROWS = 2_000_000
 # Files per micro-batch: bounds every batch, including the first one.
 DEFAULT_MAX_FILES_PER_TRIGGER = 1000
 
 
+def staging_folder(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}-staged"
+
+
+def merge_staged(spark: SparkSession, schema: StructType, target: str, keys: Sequence[str],
+                 order_by: Sequence[str], checkpoint: str) -> None:
+    """Append the staged batches' new keys to `target`, then drop the staged batches."""
+    staged = staging_folder(checkpoint)
+    if not path_exists(spark, staged):
+        return
+    fresh = dedupe(spark.read.schema(schema).parquet(f"{staged}/batch=*"), list(keys), order_by)
+    if path_exists(spark, target):
+        fresh = new_rows(fresh, spark.read.schema(schema).parquet(target), list(keys))
+    fresh.write.mode("append").parquet(target)
+    delete_folder(spark, staged)
+
+
 def incremental_load(spark: SparkSession, source: str, schema: StructType, target: str,
                      keys: Sequence[str], order_by: Sequence[str], checkpoint: str,
                      fmt: str = "parquet", glob: str | None = None,
                      max_files_per_trigger: int | None = DEFAULT_MAX_FILES_PER_TRIGGER,
                      available_now: bool = True) -> StreamingQuery:
-    """Start the load; with `available_now=True` it processes what is there and stops.
+    """Start the load.
 
-    Probing the stored table: the batch's keys are counted (one number to
-    the driver); when there are at most BROADCAST_KEY_ROWS of them they are
-    broadcast and semi-joined with the stored keys, so the stored table is
-    only scanned (key column, pruned), never shuffled.  Larger batches fall
-    back to a shuffled anti-join.
+    With `available_now=True` it stages what is there and stops;
+    :func:`merge_staged` makes the rows visible (see `run_incremental_load`).
+    A continuous load (`available_now=False`) merges after every batch, so a
+    key keeps its row of the first batch that has it.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
@@ -49,22 +65,10 @@ def incremental_load(spark: SparkSession, source: str, schema: StructType, targe
     stream = reader.load(source)
     keys = list(keys)
 
-    def load_batch(batch: DataFrame, _epoch_id: int) -> None:
-        fresh = dedupe(batch, keys, order_by).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if path_exists(spark, target):
-                stored_keys = spark.read.schema(batch.schema).parquet(target).select(*keys)
-                batch_keys = fresh.select(*keys)
-                if batch_keys.count() <= BROADCAST_KEY_ROWS:
-                    present = stored_keys.join(F.broadcast(batch_keys), keys, "left_semi")
-                    out = fresh.join(present, keys, "left_anti")
-                else:
-                    out = new_rows(fresh, stored_keys, keys)
-            else:
-                out = fresh
-            out.write.mode("append").parquet(target)
-        finally:
-            fresh.unpersist()
+    def load_batch(batch: DataFrame, epoch: int) -> None:
+        dedupe(batch, keys, order_by).write.mode("overwrite").parquet(f"{staging_folder(checkpoint)}/batch={epoch}")
+        if not available_now:
+            merge_staged(batch.sparkSession, schema, target, keys, order_by, checkpoint)
 
     w = stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -74,9 +78,10 @@ def incremental_load(spark: SparkSession, source: str, schema: StructType, targe
 def run_incremental_load(spark: SparkSession, source: str, schema: StructType, target: str,
                          keys: Sequence[str], order_by: Sequence[str], checkpoint: str | None = None,
                          **kw) -> None:
-    """Run one `available_now` load to completion."""
-    checkpoint = checkpoint or os.path.join(target + "_checkpoint")
+    """Run one `available_now` load to completion, merge included."""
+    checkpoint = checkpoint or f"{target}_checkpoint"
     q = incremental_load(spark, source, schema, target, keys, order_by, checkpoint, **kw)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    merge_staged(spark, schema, target, keys, order_by, checkpoint)
