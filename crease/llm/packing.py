@@ -2,16 +2,15 @@
 
 A document's ids (and a closing id 0) make one piece if they fit a sequence;
 longer documents are cut into full sequences, the first piece taking the rest.
-Full pieces are sequences of their own.  All other pieces are dealt at random
-into blocks of bounded size.  A block is a bin-packing problem that several
+Full pieces are sequences of their own.  All other pieces are dealt into blocks
+of bounded size, in turn along their sorted lengths.  A block is a bin-packing problem that several
 islands (separate rows, so separate tasks) evolve: an individual is a grouping
 of pieces into bins; crossover injects whole well-filled bins of one parent
 into the other, removes the bins that then hold duplicates, and best-fits the
 displaced pieces; after each epoch an island's elite migrates to the next one
 in the ring.  An island rests once its elite needs no more bins than the
-block's tokens do.  Bins that stay under ``full`` are opened again and their
-pieces pooled into fewer blocks, until one block is left or pooling no longer
-halves them.
+block's tokens do.  The emptiest bins of each block are opened again and their
+pieces pooled into fewer blocks, until one block is left.
 
 Defined cases: null text is empty and makes a piece of one id; repeated rows
 are packed as often as given; null doc_ids are kept; an empty table gives an
@@ -33,7 +32,7 @@ from crease.llm.common import discard, stage
 from crease.llm.pretokens import PieceIds, encode_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = "piece_key long, length long, sequence_id long, offset long, fill long"
+PLACED = "piece_key long, length long, sequence_id long, offset long, open boolean"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -212,8 +211,11 @@ def _migrate(islands: DataFrame, count: int) -> DataFrame:
         "people", F.array_distinct(F.concat(F.array("elite"), shorter)))
 
 
-def _place(best: DataFrame, capacity: int) -> DataFrame:
-    """The elite's bins as rows: sequence_id is a bin's smallest piece key, offsets follow the keys."""
+def _place(best: DataFrame, capacity: int, full: float, share: float) -> DataFrame:
+    """The elite's bins as rows: sequence_id is a bin's smallest piece key, offsets follow the keys.
+
+    ``open`` marks the emptiest ``share`` of a block's bins, as far as they are not ``full``.
+    """
 
     def run(frames):
         import pandas as pd
@@ -224,26 +226,31 @@ def _place(best: DataFrame, capacity: int) -> DataFrame:
                 bins = np.asarray(row.elite, np.int64)
                 order = np.lexsort((keys, bins))
                 keys, sizes, bins = keys[order], sizes[order], bins[order]
-                begins = np.r_[True, bins[1:] != bins[:-1]] if len(bins) else np.zeros(0, bool)
+                begins = np.r_[True, bins[1:] != bins[:-1]]
                 which = np.cumsum(begins) - 1
                 before = np.cumsum(sizes) - sizes
                 first = np.flatnonzero(begins)
+                fill = np.bincount(which, sizes)
+                emptiest = np.argsort(np.argsort(fill, kind="stable"), kind="stable") < max(1, int(share * len(fill)))
                 yield pd.DataFrame({"piece_key": keys, "length": sizes, "sequence_id": keys[first][which],
                                     "offset": before - before[first][which],
-                                    "fill": np.bincount(which, sizes)[which].astype(np.int64)})
+                                    "open": (emptiest & (fill < full * capacity))[which]})
 
     return best.select("keys", "sizes", "elite").mapInPandas(run, PLACED)
 
 
 def place(items: DataFrame, capacity: int = 2048, block_items: int = 4096, islands: int = 2, epochs: int = 2,
-          generations: int = 10, members: int = 4, full: float = 0.98) -> DataFrame:
+          generations: int = 10, members: int = 4, full: float = 0.99, share: float = 0.25) -> DataFrame:
     """sequence_id and offset of every (piece_key, length) row; lengths are at most ``capacity``."""
     spark = items.sparkSession
     done, left = [], items.select("piece_key", F.col("length").cast("long").alias("length"))
     count = left.count()
     while blocks := -(-count // block_items):
-        dealt = left.groupBy(F.pmod(F.xxhash64("piece_key", F.lit(blocks)), F.lit(blocks)).alias("block")) \
-            .agg(F.sort_array(F.collect_list(F.struct("piece_key", "length"))).alias("x"))
+        # dealt in turn along the sorted lengths, so that all blocks have the same mix of them
+        ranged = left.repartitionByRange("length", "piece_key").sortWithinPartitions("length", "piece_key")
+        turn = F.monotonically_increasing_id() % F.lit(1 << 33) + F.spark_partition_id()
+        dealt = ranged.select("*", F.pmod(turn, F.lit(blocks)).cast("long").alias("block")).groupBy("block").agg(
+            F.sort_array(F.collect_list(F.struct("piece_key", "length"))).alias("x"))
         now = dealt.select("block", F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("island"),
                            F.col("x.piece_key").alias("keys"), F.col("x.length").cast("array<int>").alias("sizes"),
                            F.expr("cast(array() as array<array<int>>)").alias("people"))
@@ -255,14 +262,14 @@ def place(items: DataFrame, capacity: int = 2048, block_items: int = 4096, islan
             paths.append(path)
         best = now.groupBy("block").agg(F.max_by(
             F.struct("keys", "sizes", F.col("people")[0].alias("elite")), F.struct("bins", "squares")).alias("b"))
-        placed, path = stage(_place(best.select("b.*"), capacity), "packing-placed")
+        placed, _ = stage(_place(best.select("b.*"), capacity, full, share), "packing-placed")
         discard(spark, *paths)
-        left = placed.where(F.col("fill") < full * capacity).select("piece_key", "length")
-        before, count = count, left.count()
-        if blocks == 1 or 2 * count > before:  # pieces that pair badly stay as they are
+        if blocks == 1:
             done.append(placed)
             break
-        done.append(placed.where(F.col("fill") >= full * capacity))
+        done.append(placed.where("not open"))
+        left = placed.where("open").select("piece_key", "length")
+        count = left.count()
     if not done:
         return items.select("piece_key", F.col("piece_key").alias("sequence_id"),
                             F.lit(0).cast("long").alias("offset")).where("false")

@@ -1,0 +1,10 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def workers(spark):
+    """A session whose Python workers can import the package."""
+    from crease.llm.common import ship
+
+    ship(spark)
+    return spark
