@@ -220,16 +220,15 @@ def read_fields(rows: DataFrame, plain: Sequence[Column], numbers: dict[str, tup
     """Rows of plain columns and parsed numbers.
 
     `numbers` maps an output name to (raw text, parsed value, default, or None
-    for no default).  A missing or blank field takes the default; text that
-    does not parse is a fault.  `with_faults=True` returns every row with the
-    names of its faulty fields in `fault` ('' when it has none); otherwise
-    faulty rows are left out.
+    for no default).  A missing or blank field takes the default, and so does
+    text that does not parse.  `with_faults=True` adds the names of the fields
+    with such text in `fault` ('' when there is none): loads reject and count
+    those rows instead of storing them.
     """
     values = [(parsed if default is None else F.coalesce(parsed, default)).alias(n)
               for n, (_, parsed, default) in numbers.items()]
     bad = [F.when(unreadable(raw, parsed), F.lit(n)) for n, (raw, parsed, _) in numbers.items()]
-    out = rows.select(*plain, *values, F.concat_ws(",", *bad).alias(FAULT))
-    return out if with_faults else out.where(F.col(FAULT) == "").drop(FAULT)
+    return rows.select(*plain, *values, *([F.concat_ws(",", *bad).alias(FAULT)] if with_faults else []))
 
 
 def _number(raw: str, parse=parse_int, default=0) -> tuple:
@@ -263,8 +262,8 @@ def extract_batting(docs: DataFrame, fmt: str = DEFAULT_FORMAT, match_id: str |
     text (SURVEY D10); pass e.g. `not_out_values=("not out",)` to treat those
     texts (compared trimmed, case-folded) as not out.  The format comes from
     the document when it has one, else `fmt` (the source stamps every row
-    'T20I', D11).  Missing numbers are 0; lines with unreadable ones are left
-    out, or marked (`read_fields`).
+    'T20I', D11).  Missing numbers are 0; unreadable ones too, or marked
+    (`read_fields`).
     """
     out_text = F.col("b.outdec")
     is_out = non_blank(out_text)
@@ -326,8 +325,9 @@ def extract_player_match(docs: DataFrame, player_id: str = "playerId", with_faul
     runs, balls, day = parse_int("m.runs"), parse_int("m.ballsFaced"), F.col("m.matchDate").try_cast("date")
     there = non_blank(F.col("m.matchDate")) & non_blank(F.col("m.runs")) & non_blank(F.col("m.ballsFaced"))
     rate = round_float(F.try_divide(runs.cast("double"), balls.cast("double")) * F.lit(100.0))
+    keep = there & (F.coalesce(balls != 0, F.lit(True)) if with_faults else runs.isNotNull() & (balls != 0))
     return read_fields(
-        m.where(there & F.coalesce(balls != 0, F.lit(True))), [rate.alias("strike_rate")],
+        m.where(keep), [rate.alias("strike_rate")],
         {"player_id": _number("_player", parse_long, None), "match_date": (F.col("m.matchDate"), day, None),
          "runs_scored": (F.col("m.runs"), runs, None), "_balls": (F.col("m.ballsFaced"), balls, None)},
         with_faults).drop("_balls")
@@ -399,7 +399,7 @@ def _career_stats(docs: DataFrame) -> DataFrame:
 
 
 def quarterly_months(batting_docs: DataFrame, with_faults: bool = False) -> DataFrame:
-    """The months of every timeline, with their quarter; months with unreadable numbers are left out, or marked."""
+    """The months of every timeline, with their quarter; unreadable numbers as in `read_fields`."""
     s = _career_stats(batting_docs)
     t = s.select("player_id", F.col("s.format").alias("format"),
                  F.explode(F.coalesce(F.col("s.timeline"), F.array())).alias("t"))
@@ -409,14 +409,17 @@ def quarterly_months(batting_docs: DataFrame, with_faults: bool = False) -> Data
     return rows.withColumn("quarter", month_to_quarter("_month")).drop("_month")
 
 
-def extract_quarterly(batting_docs: DataFrame) -> DataFrame:
+def extract_quarterly(batting_docs: DataFrame, reject: bool = False) -> DataFrame:
     """Monthly timeline -> one row per (player, year, quarter, format).
 
     The source emits one row per *month* under a per-quarter key (SURVEY D4);
     months are rolled up: runs and matches summed, the strike rate averaged
-    with the month's match count as weight.
+    with the month's match count as weight.  `reject=True` leaves out months
+    with unreadable numbers.
     """
-    months = quarterly_months(batting_docs)
+    months = quarterly_months(batting_docs, with_faults=True)
+    if reject:
+        months = months.where(F.col(FAULT) == "")
     return (months.groupBy("player_id", "year", "quarter", "format")
             .agg(F.sum("runs").cast("int").alias("total_runs"),
                  round_dec(F.try_divide(F.sum(F.col("sr") * F.col("matches")), F.sum("matches")), 7)
@@ -424,17 +427,18 @@ def extract_quarterly(batting_docs: DataFrame) -> DataFrame:
                  F.sum("matches").cast("int").alias("matches_played")))
 
 
-def merge_format_summary(batting_docs: DataFrame, bowling_docs: DataFrame) -> DataFrame:
+def merge_format_summary(batting_docs: DataFrame, bowling_docs: DataFrame, reject: bool = False) -> DataFrame:
     """Full merge of batting and bowling career stats by (player, format), defaults 0.
 
     A format listed twice in one document keeps its last entry (the source
-    builds a dict by format).
+    builds a dict by format).  `reject=True` leaves out entries with unreadable
+    numbers (`career_faults` has them).
     """
     def last_per_format(docs: DataFrame, fields: dict[str, Column], read: dict) -> DataFrame:
         s = docs.select(parse_long("playerId").alias("player_id"),
                         F.posexplode(F.coalesce(F.col("stats"), F.array())).alias("i", "s"))
         good = F.lit(True)
-        for k, size in read.items():  # entries with unreadable numbers are rejected (career_faults)
+        for k, size in read.items() if reject else ():
             parsed = parse_int(f"s.{k}") if size is None else parse_decimal(f"s.{k}", *size)
             good = good & ~unreadable(f"s.{k}", parsed)
         s = s.where(F.col("s.format").isNotNull() & good).select(
@@ -502,9 +506,9 @@ def ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: Dat
         "player_recent_form": (extract_recent_form(scorecards, with_faults=True), LINE_KEYS),
         "fielding_stats": (extract_fielding(scorecards, with_faults=True), LINE_KEYS),
         "batting_partnerships": (extract_partnerships(scorecards, with_faults=True), PARTNERSHIP_KEYS),
-        "player_format_summary": (merge_format_summary(batting_docs, bowling_docs).withColumn(FAULT, F.lit("")),
+        "player_format_summary": (merge_format_summary(batting_docs, bowling_docs, reject=True).withColumn(FAULT, F.lit("")),
                                   ["player_id", "format"]),
-        "player_quarterly_stats": (extract_quarterly(batting_docs).withColumn(FAULT, F.lit("")),
+        "player_quarterly_stats": (extract_quarterly(batting_docs, reject=True).withColumn(FAULT, F.lit("")),
                                    ["player_id", "year", "quarter", "format"]),
     }
     # faulty career entries and months never reach the aggregates; they are counted on their own

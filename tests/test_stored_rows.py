@@ -2,6 +2,7 @@
 
 import json
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from crease.plans.registry import FIXTURE_PARAMS
 from crease.sources.documents import parse_documents
 from crease.sources.fixtures import fixture_tables
 from crease.sources.schemas import doc_schema
+from crease.sources.sinks import LoadReport
 from crease.sources.tables import load_table, path_exists, write_partitioned_tables
 
 SF = "/root/testdata/sf0.001"
@@ -50,12 +52,12 @@ def test_unreadable_numbers_are_faults_and_missing_ones_defaults(spark):
     d = docs(spark, "scorecard", [{"matchId": "1", "scorecard": [{"bowler": bowl}]}])
     got = {r.player_id: (r.runs_conceded, r.fault) for r in I.extract_bowling(d, with_faults=True).collect()}
     assert got == {1: (1200, "economy_rate"), 2: (0, ""), 3: (0, "runs_conceded,wickets_taken")}
-    assert [r.player_id for r in I.extract_bowling(d).collect()] == [2]
+    assert L.load_bowling(d, tempfile.mkdtemp(prefix="run-test-"))[1] == LoadReport("bowling_stats", 1, 0, 2)
     career = docs(spark, "career", [{"playerId": "1", "stats": [
         {"format": "ODI", "runs": "many", "timeline": [{"year": "2020", "month": "x"}, {"year": "2020", "runs": "4"}]}]}])
     assert [r.fault for r in I.career_faults(career, I.BATTING_FIELDS).collect()] == ["runs"]
-    assert [(r.year, r.total_runs) for r in I.extract_quarterly(career).collect()] == [(2020, 4)]
-    assert I.merge_format_summary(career, career.where("false")).count() == 0
+    assert [(r.year, r.total_runs) for r in I.extract_quarterly(career, reject=True).collect()] == [(2020, 4)]
+    assert I.merge_format_summary(career, career.where("false"), reject=True).count() == 0
 
 
 def test_ingest_all_reads_the_stored_tables_itself(spark, tmpdir_path):
