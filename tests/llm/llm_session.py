@@ -1,3 +1,5 @@
+"""The fixture of the training-data tests (a second conftest would hide the first one's names)."""
+
 import pytest
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import brute
 import numpy as np
 import pytest
+from llm_session import workers  # noqa: F401
 from pyspark.sql import functions as F
 
 from crease.llm import decontaminate, hnsw, katz, licenses, packing, quality, simhash, token_counts, tool_calls, warc

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from llm_session import workers  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
