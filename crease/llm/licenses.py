@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions only: ordered signatures, prefiltered and resolved.
 
-A cheap test of the raw text lets most documents pass unscanned.  The others
+Most documents have none of the gate words and pass unscanned.  The others
 become canonical text (A-Z lower-cased, words with one space between).  Only
 rules whose keyword stands in it are tried, and each rule that matches gives
 the lengths of the stretches between its matches and of the matches.  Running
@@ -27,7 +27,6 @@ from crease.llm.license_rules import Rule, rules
 
 #: the base phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,23 +41,9 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _any(text: Column, parts: list[str]) -> Column:
-    out = F.lit(False)
-    for p in sorted(set(parts)):
-        out = out | F.contains(text, F.lit(p))
-    return out
-
-
-def suspects(text: Column, phrases: dict[str, str], ordered: list[Rule]) -> Column:
-    """False only for texts in which no phrase and no signature can stand."""
-    keys = {r.keyword for r in ordered} | {max(p.split(), key=len) for p in phrases}
-    common = ["licen", "copyright", "reserved", "permi", "redistribut", "domain", "spdx", "creative", "gnu"]
-    plain = [k for k in keys if len(k) > 3 and not any(c in k for c in common)]
-    short = sorted(k for k in keys if len(k) <= 3)
-    low = F.lower(text)  # at most finds more than lower-casing A-Z alone
-    near = F.regexp_like(text, F.lit(rf"(?i)(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:{'|'.join(short)})"
-                                     r"(?:$|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"))
-    return _any(low, common + plain) | (_any(low, short) & near)
+def gate_words(phrases: dict[str, str], ordered: list[Rule]) -> list[str]:
+    """Words of which a text has one at least if any phrase or signature stands in it."""
+    return sorted({w for r in ordered for w in r.gate} | {max(p.split(), key=len) for p in phrases})
 
 
 def _rule_groups(ordered: list[Rule]) -> Column:
@@ -110,8 +95,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     phrases, ordered = phrases or PHRASES, ordered or rules()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("row", "doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-                       F.when(suspects(F.col("text"), phrases, ordered), canonical(F.col("text"))).alias("canon"))
+    # lower() also changes letters beyond A-Z, but never the places where words begin and end, nor an ASCII word
+    rows = rows.withColumn("words", F.split(F.lower("text"), GAP, -1))
+    # a gap at either end leaves an empty string there
+    empty = F.when(F.col("words")[0] == "", 1).otherwise(0) \
+        + F.when((F.element_at("words", -1) == "") & (F.size("words") > 1), 1).otherwise(0)
+    gate = F.arrays_overlap("words", F.array(*[F.lit(w) for w in gate_words(phrases, ordered)]))
+    rows = rows.select("row", "doc_id", (F.size("words") - empty).cast("long").alias("n_words"),
+                       F.when(gate, canonical(F.col("text"))).alias("canon"))
     canon = F.col("canon")
     either = F.lit("(?= (?:" + "|".join(phrases) + ") )")
     places = {p: F.regexp_count(canon, F.lit(f"(?= {p} )")) for p in phrases}
