@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
 from crease.operators.keys import consecutive_ids, dedupe_all, new_rows
-from crease.session import delete_folder
+from crease.session import delete_folder, shared_folder
 from crease.sources.schemas import table_schema
 from crease.sources.sinks import LoadReport, append_rows, conform, stage_lines
 from crease.sources.tables import load_table, path_exists
@@ -66,19 +66,20 @@ def load_venues(series_docs: DataFrame | None, match_docs: DataFrame | None, bas
 def load_matches(docs: DataFrame, base_dir: str, stage_dir: str | None = None) -> list[LoadReport]:
     """Wrapped match lists -> new matches, plus teams and venues created on the way.
 
-    The flattened rows are staged once (by default in `<base_dir>/_staging/`,
-    next to the tables on the same shared storage) so the key-numbering passes
-    read compact Parquet instead of re-parsing the documents.
+    The flattened rows are staged once (by default in the shared scratch
+    folder, which is deleted afterwards) so the key-numbering passes read
+    compact Parquet instead of re-parsing the documents.
     """
     spark = docs.sparkSession
-    if stage_dir is None:
-        import uuid
-        stage_dir = os.path.join(base_dir, "_staging", f"matches-{uuid.uuid4().hex}")
+    scratch = stage_dir or shared_folder(spark, "matches")
     out = I.extract_matches(docs, stored(spark, base_dir, "teams"), stored(spark, base_dir, "venues"),
-                            existing=stored(spark, base_dir, "matches"), stage_dir=stage_dir)
-    return [append_rows(out["new_teams"], base_dir, "teams"),
-            append_rows(out["new_venues"], base_dir, "venues"),
-            append_rows(out["matches"], base_dir, "matches")]
+                            existing=stored(spark, base_dir, "matches"), stage_dir=scratch)
+    reports = [append_rows(out["new_teams"], base_dir, "teams"),
+               append_rows(out["new_venues"], base_dir, "venues"),
+               append_rows(out["matches"], base_dir, "matches")]
+    if stage_dir is None:
+        delete_folder(spark, scratch)
+    return reports
 
 
 def _with_player_stubs(lines: DataFrame, base_dir: str) -> LoadReport:
