@@ -127,8 +127,9 @@ def test_license_cases(workers):
     docs = [*TEXTS, (20, text), (20, text), (21, f"İK {text.upper()}"), (22, "accept ccby reserved")]
     got = rows(licenses.scan(clashing(workers, docs)))
     ordered = rules()
-    want = [(i, *brute.phrase_places(t, licenses.PHRASES), *brute.licence_labels(t, ordered, licenses.PHRASES))
-            for i, t in docs]
+    # the long text has no word of any signature; trying them all on it would only take time
+    want = [(i, *brute.phrase_places(t, licenses.PHRASES),
+             *(("", 0.0) if t == LONG else brute.licence_labels(t, ordered, licenses.PHRASES))) for i, t in docs]
     assert order(got) == order(want)
     assert rows(licenses.scan(clashing(workers, []))) == []
     own = licenses.scan(clashing(workers, [(1, "a a a b")]), phrases={"a a": "x", "a b": "y"}, ordered=ordered)
