@@ -4,8 +4,9 @@ Families are written by hand: a label, the keyword (a word) without which none
 of its signatures can match, and the names it goes by.  Each family gives a
 signature for its identifier, for grants ("licensed under ..."), for a heading
 and for a bare mention.  Clause signatures are whole sentences of licence
-texts.  A rule's gate has words of which one at least stands wherever the rule
-matches: the rarest that its form offers, as many keywords are everyday words.
+texts.  A rule's gate is one group of words or two; wherever the rule matches,
+one word at least of each group stands.  They are the rarest that its form
+offers, as many keywords are everyday words.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ class Rule(NamedTuple):
     pattern: str
     priority: int
     weight: float
-    gate: tuple[str, ...]
+    gate: tuple[tuple[str, ...], ...]
 
 
 V1, V2, V3 = r"(?: version| v)? ?1(?: 0)?", r"(?: version| v)? ?2(?: 0)?", r"(?: version| v)? ?3(?: 0)?"
 ANY = r"(?:(?: version| v)? ?\d(?: \d){0,2})?"
+#: names that end so always have the word in them
+LICENSE = tuple(f" license{v}" for v in ("", V1, V2, V3, ANY))
 GPL, LGPL, AGPL = r"(?:gnu )?general public license", r"(?:gnu )?(?:lesser|library) general public license", \
     r"(?:gnu )?affero general public license"
 
@@ -34,6 +37,7 @@ FAMILIES = [
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
     ("apache", "apache", r"apache(?: software)? license"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"), ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)"),
     ("bsd", "bsd", r"(?:bsd|berkeley software distribution)"),
@@ -53,7 +57,8 @@ FAMILIES = [
     ("cpl-1.0", "common", rf"common public license{ANY}"), ("ipl-1.0", "ibm", rf"ibm public license{ANY}"),
     ("cddl-1.0", "cddl", rf"cddl{ANY}"), ("cddl-1.0", "distribution", r"common development and distribution license"),
     ("cc0-1.0", "cc0", rf"(?:creative commons )?cc0{ANY}"), ("cc0-1.0", "commons", r"creative commons zero"),
-    ("cc-by-nc-nd", "cc", rf"cc by nc nd{ANY}"), ("cc-by-nc-sa", "cc", rf"cc by nc sa{ANY}"),
+    ("cc-by-nc-nd", "cc", rf"cc (?:by nc nd|attribution non ?commercial no ?deriv\w*){ANY}"),
+    ("cc-by-nc-sa", "cc", rf"cc (?:by nc sa|attribution non ?commercial share ?alike){ANY}"),
     ("cc-by-nc", "cc", rf"cc by nc{ANY}"), ("cc-by-nd", "cc", rf"cc by nd{ANY}"), ("cc-by-sa", "cc", rf"cc by sa{ANY}"),
     ("cc-by-nc-nd", "commons", rf"creative commons (?:by nc nd|attribution non ?commercial no ?deriv\w*){ANY}"),
     ("cc-by-nc-sa", "commons", rf"creative commons (?:by nc sa|attribution non ?commercial share ?alike){ANY}"),
@@ -121,39 +126,44 @@ CLAUSES = [
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "prohibited", r"(?:unauthorized|unauthorised) (?:copying|reproduction|use|distribution)(?: \w+){0,8} (?:is )?(?:strictly )?prohibited"),
     ("proprietary", "reproduced", r"(?:no part of|may not be) (?:this|reproduced)(?: \w+){0,10} (?:reproduced|without)(?: \w+){0,6} permission"),
-    ("proprietary", "trade", r"trade secrets of \w+"),
+    ("proprietary", "trade", r"trade secrets? of \w+"),
     ("personal-use", "personal", r"(?:for )?personal(?: and)? non ?commercial use only"),
     ("non-commercial", "commercial", r"(?:not for|no|non) ?commercial use"),
     ("warranty-disclaimer", "warranties", r"without warranties or conditions of any kind"),
     ("warranty-disclaimer", "warranty", r"without warranty of any kind express or implied"),
 ]
 
-#: form, regex around a family's name, priority, weight, gate (none: the family's keyword)
+VERBS = ("released", "distributed", "published", "available", "provided", "covered", "redistributed")
+#: form, regex around a family's name, priority, weight, gate (None: the family's keyword, or the word in its name)
 FORMS = [
-    ("identifier", "spdx license identifier {}(?: only| or later)?", 4, 1.0, ("identifier",)),
+    ("identifier", "spdx license identifier {}(?: only| or later)?", 4, 1.0, (("identifier",),)),
     ("grant", "licen[sc]ed (?:under|by|according to)(?: the)?(?: terms of)?(?: the)? {}(?: licen[sc]e)?(?:{any})?",
-     3, 0.95, ("licensed", "licenced")),
-    ("release", "(?:released|distributed|published|available|provided|covered|redistributed) (?:under|by)(?: the)?"
-                "(?: terms of)?(?: the)? {} licen[sc]e(?:{any})?", 3, 0.95, ("license", "licence")),
-    ("heading", "(?:the )?{}(?: public)? licen[sc]e(?: agreement)?(?:{any})?", 2, 0.8, ("license", "licence")),
-    ("mention", "{}", 1, 0.5, ()),
+     3, 0.95, (("licensed", "licenced"),)),
+    ("release", f"(?:{'|'.join(VERBS)}) (?:under|by|according to)(?: the)?(?: terms of)?(?: the)? "
+                "{}(?: licen[sc]e)?(?:{any})?", 3, 0.95, (VERBS, None)),
+    ("heading", "(?:the )?{}(?: public)? licen[sc]e(?: agreement)?(?:{any})?", 2, 0.8, (("license", "licence"),)),
+    ("mention", "{}", 1, 0.5, (None,)),
 ]
 #: names that are also everyday words or other things' names: no bare mention
-WEAK = {"mit", "mit-0", "x11", "bsd", "isc", "zlib", "curl", "vim", "openssl", "postgresql", "w3c", "libpng", "apache", "psf-2.0",
+WEAK = {"mit", "x11", "bsd", "isc", "zlib", "curl", "vim", "openssl", "postgresql", "w3c", "libpng", "apache", "psf-2.0",
         "ruby", "python-2.0", "polyform", "ncsa"}
-#: clause keywords that are everyday words, and a rarer word of the same sentences
-CLAUSE_GATES = {"later": "license", "notice": "copyright", "compliance": "license", "trade": "secrets"}
+#: clause keywords that are everyday words, and rarer words of the same sentences
+CLAUSE_GATES = {"later": ("license",), "notice": ("copyright",), "compliance": ("license",),
+                "trade": ("secret", "secrets")}
+#: names whose keyword is an everyday word: what stands beside it in a bare mention
+MENTION_GATES = {"mit-0": (("mit",), ("0", "attribution"))}
 
 
 def rules() -> list[Rule]:
     """All signatures in order of priority."""
-    out = [Rule(label, key, pattern, 4, 0.99, (CLAUSE_GATES.get(key, key),)) for label, key, pattern in CLAUSES]
+    out = [Rule(label, key, pattern, 4, 0.99, (CLAUSE_GATES.get(key, (key,)),)) for label, key, pattern in CLAUSES]
     for label, key, name in FAMILIES:
+        own = ("license",) if name.endswith(LICENSE) else (key,)
         for form, around, priority, weight, gate in FORMS:
+            if form == "mention" and label in WEAK:
+                continue
+            gate = tuple(own if words is None else words for words in gate)
             if form == "mention":
-                if label in WEAK:
-                    continue
-                # a name that always has the word in it
-                gate = ("license",) if name.endswith((" license", f" license{ANY}")) else (key,)
+                gate = MENTION_GATES.get(label, gate)
             out.append(Rule(label, key, around.replace("{any}", ANY).replace("{}", f"(?:{name})"), priority, weight, gate))
     return sorted(out, key=lambda r: -r.priority)

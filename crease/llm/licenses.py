@@ -41,9 +41,30 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def gate_words(phrases: dict[str, str], ordered: list[Rule]) -> list[str]:
-    """Words of which a text has one at least if any phrase or signature stands in it."""
-    return sorted({w for r in ordered for w in r.gate} | {max(p.split(), key=len) for p in phrases})
+def gates(phrases: dict[str, str], ordered: list[Rule]) -> list[list[list[str]]]:
+    """Groups of words: a text in which any phrase or signature stands has a word of each group of one gate at least.
+
+    Rules of one group share a gate; those of two share one if their first group is the same.
+    """
+    single = {max(p.split(), key=len) for p in phrases}
+    double: dict[tuple, set] = {}
+    for r in ordered:
+        first, *rest = r.gate
+        if rest:
+            double.setdefault(first, set()).update(rest[0])
+        else:
+            single.update(first)
+    return [[sorted(single)], *([sorted(a), sorted(b)] for a, b in double.items())]
+
+
+def _gate(words: Column, phrases: dict[str, str], ordered: list[Rule]) -> Column:
+    out = F.lit(False)
+    for groups in gates(phrases, ordered):
+        every = F.lit(True)
+        for group in groups:
+            every = every & F.arrays_overlap(words, F.array(*[F.lit(w) for w in group]))
+        out = out | every
+    return out
 
 
 def _rule_groups(ordered: list[Rule]) -> Column:
@@ -100,9 +121,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     # a gap at either end leaves an empty string there
     empty = F.when(F.col("words")[0] == "", 1).otherwise(0) \
         + F.when((F.element_at("words", -1) == "") & (F.size("words") > 1), 1).otherwise(0)
-    gate = F.arrays_overlap("words", F.array(*[F.lit(w) for w in gate_words(phrases, ordered)]))
     rows = rows.select("row", "doc_id", (F.size("words") - empty).cast("long").alias("n_words"),
-                       F.when(gate, canonical(F.col("text"))).alias("canon"))
+                       F.when(_gate(F.col("words"), phrases, ordered), canonical(F.col("text"))).alias("canon"))
     canon = F.col("canon")
     either = F.lit("(?= (?:" + "|".join(phrases) + ") )")
     places = {p: F.regexp_count(canon, F.lit(f"(?= {p} )")) for p in phrases}
