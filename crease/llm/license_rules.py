@@ -1,8 +1,8 @@
 """Ordered licence signatures over canonical text (lower-case words, one space between).
 
-Families are written by hand: a label, the keyword (a word) without which none
-of its signatures can match, and the names it goes by.  Each family gives a
-signature for its identifier, for grants ("licensed under ..."), for a heading
+Families are written by hand: a label, the keywords (words, with or without a
+digit joined on) of which one at least stands wherever its signatures match,
+and the names it goes by.  Each family gives a signature for its identifier, for grants ("licensed under ..."), for a heading
 and for a bare mention.  Clause signatures are whole sentences of licence
 texts.  A rule's gate is one group of words or two; wherever the rule matches,
 one word at least of each group stands.  They are the rarest that its form
@@ -16,31 +16,38 @@ from typing import NamedTuple
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     priority: int
     weight: float
     gate: tuple[tuple[str, ...], ...]
 
 
+def numbered(words: tuple[str, ...], digits: int) -> tuple[str, ...]:
+    """The words, and each with so many digits at most joined on (gpl3, license2)."""
+    ends = [f"{x:0{n}d}" for n in range(1, digits + 1) for x in range(10 ** n)]
+    return words + tuple(w + e for w in words for e in ends)
+
+
 V1, V2, V3 = r"(?: version| v)? ?1(?: 0)?", r"(?: version| v)? ?2(?: 0)?", r"(?: version| v)? ?3(?: 0)?"
 ANY = r"(?:(?: version| v)? ?\d(?: \d){0,2})?"
+#: e with or without its accent, also as a capital (only A-Z is lower-cased) or with a combining accent
+E_ACUTE = r"(?:\w{1,2}|\u00e9|\u00c9|e\u0301)"
 #: names that end so always have the word in them
 LICENSE = tuple(f" license{v}" for v in ("", V1, V2, V3, ANY))
 GPL, LGPL, AGPL = r"(?:gnu )?general public license", r"(?:gnu )?(?:lesser|library) general public license", \
     r"(?:gnu )?affero general public license"
 
-#: label, keyword, names (regex over canonical words)
+#: label, keywords (parted by spaces), names (regex over canonical words)
 FAMILIES = [
     ("mit", "mit", r"mit"), ("mit-0", "mit", r"mit (?:0|no attribution)"), ("x11", "x11", r"x11"),
     ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{V2}"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
     ("apache", "apache", r"apache(?: software)? license"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
-    ("bsd-2-clause", "freebsd", r"freebsd"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"), ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)"),
-    ("bsd", "bsd", r"(?:bsd|berkeley software distribution)"),
+    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"), ("0bsd", "0bsd bsd", r"(?:0bsd|zero clause bsd)"),
+    ("bsd", "bsd berkeley", r"(?:bsd|berkeley software distribution)"),
     ("gpl-1.0", "general", rf"{GPL}{V1}"), ("gpl-2.0", "general", rf"{GPL}{V2}"), ("gpl-3.0", "general", rf"{GPL}{V3}"),
     ("gpl-1.0", "gpl", rf"(?:gnu )?gpl{V1}"), ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{V2}"),
     ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{V3}"), ("gpl", "gpl", r"(?:gnu )?gpl"), ("gpl", "general", GPL),
@@ -87,12 +94,12 @@ FAMILIES = [
     ("sspl-1.0", "server", rf"server side public license{ANY}"), ("elastic-2.0", "elastic", rf"elastic license{ANY}"),
     ("polyform", "polyform", rf"polyform [a-z]+{ANY}"), ("commons-clause", "clause", r"commons clause"),
     ("upl-1.0", "universal", rf"universal permissive license{ANY}"), ("nposl-3.0", "nposl", rf"nposl{ANY}"),
-    ("qpl-1.0", "qpl", rf"(?:q public license|qpl){ANY}"), ("sleepycat", "sleepycat", r"sleepycat"),
+    ("qpl-1.0", "qpl q", rf"(?:q public license|qpl){ANY}"), ("sleepycat", "sleepycat", r"sleepycat"),
     ("rpl-1.5", "reciprocal", rf"reciprocal public license{ANY}"), ("ecl-2.0", "educational", rf"educational community license{ANY}"),
     ("llama", "llama", rf"llama ?\d?(?: \d)? community license"), ("openrail", "openrail", r"(?:creativeml )?openrail(?: m)?"),
 ]
 
-#: label, keyword, sentence (regex over canonical words)
+#: label, keywords, sentence (regex over canonical words)
 CLAUSES = [
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "notice", r"the above copyright notice and this permission notice shall be included in all copies"),
@@ -121,14 +128,14 @@ CLAUSES = [
     ("wtfpl", "fuck", r"do what the fuck you want to public license"),
     ("bsl-1.0", "boost", r"www boost org license 1 0"),
     ("reserved", "reserved", r"all rights reserved"), ("reserved", "rechte", r"alle rechte vorbehalten"),
-    ("reserved", "droits", r"tous droits r\w{1,2}serv\w{1,2}s"), ("reserved", "derechos", r"todos los derechos reservados"),
+    ("reserved", "droits", rf"tous droits r{E_ACUTE}serv{E_ACUTE}s"), ("reserved", "derechos", r"todos los derechos reservados"),
     ("copyright", "copyright", r"copyright(?: c)? (?:\d{4}(?: \d{4})* )?(?:by )?\w+"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "prohibited", r"(?:unauthorized|unauthorised) (?:copying|reproduction|use|distribution)(?: \w+){0,8} (?:is )?(?:strictly )?prohibited"),
-    ("proprietary", "reproduced", r"(?:no part of|may not be) (?:this|reproduced)(?: \w+){0,10} (?:reproduced|without)(?: \w+){0,6} permission"),
+    ("proprietary", "permission", r"(?:no part of|may not be) (?:this|reproduced)(?: \w+){0,10} (?:reproduced|without)(?: \w+){0,6} permission"),
     ("proprietary", "trade", r"trade secrets? of \w+"),
     ("personal-use", "personal", r"(?:for )?personal(?: and)? non ?commercial use only"),
-    ("non-commercial", "commercial", r"(?:not for|no|non) ?commercial use"),
+    ("non-commercial", "commercial noncommercial nocommercial forcommercial", r"(?:not for|no|non) ?commercial use"),
     ("warranty-disclaimer", "warranties", r"without warranties or conditions of any kind"),
     ("warranty-disclaimer", "warranty", r"without warranty of any kind express or implied"),
 ]
@@ -141,7 +148,8 @@ FORMS = [
      3, 0.95, (("licensed", "licenced"),)),
     ("release", f"(?:{'|'.join(VERBS)}) (?:under|by|according to)(?: the)?(?: terms of)?(?: the)? "
                 "{}(?: licen[sc]e)?(?:{any})?", 3, 0.95, (VERBS, None)),
-    ("heading", "(?:the )?{}(?: public)? licen[sc]e(?: agreement)?(?:{any})?", 2, 0.8, (("license", "licence"),)),
+    ("heading", "(?:the )?{}(?: public)? licen[sc]e(?: agreement)?(?:{any})?", 2, 0.8,
+     (numbered(("license", "licence"), 2),)),
     ("mention", "{}", 1, 0.5, (None,)),
 ]
 #: names that are also everyday words or other things' names: no bare mention
@@ -150,20 +158,25 @@ WEAK = {"mit", "x11", "bsd", "isc", "zlib", "curl", "vim", "openssl", "postgresq
 #: clause keywords that are everyday words, and rarer words of the same sentences
 CLAUSE_GATES = {"later": ("license",), "notice": ("copyright",), "compliance": ("license",),
                 "trade": ("secret", "secrets")}
-#: names whose keyword is an everyday word: what stands beside it in a bare mention
-MENTION_GATES = {"mit-0": (("mit",), ("0", "attribution"))}
+#: names with an everyday word among their keywords: the gate of their bare mention
+MENTION_GATES = {"mit-0": (("mit",), ("0", "attribution")), "qpl-1.0": (("qpl", "license"),)}
 
 
 def rules() -> list[Rule]:
     """All signatures in order of priority."""
-    out = [Rule(label, key, pattern, 4, 0.99, (CLAUSE_GATES.get(key, (key,)),)) for label, key, pattern in CLAUSES]
-    for label, key, name in FAMILIES:
-        own = ("license",) if name.endswith(LICENSE) else (key,)
+    out = []
+    for label, keys, pattern in CLAUSES:
+        keys = tuple(keys.split())
+        out.append(Rule(label, keys, pattern, 4, 0.99, (CLAUSE_GATES.get(keys[0], keys),)))
+    for label, keys, name in FAMILIES:
+        keys = tuple(keys.split())
+        own = ("license",) if name.endswith(LICENSE) else keys
         for form, around, priority, weight, gate in FORMS:
             if form == "mention" and label in WEAK:
                 continue
-            gate = tuple(own if words is None else words for words in gate)
-            if form == "mention":
-                gate = MENTION_GATES.get(label, gate)
-            out.append(Rule(label, key, around.replace("{any}", ANY).replace("{}", f"(?:{name})"), priority, weight, gate))
+            # a name may end in one digit, and a form's own version adds another
+            gate = tuple(numbered(own, 1 if form == "mention" else 2) if words is None else words for words in gate)
+            if form == "mention" and label in MENTION_GATES:
+                gate = tuple(numbered(words, 1) for words in MENTION_GATES[label])
+            out.append(Rule(label, keys, around.replace("{any}", ANY).replace("{}", f"(?:{name})"), priority, weight, gate))
     return sorted(out, key=lambda r: -r.priority)

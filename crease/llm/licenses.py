@@ -2,7 +2,7 @@
 
 Most documents have none of the gate words and pass unscanned.  The others
 become canonical text (A-Z lower-cased, words with one space between).  Only
-rules whose keyword stands in it are tried, and each rule that matches gives
+rules of which a keyword begins a word in it are tried, and each that matches gives
 the lengths of the stretches between its matches and of the matches.  Running
 sums turn these into intervals, and a detection whose interval lies within one
 of the same or a higher priority is suppressed.  The strongest detection that
@@ -62,23 +62,24 @@ def _gate(words: Column, phrases: dict[str, str], ordered: list[Rule]) -> Column
     for groups in gates(phrases, ordered):
         every = F.lit(True)
         for group in groups:
-            every = every & F.arrays_overlap(words, F.array(*[F.lit(w) for w in group]))
+            every = every & F.arrays_overlap(words, F.split(F.lit(" ".join(group)), " "))
         out = out | every
     return out
 
 
 def _rule_groups(ordered: list[Rule]) -> Column:
-    """The rules as a literal: keyword -> array of (rule number, pattern)."""
-    by_key: dict[str, list] = {}
+    """The rules as a literal: beginnings of words -> array of (rule number, pattern)."""
+    by_key: dict[tuple, list] = {}
     for n, r in enumerate(ordered):
-        by_key.setdefault(r.keyword, []).append(F.struct(
+        by_key.setdefault(r.keywords, []).append(F.struct(
             F.lit(n).alias("n"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")))
-    return F.array(*[F.struct(F.lit(f" {k} ").alias("key"), F.array(*v).alias("rules")) for k, v in by_key.items()])
+    return F.array(*[F.struct(F.array(*[F.lit(f" {k}") for k in keys]).alias("keys"), F.array(*v).alias("rules"))
+                     for keys, v in by_key.items()])
 
 
 def _lengths(canon: Column, ordered: list[Rule]) -> Column:
     """For each rule that matches: the lengths between its matches, and of them."""
-    groups = F.filter(_rule_groups(ordered), lambda g: F.contains(canon, g["key"]))
+    groups = F.filter(_rule_groups(ordered), lambda g: F.exists(g["keys"], lambda k: F.contains(canon, k)))
     gated = F.flatten(F.transform(groups, lambda g: g["rules"]))
     found = F.filter(gated, lambda r: F.regexp_like(canon, r["pattern"]))
     return F.transform(found, lambda r: F.struct(

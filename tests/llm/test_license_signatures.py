@@ -1,9 +1,14 @@
 """Licence signatures: every alternative is found through gate and prefilter."""
 
+import random
+import re
+from re import _parser as sre
+
 import pytest
 from llm_session import workers  # noqa: F401
 
 from crease.llm import licenses
+from crease.llm.license_rules import rules
 
 RESTORED = [
     ("about FreeBSD here", "bsd-2-clause", 0.5), ("a trade secret of Acme", "proprietary", 0.99),
@@ -26,3 +31,62 @@ def test_restored_signatures(workers):
     got = found(workers, [t for t, *_ in RESTORED])
     assert got == [(label, pytest.approx(score)) for _, label, score in RESTORED]
     assert found(workers, PLAIN) == [("", 0.0)] * len(PLAIN)
+
+
+BY_HAND = [
+    ("Berkeley Software Distribution License", "bsd"), ("Q Public License", "qpl-1.0"), ("zero clause BSD", "0bsd"),
+    ("for noncommercial use", "non-commercial"), ("nocommercial use", "non-commercial"),
+    ("no part of this book may be copied without written permission", "proprietary"),
+    ("under GPL3", "gpl-3.0"), ("under LGPL3", "lgpl-3.0"), ("under AGPL3", "agpl"), ("under MPL2", "mpl-2.0"),
+    ("under EPL2", "epl"), ("under OFL1", "ofl-1.1"), ("Llama3 community license", "llama"),
+    ("distributed under Apache2", "apache-2.0"), ("the Artistic License2", "artistic-2.0"),
+    ("Tous droits réservés", "reserved"), ("TOUS DROITS RÉSERVÉS", "reserved"),
+    ("tous droits réservés", "reserved"), ("tous droits reserves", "reserved"),
+]
+
+
+def test_alternatives_by_hand(workers):
+    assert [labels for labels, _ in found(workers, [t for t, _ in BY_HAND])] == [label for _, label in BY_HAND]
+
+
+def made(tree, pick) -> str:
+    """A text that a parsed pattern matches; ``pick`` chooses among alternatives and numbers of repeats."""
+    out = ""
+    for op, arg in tree:
+        if op == sre.LITERAL:
+            out += chr(arg)
+        elif op == sre.SUBPATTERN:
+            out += made(arg[3], pick)
+        elif op == sre.BRANCH:
+            out += made(arg[1][pick(len(arg[1]))], pick)
+        elif op == sre.MAX_REPEAT:
+            low, high, inner = arg
+            out += "".join(made(inner, pick) for _ in range(low + pick(min(high, low + 1) - low + 1)))
+        else:
+            assert op == sre.IN, op
+            kind, value = arg[pick(len(arg))]
+            if kind == sre.CATEGORY:
+                out += str(pick(10)) if value == sre.CATEGORY_DIGIT else "z"
+            else:
+                out += chr(value if kind == sre.LITERAL else value[0] + pick(value[1] - value[0] + 1))
+    return out
+
+
+def test_every_signature_passes_gate_and_prefilter(workers):
+    rng = random.Random(5)
+    ordered = rules()
+    cases = []
+    for r in ordered:
+        tree = sre.parse(r.pattern)
+        texts = {made(tree, rng.randrange) for _ in range(60)}
+        # digits joined on and every alternative: the shortest and the longest choice too
+        texts |= {made(tree, lambda n: 0), made(tree, lambda n: n - 1)}
+        for t in sorted(texts):
+            assert re.fullmatch(r.pattern, t)
+            words = set(t.split(" "))
+            assert all(words & set(group) for group in r.gate), (r, t)
+            assert any(f" {k}" in f" {t}" for k in r.keywords), (r, t)
+        cases += [(r, t) for t in sorted(texts)[::15]]
+    lost = [(r, t) for (r, t), (_, score) in zip(cases, found(workers, [t for _, t in cases]), strict=True)
+            if score < min(r.weight, 0.99)]
+    assert not lost
