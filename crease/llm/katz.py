@@ -298,7 +298,7 @@ def _count_pairs(key, f):
     out = [(-1, key[0], "table", _pack_sorted(distinct[seen]), _pack(total[seen], "<i8"))]
     for k, chunk in enumerate(f.chunk):
         part = slice(cuts[k], cuts[k + 1])
-        out.append((chunk, key[0], "pair", _pack(total[place[part]], "<i4"), _pack(owns[part], np.uint8)))
+        out.append((chunk, key[0], "pair", _pack(total[place[part]], "<i8"), _pack(owns[part], np.uint8)))
     return _frame(out)
 
 
@@ -311,7 +311,7 @@ def _answers(rows, keys, buckets: int):
     count, owns = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     for r in rows:
         at = order[cuts[r.bucket]:cuts[r.bucket + 1]]
-        count[at], owns[at] = _unpack(r.a, "<i4"), _unpack(r.b, np.uint8).astype(bool)
+        count[at], owns[at] = _unpack(r.a, "<i8"), _unpack(r.b, np.uint8).astype(bool)
     return count, owns
 
 
