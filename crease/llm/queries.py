@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import (decontaminate, hnsw, katz, licenses, packing, quality, simhash, token_counts, tool_calls,
-                        warc)
+from crease.llm import (decontaminate, fingerprints, hnsw, katz, licenses, packing, quality, simhash, token_counts,
+                        tool_calls, warc)
 from crease.llm.common import ship
 from crease.llm.oracles import ORACLES
 
@@ -69,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
 def _shipped(f):
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,8 @@ def _shipped(f):
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: _shipped(f) for f in (op1_warc, op2_token_counts, op3_simhash, op4_decontamination, op5_licenses,
-                                    op6_hnsw, op7_packing, op8_tool_calls, op9_katz, op10_quality)}
+                                    op6_hnsw, op7_packing, op8_tool_calls, op9_katz, op10_quality,
+                                    op13_fingerprints)}
 
 
 def llm_oracles() -> dict[str, str]:
