@@ -44,6 +44,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIG
        CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(items, '')) AS items_sha256,
        n_hit IS NOT NULL AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_spelling": """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda r, i:
+           CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b)) AS step),
+run AS (
+  SELECT COALESCE(CAST(doc_id AS VARCHAR), '') AS id, translate(
+           unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+byte AS (
+  SELECT run, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+           CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)) AS bytes
+  FROM run),
+hashed AS (
+  SELECT run, xor(list_reduce(bytes, lambda h, b: xor(h >> 8, step[(xor(h, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM (SELECT run, list_transform(bytes, lambda b: CAST(b AS BIGINT)) AS bytes FROM byte), crc),
+word AS (
+  SELECT word, COUNT(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+        FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING COUNT(*) >= 2),
+cut AS (SELECT word, n, place, word[1:place - 1] || word[place + 1:] AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM word)),
+pair AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.place = b.place AND a.rest = b.rest
+  WHERE a.word <> b.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM cut c JOIN word w ON c.rest = w.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM cut c JOIN word w ON c.rest = w.word),
+top AS (
+  SELECT word, n, COUNT(*) AS n_near, MAX(near_n) AS near_n, arg_min(near, (-near_n, near)) AS near
+  FROM pair GROUP BY word, n),
+named AS (
+  SELECT w.word, w.n, CASE WHEN t.near_n >= 10 * w.n THEN t.near END AS form,
+         CASE WHEN t.near_n >= 10 * w.n THEN t.near_n END AS form_n, COALESCE(t.n_near, 0) AS n_near
+  FROM word w LEFT JOIN top t USING (word)),
+chain AS (
+  SELECT word, word AS root FROM named
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN named f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT named.word, form, root, n, n_near, form_n
+FROM named JOIN chain ON chain.word = named.word
+WHERE root NOT IN (SELECT word FROM named WHERE form IS NOT NULL)""",
     "op8_tool_calls": """
 WITH call AS (
   SELECT conv_id, turn, text, length(text) AS size,
