@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm import (decontaminate, fingerprints, hnsw, katz, licenses, packing, quality, simhash, spelling,
-                        token_counts, tool_calls, warc)
+from crease.llm import (alignment, decontaminate, fingerprints, hnsw, katz, licenses, packing, quality, simhash,
+                        spelling, token_counts, tool_calls, warc)
 from crease.llm.common import ship
 from crease.llm.oracles import ORACLES
 
@@ -69,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
@@ -89,7 +93,7 @@ def _shipped(f):
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: _shipped(f) for f in (op1_warc, op2_token_counts, op3_simhash, op4_decontamination, op5_licenses,
                                     op6_hnsw, op7_packing, op8_tool_calls, op9_katz, op10_quality,
-                                    op12_spelling, op13_fingerprints)}
+                                    op11_alignment, op12_spelling, op13_fingerprints)}
 
 
 def llm_oracles() -> dict[str, str]:
