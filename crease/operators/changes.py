@@ -1,20 +1,30 @@
-"""Row mutations as change sets: validated insert, update, delete.
-
-`apply_changes` left-joins the table with the latest updates and deletes per
-key and adds the checked inserts, so Spark can broadcast a small change set and
-leave the table unshuffled.  The result is a new DataFrame; write it to a new path and swap, never over the
-path being read.
+"""Row mutations as ordered change sets: validated insert, update, delete.
+
+A change is a step on its key's state, which is a row or absent; steps compose,
+so a key's changes are folded in parts.  The changes are range-partitioned by
+key and order, which spreads a hot key over partitions, and written once.
+Whether a key is present after a part is told by the part's last valid insert
+or delete, if it has one; these few rows, carried over the parts of a key, give
+each part its state at the start, and a window inside the part gives every
+change the state that it meets.  A key's row is then the latest value of every
+column, an aggregate that combines map-side.
+
+The table is asked once which changed keys it holds (a semi-join with the keys
+of the changes, broadcast when they are few) and joined once with the folded
+changes, so a small change set leaves it unshuffled.  The result is a new
+DataFrame; write it to a new path and swap, never over the path being read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crease.functions.semantics import non_blank
-from crease.operators.keys import dedupe
+from crease.sources.sinks import stage_lines
 
 CHANGE_COLUMNS = ["op", "seq"]
 
@@ -29,47 +39,99 @@ PLAYER_DISPLAY_NAMES = {
 }
 
 
+def _steps(base: DataFrame, changes: DataFrame, keys: list[str], required: Sequence[str]) -> DataFrame:
+    """The changes in range partitions of (key, order), staged: `_part`, `_valid` (may insert) and `_order` added.
+
+    Values have the table's types; columns that the changes lack are NULL, text of inserts is trimmed.
+    """
+    spark = base.sparkSession
+    types = dict(base.dtypes)
+    values = [c for c in base.columns if c not in keys]
+    valid = F.lit(True)
+    for k in keys:
+        valid = valid & (F.coalesce(F.col(k) > 0, F.lit(False)) if types[k] in ("int", "bigint", "smallint")
+                         else F.col(k).isNotNull())
+    for c in required:
+        valid = valid & non_blank(F.col(c))
+
+    def value(c: str) -> Column:
+        given = (F.col(c) if c in changes.columns else F.lit(None)).cast(types[c])
+        return F.when(F.col("op") == "I", F.trim(given)).otherwise(given) if types[c] == "string" else given
+
+    # equal numbers are ordered by the rest of the change
+    order = ["seq", "op", *[c for c in values if c in changes.columns]]
+    ranged = changes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *keys, *order)
+    steps = ranged.select(*keys, "op", F.spark_partition_id().alias("_part"), valid.alias("_valid"),
+                          F.struct(*order).alias("_order"), *[value(c).alias(c) for c in values])
+    return stage_lines(steps, "changes")[0]
+
+
+def fold_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str],
+                 required: Sequence[str] = ("full_name", "country")) -> tuple[DataFrame, DataFrame]:
+    """Each change with the state that it meets, and each changed key with its outcome.
+
+    The first frame has a row per change with `_before` (the key is present just
+    before it).  The second has a row per key: `_was` (the table holds it),
+    `_end` (present in the end), and per column a struct of the latest value
+    set, NULL when the table's value stays.
+    """
+    keys = list(keys)
+    values = [c for c in base.columns if c not in keys]
+    steps = _steps(base, changes, keys, required)
+    # a valid insert leaves the key present, a delete leaves it absent, whatever was before
+    mark = F.when((F.col("op") == "I") & F.col("_valid"), True).when(F.col("op") == "D", False)
+    steps = steps.withColumn("_mark", mark)
+    last = F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_order")))
+    parts = steps.groupBy("_part", *keys).agg(last.alias("_last"))
+    held = base.select(*keys).join(parts.select(*keys).distinct(), keys, "left_semi").distinct()
+    parts = parts.join(held.withColumn("_held", F.lit(True)), keys, "left")
+    # one row per part of a key: bounded by the number of partitions
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", *keys, F.coalesce("_held", F.lit(False)).alias("_was"), F.coalesce(
+        F.last("_last", ignorenulls=True).over(earlier), "_held", F.lit(False)).alias("_start"))
+    inside = Window.partitionBy("_part", *keys).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_mark_before", F.last("_mark", ignorenulls=True).over(inside))
+    same = reduce(Column.__and__, [steps[k].eqNullSafe(starts[k]) for k in ["_part", *keys]])
+    told = steps.join(starts, same).select(
+        *[steps[c] for c in steps.columns], "_was", F.coalesce("_mark_before", "_start").alias("_before"))
+
+    born = (F.col("op") == "I") & F.col("_valid") & ~F.col("_before")
+    patched = (F.col("op") == "U") & F.col("_before")
+    folded = told.groupBy(*keys).agg(
+        F.max("_was").alias("_was"), last.alias("_end"),
+        *[F.max_by(F.struct(c), F.when(born | (patched & F.col(c).isNotNull()), F.col("_order"))).alias(f"_set_{c}")
+          for c in values])
+    return told, folded.withColumn("_end", F.coalesce("_end", "_was"))
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str],
                   required: Sequence[str] = ("full_name", "country")) -> tuple[DataFrame, DataFrame]:
-    """Apply a change set with columns op ('I' | 'U' | 'D'), seq, keys and values.
+    """Apply a change set with columns op ('I' | 'U' | 'D'), seq, keys and values, one after the other.
 
-    * the latest change per key wins (highest `seq`, C5);
+    * changes of a key act in the order of `seq`, each on what the one before
+      left (C5); equal `seq` are ordered by op and values;
     * 'I' inserts when the key is absent and the row is valid: text trimmed,
-      `required` fields non-blank, numeric keys > 0 (C4); an insert on an
-      existing key is rejected, as a primary-key violation would be;
-    * 'U' overwrites the non-NULL values of an existing row (C5);
-    * 'D' removes an existing row (C6);
+      `required` fields non-blank, numeric keys > 0, no NULL key (C4); an insert
+      on a present key is rejected, as a primary-key violation would be;
+    * 'U' overwrites the non-NULL values of a present row (C5);
+    * 'D' removes a present row (C6);
     * updates and deletes of absent keys change nothing.
 
-    Returns (table, rejected_inserts).
+    Returns (table, rejected_inserts), the latter with a row per rejected change.
     """
     keys = list(keys)
     values = [c for c in base.columns if c not in keys]
-    latest = dedupe(changes, keys, [-F.col("seq")])
-    ch = latest.select(*keys, F.col("op").alias("_op"),
-                       *[F.col(c).alias(f"_c_{c}") if c in changes.columns
-                         else F.lit(None).cast(base.schema[c].dataType).alias(f"_c_{c}") for c in values])
-    valid = F.lit(True)
-    for k in keys:
-        if dict(base.dtypes)[k] in ("int", "bigint", "smallint"):
-            valid = valid & F.coalesce(F.col(k) > 0, F.lit(False))
-    for c in required:
-        valid = valid & non_blank(F.col(f"_c_{c}"))
-
-    def trimmed(c):
-        col = F.col(f"_c_{c}")
-        return F.trim(col) if dict(base.dtypes)[c] == "string" else col
-
-    changed = base.join(ch.where(F.col("_op").isin("U", "D")), keys, "left")
-    kept = changed.where(F.col("_op").isNull() | (F.col("_op") == "U")).select(
-        *keys, *[F.when(F.col("_op") == "U", F.coalesce(F.col(f"_c_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
-                 for c in values])
-    inserts = ch.where(F.col("_op") == "I")
-    fresh = inserts.join(base.select(*keys), keys, "left_anti")
-    added = fresh.where(valid).select(*keys, *[trimmed(c).alias(c) for c in values])
-    again = inserts.join(base.select(*keys).distinct(), keys, "left_semi")
-    rejected = again.select(*keys, F.col("_op").alias("op"), F.lit("duplicate key").alias("reason")).unionByName(
-        fresh.where(~valid).select(*keys, F.col("_op").alias("op"), F.lit("invalid row").alias("reason")))
+    told, folded = fold_changes(base, changes, keys, required)
+
+    def now(c: str, otherwise: Column) -> Column:
+        return F.when(F.col(f"_set_{c}").isNotNull(), F.col(f"_set_{c}")[c]).otherwise(otherwise).alias(c)
+
+    kept = base.join(folded, keys, "left").where(F.coalesce("_end", F.lit(True))) \
+        .select(*keys, *[now(c, F.col(c)) for c in values])
+    added = folded.where(~F.col("_was") & F.col("_end")).select(
+        *keys, *[now(c, F.lit(None).cast(base.schema[c].dataType)) for c in values])
+    rejected = told.where((F.col("op") == "I") & (F.col("_before") | ~F.col("_valid"))).select(
+        *keys, "op", F.when(F.col("_before"), "duplicate key").otherwise("invalid row").alias("reason"))
     return kept.unionByName(added).select(*base.columns), rejected
 
 

@@ -199,7 +199,7 @@ def q_check_castable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _change_set(players: DataFrame) -> DataFrame:
-    """Several changes per key; inserts that are new, on existing keys, blank, or of bad ids."""
+    """Sequences of changes per key: U-I, D-I, D-U and I-U-D among them; blank inserts and bad ids."""
     pid = F.col("player_id")
 
     def part(rows: DataFrame, op: str, seq: int, key, name: str | None, country: str | None) -> DataFrame:
@@ -213,7 +213,11 @@ def _change_set(players: DataFrame) -> DataFrame:
         part(players.where(pid % 7 == 0), "I", 4, pid, "twice", "x"),
         part(players.where(pid % 4 == 1), "I", 5, pid + 10_000_000, "  new ", "c"),
         part(players.where(pid % 4 == 2), "I", 6, pid + 10_000_000, "  ", "c"),
-        part(players.where(pid % 4 == 3), "I", 7, -pid, "n", "c")])
+        part(players.where(pid % 4 == 3), "I", 7, -pid, "n", "c"),
+        part(players.where(pid % 8 == 1), "U", 8, pid + 10_000_000, None, "changed"),
+        part(players.where(pid % 16 == 1), "D", 9, pid + 10_000_000, None, None),
+        part(players.where(pid % 32 == 1), "I", 10, pid + 10_000_000, "again", "d"),
+        part(players.where(pid % 64 == 1), "I", 11, pid + 10_000_000, "no more", "e")])
 
 
 def q_apply_many_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -312,6 +316,19 @@ def _widths_sql() -> str:
         for t, widths in VARCHAR_WIDTHS.items() for c, w in widths.items())
 
 
+_NEW = "player_id > 10000000 AND (player_id - 10000000)"
+_STATEMENTS = f"""t1 AS (SELECT player_id, full_name, 'early' AS country, playing_role FROM players),
+t2 AS (SELECT * FROM t1 WHERE player_id % 5 <> 0),
+t3 AS (SELECT * REPLACE (CASE WHEN player_id % 10 = 0 THEN 'late' ELSE full_name END AS full_name) FROM t2),
+t4 AS (FROM t3 UNION ALL SELECT player_id, 'twice', 'x', NULL FROM players
+       WHERE player_id % 7 = 0 AND player_id > 0 AND player_id NOT IN (SELECT player_id FROM t3)),
+t5 AS (FROM t4 UNION ALL SELECT player_id + 10000000, 'new', 'c', NULL FROM players WHERE player_id % 4 = 1),
+t8 AS (SELECT * REPLACE (CASE WHEN {_NEW} % 8 = 1 THEN 'changed' ELSE country END AS country) FROM t5),
+t9 AS (SELECT * FROM t8 WHERE NOT ({_NEW} % 16 = 1)),
+t10 AS (FROM t9 UNION ALL SELECT player_id + 10000000, 'again', 'd', NULL FROM players WHERE player_id % 32 = 1),
+t11 AS (FROM t10 UNION ALL SELECT player_id + 10000000, 'no more', 'e', NULL FROM players
+        WHERE player_id % 64 = 1 AND player_id + 10000000 NOT IN (SELECT player_id FROM t10))"""
+
 _ORACLES: dict[str, str] = {
     "i11b_load_batting_twice": f"""
 SELECT player_id, match_id, format, runs_scored, balls_faced, strike_rate, batting_position, is_out, innings_number
@@ -378,16 +395,18 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_s
     "c1b_check_all_keys": _keys_sql(),
     "c3b_check_all_widths": _widths_sql(),
     "c3c_check_castable": "SELECT c_custkey, c_name AS code FROM customer WHERE c_custkey % 3 = 0",
-    "c5_apply_many_changes": """
-SELECT player_id, CASE WHEN player_id % 7 <> 0 AND player_id % 10 = 0 THEN 'late' ELSE full_name END AS full_name,
-       CASE WHEN player_id % 7 = 0 OR player_id % 10 = 0 THEN country ELSE 'early' END AS country, playing_role
-FROM players WHERE player_id % 7 = 0 OR player_id % 10 = 0 OR player_id % 5 <> 0
-UNION ALL
-SELECT player_id + 10000000, 'new', 'c', NULL FROM players WHERE player_id % 4 = 1""",
-    "c4b_rejected_changes": """
-SELECT player_id, 'I' AS op, 'duplicate key' AS reason FROM players WHERE player_id % 7 = 0
+    # one statement after the other, each on the table that the one before left
+    "c5_apply_many_changes": f"""
+WITH {_STATEMENTS}
+SELECT * FROM t11""",
+    "c4b_rejected_changes": f"""
+WITH {_STATEMENTS}
+SELECT player_id, 'I' AS op, 'duplicate key' AS reason FROM t3 WHERE player_id % 7 = 0 AND player_id < 10000000
+UNION ALL SELECT player_id, 'I', 'invalid row' FROM players
+  WHERE player_id % 7 = 0 AND player_id <= 0 AND player_id NOT IN (SELECT player_id FROM t3)
 UNION ALL SELECT player_id + 10000000, 'I', 'invalid row' FROM players WHERE player_id % 4 = 2
-UNION ALL SELECT -player_id, 'I', 'invalid row' FROM players WHERE player_id % 4 = 3""",
+UNION ALL SELECT -player_id, 'I', 'invalid row' FROM players WHERE player_id % 4 = 3
+UNION ALL SELECT player_id, 'I', 'duplicate key' FROM t10 WHERE player_id > 10000000 AND (player_id - 10000000) % 64 = 1""",
     "b2b_squad_lists": """
 WITH s AS (
   SELECT l_orderkey, l_linestatus = 'F' AS plays, string_agg(s_name, ';' ORDER BY l_linenumber, l_suppkey) AS names

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
@@ -154,8 +156,7 @@ def test_apply_changes(spark):
         "op string, seq bigint, player_id bigint, full_name string, country string")
     out, rejected = apply_changes(base, ch, ["player_id"])
     rows = {r.player_id: (r.full_name, r.country) for r in out.collect()}
-    # id 4: its latest change (update) wins over the insert, and 4 is absent -> nothing
-    assert rows == {1: ("A", "X"), 2: ("B", "Y2")}
+    assert rows == {1: ("A", "X"), 2: ("B", "Y2"), 4: ("D", "W2")}
     assert {(r.player_id, r.reason) for r in rejected.collect()} == {(1, "duplicate key"), (5, "invalid row")}
     ch2 = ch.where("seq <> 8")
     once, _ = apply_changes(base, ch2, ["player_id"])
@@ -163,6 +164,46 @@ def test_apply_changes(spark):
     assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 3
 
 
+@pytest.mark.parametrize("ops, there, want, reasons", [
+    ("IU", False, ("u", "i"), []), ("DI", True, ("i", "i"), []), ("UI", True, ("u", "c"), ["duplicate key"]),
+    ("DU", True, None, []), ("IDIUI", False, ("u", "i"), ["duplicate key"]), ("ID", False, None, []),
+    ("IDDI", True, ("i", "i"), ["duplicate key"])])
+def test_changes_of_a_key_act_in_order(spark, ops, there, want, reasons):
+    base = spark.createDataFrame([(7, "t", "c")] if there else [], "player_id bigint, full_name string, country string")
+    value = {"I": ("i", "i"), "U": ("u", None), "D": (None, None)}
+    ch = spark.createDataFrame([(op, k, 7, *value[op]) for k, op in enumerate(ops)],
+                               "op string, seq bigint, player_id bigint, full_name string, country string")
+    out, rejected = apply_changes(base, ch, ["player_id"])
+    assert [tuple(r)[1:] for r in out.collect()] == ([want] if want else [])
+    assert [r.reason for r in rejected.collect()] == reasons
+
+
+def test_hot_key_is_folded_in_parts(spark):
+    from crease.operators.changes import fold_changes
+    base = spark.createDataFrame([(1, "t", "c"), (2, "t", "c")], "player_id bigint, full_name string, country string")
+    n = 3000
+    ch = spark.range(n).selectExpr(
+        "element_at(array('I', 'U', 'D', 'U', 'I'), cast(id % 5 as int) + 1) op", "id seq",
+        "if(id % 3 = 0, id, 1) player_id", "concat('n', id) full_name", "if(id % 2 = 0, concat('c', id), null) country")
+    rows = {r.seq: r for r in ch.collect()}
+    table, bad = {1: ("t", "c"), 2: ("t", "c")}, 0
+    for k in range(n):
+        r = rows[k]
+        if r.op == "D":
+            table.pop(r.player_id, None)
+        elif r.op == "U" and r.player_id in table:
+            table[r.player_id] = (r.full_name, r.country or table[r.player_id][1])
+        elif r.op == "I" and (r.player_id in table or not r.country or not r.player_id):
+            bad += 1
+        elif r.op == "I":
+            table[r.player_id] = (r.full_name, r.country)
+    out, rejected = apply_changes(base, ch, ["player_id"])
+    assert {r.player_id: (r.full_name, r.country) for r in out.collect()} == table
+    assert rejected.count() == bad
+    told, _ = fold_changes(base, ch, ["player_id"])
+    assert told.where("player_id = 1").select("_part").distinct().count() > 2
+
+
 def test_players_keep_first_in_document_order(spark):
     rows = [(json.dumps({"players": [{"id": "1", "name": "Zed"}]}),),
             (json.dumps({"player": [{"id": "2", "name": "Q"}], "rank": [{"id": "1", "name": "Abe"}]}),)]

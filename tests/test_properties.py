@@ -48,12 +48,9 @@ def test_dedupe_model(spark, rows):
 
 
 def _model(base, changes):
-    table = {k: dict(v) for k, v in base.items()}
-    latest = {}
-    for op, seq, key, name, country in changes:
-        if key not in latest or seq > latest[key][1]:
-            latest[key] = (op, seq, key, name, country)
-    for op, _seq, key, name, country in latest.values():
+    """One change after the other: the table, and the rejected inserts."""
+    table, rejected = {k: dict(v) for k, v in base.items()}, []
+    for op, _seq, key, name, country in sorted(changes, key=lambda c: c[1]):
         if op == "D":
             table.pop(key, None)
         elif op == "U" and key in table:
@@ -61,26 +58,30 @@ def _model(base, changes):
                 table[key]["full_name"] = name
             if country is not None:
                 table[key]["country"] = country
-        elif op == "I" and key not in table and key > 0 and (name or "").strip() and (country or "").strip():
+        elif op == "I" and key in table:
+            rejected.append((key, "duplicate key"))
+        elif op == "I" and key > 0 and (name or "").strip() and (country or "").strip():
             table[key] = {"full_name": name.strip(), "country": country.strip()}
-    return table
+        elif op == "I":
+            rejected.append((key, "invalid row"))
+    return table, sorted(rejected)
 
 
 @SETTINGS
 @given(st.dictionaries(st.integers(1, 12), st.tuples(st.sampled_from(["A", "B"]), st.sampled_from(["X", "Y"])),
                        max_size=8),
-       st.lists(st.tuples(st.sampled_from(["I", "U", "D"]), st.integers(0, 10_000), st.integers(-1, 14),
+       st.lists(st.tuples(st.sampled_from(["I", "U", "D"]), st.integers(0, 10_000), st.sampled_from([-1, 1, 2, 2, 2, 13]),
                           st.one_of(st.none(), st.sampled_from([" N ", "M", "  "])),
                           st.one_of(st.none(), st.sampled_from(["Z", " W", ""]))),
-                min_size=1, max_size=15, unique_by=lambda c: c[1]))
+                min_size=1, max_size=24, unique_by=lambda c: c[1]))
 def test_apply_changes_model(spark, base_rows, changes):
     base = {k: {"full_name": n, "country": c} for k, (n, c) in base_rows.items()}
     b = spark.createDataFrame([(k, v["full_name"], v["country"]) for k, v in base.items()],
                               "player_id bigint, full_name string, country string")
     ch = spark.createDataFrame(changes, "op string, seq bigint, player_id bigint, full_name string, country string")
-    out, _ = apply_changes(b, ch, ["player_id"])
+    out, rejected = apply_changes(b, ch, ["player_id"])
     got = {r.player_id: {"full_name": r.full_name, "country": r.country} for r in out.collect()}
-    assert got == _model(base, changes)
+    assert (got, sorted((r.player_id, r.reason) for r in rejected.collect())) == _model(base, changes)
 
 
 _num = st.integers(0, 250).map(str)
