@@ -17,7 +17,8 @@ from crease.functions.semantics import (
     epoch_ms_to_date, month_to_quarter, non_blank, parse_decimal, parse_double, parse_int,
     parse_long, round_dec, round_float, text_or, unreadable,
 )
-from crease.operators.keys import assign_keys, dedupe, dedupe_all, ensure_members, new_rows
+from crease.operators.keys import assign_keys, dedupe, dedupe_all, ensure_members, met_rows, new_rows
+from crease.operators.upsert import DEFAULT_PARTS, upsert_rows
 from crease.sources.documents import DOC_ORDER
 from crease.session import delete_folder
 from crease.sources.sinks import LoadReport, append_rows, stage_lines
@@ -404,9 +405,31 @@ def quarterly_months(batting_docs: DataFrame, with_faults: bool = False) -> Data
     t = s.select("player_id", F.col("s.format").alias("format"),
                  F.explode(F.coalesce(F.col("s.timeline"), F.array())).alias("t"))
     rows = read_fields(t, [F.col("player_id"), F.col("format")], {
-        "year": _number("t.year"), "_month": _number("t.month", parse_int, 1), "runs": _number("t.runs"),
+        "year": _number("t.year"), "month": _number("t.month", parse_int, 1), "runs": _number("t.runs"),
         "sr": _decimal("t.strikeRate", 9, 2), "matches": _number("t.matches")}, with_faults)
-    return rows.withColumn("quarter", month_to_quarter("_month")).drop("_month")
+    return rows.withColumn("quarter", month_to_quarter("month"))
+
+
+MONTH_KEYS = ["player_id", "format", "year", "quarter", "month"]
+QUARTER_KEYS = ["player_id", "year", "quarter", "format"]
+#: a player's months and quarters of a format share a part of their stored tables
+CAREER_PART = ["player_id", "format"]
+
+
+def month_states(months: DataFrame) -> DataFrame:
+    """Mergeable state of every month: exact sums from which quarters follow without reading documents again."""
+    return months.groupBy(*MONTH_KEYS).agg(
+        F.sum("runs").cast("bigint").alias("runs"),
+        F.sum(F.col("sr") * F.col("matches")).cast("decimal(38,2)").alias("weighted_sr"),
+        F.sum("matches").cast("bigint").alias("matches"))
+
+
+def quarters_of(states: DataFrame) -> DataFrame:
+    """I14 from month states: runs and matches summed, the strike rate averaged by matches."""
+    return (states.groupBy(*QUARTER_KEYS)
+            .agg(F.sum("runs").cast("int").alias("total_runs"),
+                 round_dec(F.try_divide(F.sum("weighted_sr"), F.sum("matches")), 7).alias("strike_rate"),
+                 F.sum("matches").cast("int").alias("matches_played")))
 
 
 def extract_quarterly(batting_docs: DataFrame, reject: bool = False) -> DataFrame:
@@ -420,32 +443,32 @@ def extract_quarterly(batting_docs: DataFrame, reject: bool = False) -> DataFram
     months = quarterly_months(batting_docs, with_faults=True)
     if reject:
         months = months.where(F.col(FAULT) == "")
-    return (months.groupBy("player_id", "year", "quarter", "format")
-            .agg(F.sum("runs").cast("int").alias("total_runs"),
-                 round_dec(F.try_divide(F.sum(F.col("sr") * F.col("matches")), F.sum("matches")), 7)
-                 .alias("strike_rate"),
-                 F.sum("matches").cast("int").alias("matches_played")))
+    return quarters_of(month_states(months))
 
 
 def merge_format_summary(batting_docs: DataFrame, bowling_docs: DataFrame, reject: bool = False) -> DataFrame:
     """Full merge of batting and bowling career stats by (player, format), defaults 0.
 
-    A format listed twice in one document keeps its last entry (the source
-    builds a dict by format).  `reject=True` leaves out entries with unreadable
-    numbers (`career_faults` has them).
+    A format listed twice keeps its last entry (the source builds a dict by
+    format): of several documents the last in document order (`_doc_order`, if
+    the documents carry it), in a document the last by position; entries that
+    agree in both are ordered by their values, so the pick never depends on the
+    order of rows.  `reject=True` leaves out entries with unreadable numbers
+    (`career_faults` has them).
     """
     def last_per_format(docs: DataFrame, fields: dict[str, Column], read: dict) -> DataFrame:
-        s = docs.select(parse_long("playerId").alias("player_id"),
+        order = F.col(DOC_ORDER) if DOC_ORDER in docs.columns else F.lit(0)
+        s = docs.select(parse_long("playerId").alias("player_id"), order.alias("_doc"),
                         F.posexplode(F.coalesce(F.col("stats"), F.array())).alias("i", "s"))
         good = F.lit(True)
         for k, size in read.items() if reject else ():
             parsed = parse_int(f"s.{k}") if size is None else parse_decimal(f"s.{k}", *size)
             good = good & ~unreadable(f"s.{k}", parsed)
         s = s.where(F.col("s.format").isNotNull() & good).select(
-            "player_id", F.col("s.format").alias("format"), "i", *[c.alias(k) for k, c in fields.items()])
+            "player_id", F.col("s.format").alias("format"), "_doc", "i", *[c.alias(k) for k, c in fields.items()])
         rest = list(fields)
         return (s.groupBy("player_id", "format")
-                .agg(F.max_by(F.struct(*rest), "i").alias("_v"))
+                .agg(F.max(F.struct("_doc", "i", *rest)).alias("_v"))
                 .select("player_id", "format", *[F.col(f"_v.{k}").alias(k) for k in rest]))
 
     bat = last_per_format(batting_docs, {
@@ -490,39 +513,38 @@ BATTING_FIELDS = {"runs": None, "average": (7, 2), "strikeRate": (7, 2), "hundre
 BOWLING_FIELDS = {"wickets": None, "average": (7, 2), "economyRate": (7, 2)}
 
 
+MONTHS_TABLE = "player_monthly_states"
+
+
 def ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: DataFrame, out_dir: str,
-               existing: dict[str, DataFrame] | None = None) -> list[LoadReport]:
-    """*all* documents -> five tables, one append each.
-
-    Rows whose natural key is stored already are skipped (I8), so a rerun, also
-    after a partial failure, adds nothing twice; the stored tables are read
-    from `out_dir` unless `existing` gives them.  The per-(player, format)
-    summary keeps one row per key (last wins, SURVEY D5).  Each extractor's
-    rows are parsed once and staged on shared storage, and lines with
-    unreadable numbers are counted as rejected while they are staged.
+               existing: dict[str, DataFrame] | None = None, parts: int = DEFAULT_PARTS) -> list[LoadReport]:
+    """*all* documents -> five tables, safe to run again.
+
+    Lines (recent form, fielding, partnerships) are appended once: rows whose
+    natural key is stored already are skipped (I8); the stored tables are read
+    from `out_dir` unless `existing` gives them.
+
+    Summaries and quarters are upserted (last wins, SURVEY D5): a player's
+    (player, format) row is replaced by the latest ingest's.  Months are kept
+    as mergeable states in `player_monthly_states`; an ingest replaces the
+    months that its documents tell and rolls up the quarters of these months
+    from all their stored months, so a quarter that was stored before its last
+    month is completed by a later ingest.  Only the partitions in which a row
+    changes are rewritten (`upsert_rows`).
+
+    Each document set is staged in parsed form once, and lines with unreadable
+    numbers are counted as rejected while they are staged.
     """
-    existing = existing or {}
-    outputs = {
-        "player_recent_form": (extract_recent_form(scorecards, with_faults=True), LINE_KEYS),
-        "fielding_stats": (extract_fielding(scorecards, with_faults=True), LINE_KEYS),
-        "batting_partnerships": (extract_partnerships(scorecards, with_faults=True), PARTNERSHIP_KEYS),
-        "player_format_summary": (merge_format_summary(batting_docs, bowling_docs, reject=True).withColumn(FAULT, F.lit("")),
-                                  ["player_id", "format"]),
-        "player_quarterly_stats": (extract_quarterly(batting_docs, reject=True).withColumn(FAULT, F.lit("")),
-                                   ["player_id", "year", "quarter", "format"]),
-    }
-    # faulty career entries and months never reach the aggregates; they are counted on their own
-    rejected = {
-        "player_format_summary": career_faults(batting_docs, BATTING_FIELDS).unionByName(
-            career_faults(bowling_docs, BOWLING_FIELDS)),
-        "player_quarterly_stats": quarterly_months(batting_docs, with_faults=True).where(F.col(FAULT) != ""),
-    }
+    spark, existing = scorecards.sparkSession, existing or {}
+    scorecards, cards_path, _ = stage_lines(scorecards, "scorecards")
+    batting_docs, bat_path, _ = stage_lines(batting_docs, "batting-careers")
+    bowling_docs, bowl_path, _ = stage_lines(bowling_docs, "bowling-careers")
     reports = []
-    for table, (df, keys) in outputs.items():
-        spark = df.sparkSession
+    for table, (df, keys) in {
+            "player_recent_form": (extract_recent_form(scorecards, with_faults=True), LINE_KEYS),
+            "fielding_stats": (extract_fielding(scorecards, with_faults=True), LINE_KEYS),
+            "batting_partnerships": (extract_partnerships(scorecards, with_faults=True), PARTNERSHIP_KEYS)}.items():
         lines, path, bad = stage_lines(df, table, FAULT)
-        if table in rejected:
-            bad = rejected[table].count()
         fresh = dedupe_all(lines.where(F.col(FAULT) == "").drop(FAULT), keys)
         stored = existing.get(table)
         if stored is None and path_exists(spark, os.path.join(out_dir, table)):
@@ -531,9 +553,31 @@ def ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: Dat
             fresh = new_rows(fresh, stored, keys, null_safe=True)
         reports.append(append_rows(fresh, out_dir, table, rejected=bad))
         delete_folder(spark, path)
+
+    # faulty career entries and months never reach the aggregates; they are counted on their own
+    bad = career_faults(batting_docs, BATTING_FIELDS).unionByName(career_faults(bowling_docs, BOWLING_FIELDS)).count()
+    reports.append(upsert_rows(merge_format_summary(batting_docs, bowling_docs, reject=True), out_dir,
+                               "player_format_summary", ["player_id", "format"], parts=parts, rejected=bad))
+    months, months_path, bad = stage_lines(quarterly_months(batting_docs, with_faults=True), "months", FAULT)
+    reports.append(upsert_months(months.where(F.col(FAULT) == ""), out_dir, parts, rejected=bad))
+    for path in (cards_path, bat_path, bowl_path, months_path):
+        delete_folder(spark, path)
     return reports
 
 
+def upsert_months(months: DataFrame, out_dir: str, parts: int = DEFAULT_PARTS, rejected: int = 0) -> LoadReport:
+    """Store the months' states, then the quarters that they belong to; the report is of the quarters."""
+    spark = months.sparkSession
+    told, path, _ = stage_lines(month_states(months), MONTHS_TABLE)
+    upsert_rows(told, out_dir, MONTHS_TABLE, MONTH_KEYS, part_keys=CAREER_PART, parts=parts)
+    states = spark.read.schema(told.schema).parquet(os.path.join(out_dir, MONTHS_TABLE)).select(*told.columns)
+    quarters = quarters_of(met_rows(states, told, QUARTER_KEYS, null_safe=True))
+    report = upsert_rows(quarters, out_dir, "player_quarterly_stats", QUARTER_KEYS, part_keys=CAREER_PART, parts=parts,
+                         rejected=rejected)
+    delete_folder(spark, path)
+    return report
+
+
 def stub_players(facts: DataFrame, players: DataFrame) -> DataFrame:
     """I10 for players seen in scorecards: id + name, other columns 'Unknown'."""
     return ensure_members(facts.select("player_id", F.col("name").alias("full_name")), players, "player_id",

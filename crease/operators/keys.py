@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,23 +48,46 @@ def dedupe_all(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return least.select(*keys, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
-def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
-    """I8 / U4: rows of `df` whose key is not in `existing` (anti-join).
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """NULL-safe equality of the keys of two frames, the right one's named by `_keys_of`."""
+    return reduce(Column.__and__, [left[k].eqNullSafe(right[f"_met_{k}"]) for k in keys])
+
+
+def _keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_met_{k}") for k in keys])
 
-    `null_safe=True` treats NULL keys as equal (the source's pandas merge pairs
-    NaN with NaN on composite keys).  Only the key columns of the stored table
-    are read; an anti-join returns each row of `df` at most once.
+
+def met_rows(stored: DataFrame, df: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """Rows of `stored` whose key occurs in `df` (semi-join).
+
+    The stored side streams: Spark broadcasts the keys of `df` when its size
+    allows (staged or file-backed rows have a known size), so a small `df`
+    leaves the stored table without exchange, and a partition column among the
+    keys prunes the scan.  Beyond that size both sides are shuffled.
+    """
+    keys = list(keys)
+    if not null_safe:
+        return stored.join(df.select(*keys).distinct(), keys, "left_semi")
+    wanted = _keys_of(df, keys).distinct()
+    return stored.join(wanted, _same_key(stored, wanted, keys), "left_semi")
+
+
+def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """I8 / U4: rows of `df` whose key is not in `existing`.
+
+    The stored keys are first reduced to those that occur in `df`
+    (`met_rows`); the anti-join then meets no more keys than `df` has, never
+    the whole stored table.  `null_safe=True` treats NULL keys as equal (the
+    source's pandas merge pairs NaN with NaN on composite keys).  Only the key
+    columns of the stored table are read; each row of `df` is returned at most
+    once.
     """
     keys = list(keys)
-    ex = existing.select(*keys)
+    met = met_rows(existing.select(*keys), df, keys, null_safe)
     if not null_safe:
-        return df.join(ex, keys, "left_anti")
-    ex = ex.select(*[F.col(k).alias(f"_ex_{k}") for k in keys])
-    cond = None
-    for k in keys:
-        c = df[k].eqNullSafe(ex[f"_ex_{k}"])
-        cond = c if cond is None else cond & c
-    return df.join(ex, cond, "left_anti")
+        return df.join(met, keys, "left_anti")
+    met = _keys_of(met, keys)
+    return df.join(met, _same_key(df, met, keys), "left_anti")
 
 
 def consecutive_ids(df: DataFrame, order_by: Sequence[str], start: Column | int = 1,
@@ -107,7 +131,7 @@ def assign_keys(names: DataFrame, dim: DataFrame, name_col: str, id_col: str,
     name order so a rerun over the same input assigns the same ids.
     """
     wanted = names.select(F.col(name_col)).where(F.col(name_col).isNotNull()).distinct()
-    known = dim.select(name_col, id_col)
+    known = met_rows(dim.select(name_col, id_col), wanted, [name_col])
     # an existing name keeps its smallest id
     known = known.groupBy(name_col).agg(F.min(id_col).alias(id_col))
     missing = wanted.join(known, name_col, "left_anti")
@@ -117,7 +141,7 @@ def assign_keys(names: DataFrame, dim: DataFrame, name_col: str, id_col: str,
         .select(F.col(name_col), F.col(id_col))
     extra = [F.lit(v).alias(k) for k, v in (defaults or {}).items()]
     new_members = fresh.select(F.col(id_col), F.col(name_col), *extra)
-    lookup = known.join(wanted, name_col).unionByName(fresh)
+    lookup = known.unionByName(fresh)
     return lookup, new_members
 
 
@@ -133,6 +157,6 @@ def ensure_members(facts: DataFrame, dim: DataFrame, id_col: str, name_col: str
             .agg(F.min(name_col).alias(dim_name_col or name_col))
     else:
         ids = facts.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    missing = ids.join(dim.select(id_col).distinct(), id_col, "left_anti")
+    missing = new_rows(ids, dim, [id_col])
     extra = [F.lit(v).alias(k) for k, v in (defaults or {}).items()]
     return missing.select("*", *extra)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
-from crease.operators.keys import consecutive_ids, dedupe_all, new_rows
+from crease.operators.keys import consecutive_ids, dedupe_all, met_rows, new_rows
 from crease.session import delete_folder, shared_folder
 from crease.sources.schemas import table_schema
 from crease.sources.sinks import LoadReport, append_rows, conform, stage_lines
@@ -32,9 +32,12 @@ def stored(spark: SparkSession, base_dir: str, table: str) -> DataFrame:
 
 
 def _append_new(df: DataFrame, base_dir: str, table: str, keys: list[str], null_safe: bool = False) -> LoadReport:
+    """Append the rows with new keys; `df` is staged once, so its keys have a known size."""
     spark = df.sparkSession
-    fresh = new_rows(df, stored(spark, base_dir, table), keys, null_safe=null_safe)
-    return append_rows(fresh, base_dir, table)
+    rows, path, _ = stage_lines(df, table)
+    report = append_rows(new_rows(rows, stored(spark, base_dir, table), keys, null_safe=null_safe), base_dir, table)
+    delete_folder(spark, path)
+    return report
 
 
 def load_players(docs: DataFrame, base_dir: str, country: str = I.UNKNOWN) -> LoadReport:
@@ -127,7 +130,9 @@ def load_player_match(docs: DataFrame, base_dir: str) -> LoadReport:
         ",", F.nullif(F.col(I.FAULT), F.lit("")), F.lit("strike_rate"))))
     staged, path, bad = stage_lines(lines, "player_match", I.FAULT)
     rows = conform(staged.where(F.col(I.FAULT) == "").drop(I.FAULT), "player_match")
-    fresh = rows.exceptAll(stored(docs.sparkSession, base_dir, "player_match"))
+    # an equal row has an equal date: only the stored rows of the load's dates are compared
+    there = met_rows(stored(docs.sparkSession, base_dir, "player_match"), rows, ["match_date"], null_safe=True)
+    fresh = rows.exceptAll(there)
     report = append_rows(fresh, base_dir, "player_match", rejected=bad)
     delete_folder(docs.sparkSession, path)
     return report

@@ -19,7 +19,7 @@ from crease.operators.changes import apply_changes
 from crease.operators.keys import consecutive_ids
 from crease.operators.quality import check_castable, check_types, check_unique
 from crease.plans import nesting as N
-from crease.plans.oracle_sql import with_tables
+from crease.plans.oracle_sql import r2, with_tables
 from crease.plans.registry import normalize_types
 from crease.session import shared_folder
 from crease.sources.documents import parse_documents, read_documents
@@ -98,6 +98,46 @@ def q_master_summary(spark: SparkSession, d: str) -> DataFrame:
     return _master(spark, d, "player_format_summary")
 
 
+def _later_careers(docs: DataFrame, months: bool) -> DataFrame:
+    """The next state of career documents: even players only, numbers raised, months before July dropped."""
+    def later(s):
+        raised = {k: (s[k].cast("int") + 1000).cast("string") for k in (("runs",) if months else ("wickets",))}
+        for k, v in raised.items():
+            s = s.withField(k, v)
+        if not months:
+            return s
+        kept = F.filter(s["timeline"], lambda t: t["month"].cast("int") >= 7)
+        return s.withField("timeline", F.transform(kept, lambda t: t.withField(
+            "runs", (t["runs"].cast("int") + 5).cast("string"))))
+
+    return docs.where(F.col("playerId").cast("long") % 2 == 0).withColumn("stats", F.transform("stats", later))
+
+
+_refreshed: dict[tuple[str, str], str] = {}
+
+
+def _refresh(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """One table after an ingest of all careers and one of some players' next state."""
+    run = (spark.sparkContext.applicationId, d)
+    if run not in _refreshed:
+        t = fixture_tables(spark, d)
+        bat, bowl = (_docs(x, "career") for x in N.career_docs(spark, d, t))
+        none = _docs(N.detailed_docs(t), "detailed_scorecard").where("false")
+        out = shared_folder(spark, "refreshed")
+        I.ingest_all(none, bat, bowl, out)
+        I.ingest_all(none, _later_careers(bat, True), _later_careers(bowl, False), out)
+        _refreshed[run] = out
+    return load_table(spark, _refreshed[run], table)
+
+
+def q_refreshed_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _refresh(spark, d, "player_format_summary")
+
+
+def q_refreshed_quarters(spark: SparkSession, d: str) -> DataFrame:
+    return _refresh(spark, d, "player_quarterly_stats")
+
+
 def _faulty_bowling(spark: SparkSession, d: str) -> DataFrame:
     """Bowling documents with thousands separators, bad text and rates that do not fit, by run count."""
     docs = _docs(N.scorecard_docs(spark, d), "scorecard")
@@ -269,6 +309,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i15b_master_recent_form_twice": q_master_recent_form,
     "i16b_master_fielding_twice": q_master_fielding,
     "i18b_master_summary_twice": q_master_summary,
+    "i18c_refreshed_summary": q_refreshed_summary,
+    "i14b_refreshed_quarters": q_refreshed_quarters,
     "i12c_rejected_lines": q_rejected_lines,
     "r10_load_reports": q_load_reports,
     "r03_read_documents": q_read_documents,
@@ -363,6 +405,31 @@ SELECT player_id, format, CAST(total_runs AS BIGINT) AS total_runs, CAST(total_w
        CAST(centuries AS BIGINT) AS centuries, CAST(matches_played AS BIGINT) AS matches_played,
        CAST(innings_played AS BIGINT) AS innings_played
 FROM player_format_summary""",
+    "i18c_refreshed_summary": """
+SELECT player_id, format, CAST(total_runs + CASE player_id % 2 WHEN 0 THEN 1000 ELSE 0 END AS BIGINT) AS total_runs,
+       CAST(total_wickets + CASE player_id % 2 WHEN 0 THEN 1000 ELSE 0 END AS BIGINT) AS total_wickets,
+       CAST(COALESCE(batting_average, 0) AS DOUBLE) AS batting_average,
+       CAST(COALESCE(bowling_average, 0) AS DOUBLE) AS bowling_average,
+       CAST(COALESCE(strike_rate, 0) AS DOUBLE) AS strike_rate,
+       CAST(COALESCE(economy_rate, 0) AS DOUBLE) AS economy_rate,
+       CAST(centuries AS BIGINT) AS centuries, CAST(matches_played AS BIGINT) AS matches_played,
+       CAST(innings_played AS BIGINT) AS innings_played
+FROM player_format_summary""",
+    "i14b_refreshed_quarters": f"""
+WITH monthly AS (
+  SELECT o_custkey AS player_id, fmt AS format, YEAR(o_orderdate) AS year, MONTH(o_orderdate) AS month,
+         SUM(q * 3) + CASE WHEN o_custkey % 2 = 0 AND MONTH(o_orderdate) >= 7 THEN 5 ELSE 0 END AS runs,
+         ROUND(CAST(AVG(CAST(CAST(l_partkey % 20000 AS DECIMAL(9,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(5,2)))
+                    AS DECIMAL(18,6)), 2) AS sr,
+         COUNT(DISTINCT l_orderkey) AS matches
+  FROM (SELECT l.*, o.o_custkey, o.o_orderdate, CAST(l.l_quantity AS INTEGER) AS q,
+          CASE l.l_returnflag WHEN 'A' THEN 'Test' WHEN 'N' THEN 'ODI' WHEN 'R' THEN 'T20I' END AS fmt
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+  GROUP BY o_custkey, fmt, YEAR(o_orderdate), MONTH(o_orderdate))
+SELECT player_id, CAST(year AS BIGINT) AS year, CAST((month - 1) // 3 + 1 AS BIGINT) AS quarter, format,
+       CAST(SUM(runs) AS BIGINT) AS total_runs, {r2('SUM(sr * matches) / NULLIF(SUM(matches), 0)')} AS strike_rate,
+       CAST(SUM(matches) AS BIGINT) AS matches_played
+FROM monthly GROUP BY player_id, year, (month - 1) // 3 + 1, format""",
     "i12c_rejected_lines": f"""
 SELECT player_id, match_id, format, line_number, fault,
        CAST(CASE WHEN fault = '' THEN CASE WHEN runs % 7 = 0 THEN 1234 ELSE runs END END AS BIGINT) AS runs_conceded

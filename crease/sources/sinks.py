@@ -18,6 +18,7 @@ class LoadReport:
     inserted: int
     skipped: int = 0
     rejected: int = 0
+    updated: int = 0
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -70,7 +71,7 @@ def _fs(spark, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def replace_table(df: DataFrame, base_dir: str, table: str) -> str:
+def replace_table(df: DataFrame, base_dir: str, table: str, partition_by: list[str] | None = None) -> str:
     """Rewrite a stored table with `df`, which may itself read that table.
 
     The new version is written next to the table first; only after the write
@@ -87,8 +88,8 @@ def replace_table(df: DataFrame, base_dir: str, table: str) -> str:
     target = os.path.join(base_dir, table)
     staged = os.path.join(base_dir, f".{table}-new-{tag}")
     previous = os.path.join(base_dir, f".{table}-previous-{tag}")
-    out = conform(df, table) if table in TABLE_DDL else df
-    out.write.mode("errorifexists").parquet(staged)
+    out = conform(df, table) if table in TABLE_DDL and not partition_by else df
+    out.write.mode("errorifexists").partitionBy(*(partition_by or [])).parquet(staged)
     fs, cur = _fs(spark, target)
     jvm = spark.sparkContext._jvm
     if fs.exists(cur) and not fs.rename(cur, jvm.org.apache.hadoop.fs.Path(previous)):

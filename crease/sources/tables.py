@@ -52,10 +52,14 @@ def table_path(base_dir: str, name: str) -> str:
 
 
 def load_table(spark: SparkSession, base_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Scan one stored table with its declared schema (no inference)."""
+    """Scan one stored table with its declared schema (no inference).
+
+    Folder columns of the layout that the table does not declare are left out.
+    """
     reader = spark.read
     if name in TABLE_DDL:
-        reader = reader.schema(table_schema(name))
+        schema = table_schema(name)
+        reader, columns = reader.schema(schema), columns or schema.fieldNames()
     df = reader.parquet(table_path(base_dir, name))
     return df.select(*columns) if columns else df
 
