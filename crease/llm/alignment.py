@@ -33,10 +33,10 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +45,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crease.llm.common import stage
-from crease.llm.pretokens import byte_of_char
+from crease.llm.pretokens import PieceIds, byte_of_char, load, pre_tokens
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
+ENCODED_AT_ONCE = 1 << 14
 
 @dataclass(frozen=True)
 class Sizes:
     """Bounds on a task's memory; results do not depend on them."""
 
-    block_chars: int = 8 << 20
+    block_chars: int = 4 << 20
     chunk_postings: int = 2_000_000
     chunk_docs: int = 1 << 16  # slots have 16 bits
     long_text: int = 1 << 20  # longer ones are cut lazily, so many stretches at a time:
@@ -66,18 +67,15 @@ class Pair:
     """The two tokenizers of a task, and their entries' bytes."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.path_a, self.pieces_a = path_a, PieceIds(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_of_char()
-        vocab = self.a.get_vocab(with_added_tokens=True)
+        vocab = load(path_a).get_vocab(with_added_tokens=False)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for t, k in vocab.items():
-            self.bytes_a[k] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
+            self.bytes_a[k] = bytes(map(alphabet.__getitem__, t))
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece has a space behind another character: texts cannot be cut at spaces")
@@ -89,13 +87,34 @@ class Pair:
         self.shown = np.array([f"{k}{end}" for n, end in ends for k in range(n)], dtype=object)
         self.shown_from = np.cumsum([0, *(n for n, _ in ends)])[:-1]
 
-    def encode(self, parts: list[str]) -> tuple[list, list]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        return a, self.b.encode(parts, num_threads=1)
-
-    def exact(self, part: str, a: list[int], b: list[int]) -> bool:
-        whole = b" " + part.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+    def encode_a(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of A, and each stretch's number of ids; special strings are plain text."""
+        blobs = [b"".join(map(self.pieces_a.__getitem__, pre_tokens(" " + p, self.path_a))) for p in parts]
+        return (np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.int64),
+                np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
+
+    def encode_b(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, n = [], []
+        for k in range(0, len(parts), ENCODED_AT_ONCE):
+            found = self.b.encode(parts[k:k + ENCODED_AT_ONCE], num_threads=1)
+            n.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.int64, n[-1].sum()))
+        return np.concatenate(flat), np.concatenate(n)
+
+    def exact(self, parts: list[str], ids: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+        """Whether both sides give back space+stretch, byte by byte."""
+        whole = [b" " + p.encode() for p in parts]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        out = np.ones(len(parts), dtype=bool)
+        for k, entries in enumerate((self.bytes_a, self.bytes_b)):
+            stop = np.concatenate([[0], np.cumsum(self.sizes[k][ids[k]])])
+            ends = np.concatenate([[0], np.cumsum(n[k])])
+            if np.array_equal(np.diff(stop[ends]), size) and \
+                    b"".join(map(entries.__getitem__, ids[k].tolist())) == b"".join(whole):
+                continue
+            out &= [b"".join(map(entries.__getitem__, ids[k][i:j].tolist())) == w
+                    for w, i, j in zip(whole, ends, ends[1:], strict=False)]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -131,15 +150,15 @@ class Parts:
 
 def align(parts: list[str], pair: Pair, large_group: int) -> Parts:
     """Groups and links of every stretch."""
-    ids = pair.encode(parts)
-    exact = np.array([pair.exact(p, a, b) for p, a, b in zip(parts, *ids, strict=True)], dtype=bool)
+    ids, n = (list(x) for x in zip(pair.encode_a(parts), pair.encode_b(parts), strict=True))
+    exact = pair.exact(parts, ids, n)
     flat, owner, end = [], [], []
     for side in (0, 1):
-        n = np.array([len(x) if ok else 0 for x, ok in zip(ids[side], exact, strict=True)], dtype=np.int64)
-        one = np.fromiter((k for x, ok in zip(ids[side], exact, strict=True) if ok for k in x), np.int64, n.sum())
-        flat.append(one)
-        owner.append(np.repeat(np.arange(len(parts)), n))
-        end.append(np.cumsum(pair.sizes[side][one]))
+        of = np.repeat(np.arange(len(parts)), n[side])
+        kept = exact[of]
+        flat.append(ids[side][kept])
+        owner.append(of[kept])
+        end.append(np.cumsum(pair.sizes[side][flat[-1]]))
     # exact stretches follow each other in one row of bytes on both sides, so their ends agree
     common = np.intersect1d(*end, assume_unique=True)
     group = [np.searchsorted(common, e) for e in end]
@@ -255,6 +274,14 @@ def or_merge(blocks: list[Postings], keep: np.ndarray | None = None) -> Postings
     return Postings(codes, np.bincount(both >> 16, minlength=len(codes)), both & 0xFFFF, links)
 
 
+class Numbers(dict):
+    """Numbers of distinct strings, in the order in which they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Chunk:
     """Documents of one task in slots, and their postings so far."""
 
@@ -264,7 +291,7 @@ class Chunk:
         self._new_block()
 
     def _new_block(self):
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.pieces, self.chars = [], 0
 
     def add(self, doc_id, text: str):
@@ -289,8 +316,7 @@ class Chunk:
             self._put(slot, [*run, text[at:]])
 
     def _put(self, slot: int, parts: list[str]):
-        known = self.known
-        self.pieces.append((slot, np.fromiter((known.setdefault(p, len(known)) for p in parts), np.int64, len(parts))))
+        self.pieces.append((slot, np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))))
         self.chars += sum(map(len, parts)) + len(parts)
         if self.chars >= self.sizes.block_chars:
             self.close_block()

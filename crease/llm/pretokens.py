@@ -18,6 +18,7 @@ SPACES = "\t-\r \x85\xa0"
 LATIN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
          rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 LONG_TEXT = 1 << 22
+LONG_PIECE = 64  # characters of the longest pre-token that a cache keeps
 
 
 @lru_cache(maxsize=4)
@@ -122,7 +123,8 @@ def fast_encoding(path: str):
 class PieceIds(dict):
     """Ids of a pre-token as little-endian uint32 bytes, encoded on first sight.
 
-    Keeps at most ``cache_rows`` pre-tokens: a bound on memory, not on results.
+    Keeps at most ``cache_rows`` pre-tokens, and none of more than
+    ``LONG_PIECE`` characters: a bound on memory, not on results.
     """
 
     def __init__(self, path: str, cache_rows: int = 300_000):
@@ -130,10 +132,13 @@ class PieceIds(dict):
         self.path, self.limit, self.encoding = path, cache_rows, fast_encoding(path)
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.encoding.encode_ordinary(piece)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) > LONG_PIECE:
+            return out
         if len(self) >= self.limit:
             self.clear()
-        ids = self.encoding.encode_ordinary(piece)
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out
         return out
 
 

@@ -4,8 +4,9 @@ The vocabulary strings that encode alone as one token are proven once, on the
 driver, and broadcast (bounded by the vocabulary).  A task cuts texts into
 pre-tokens: those in the proven set count one each without merging, only the
 rest go through the tokenizer's merges, and each distinct one only once while
-it stays in the task's cache of ``cache_rows`` pre-tokens (a speed-up of
-bounded memory; the counts do not depend on it).  No shuffle.
+it stays in the task's cache, which holds ``cache_rows`` pre-tokens of at most
+``LONG_PIECE`` characters (a speed-up of bounded memory; the counts do not
+depend on it).  No shuffle.
 
 Defined cases: null text is empty and has no tokens; special strings inside a
 text are one token each, as the tokenizer's default has it; repeated rows are
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.pretokens import around_special, fast_encoding, pre_tokens, prove_whole_tokens, special_strings
+from crease.llm.pretokens import (LONG_PIECE, around_special, fast_encoding, pre_tokens, prove_whole_tokens,
+                                  special_strings)
 
 
 class Counts(dict):
@@ -30,10 +32,13 @@ class Counts(dict):
         self.whole, self.path = whole, path
 
     def __missing__(self, piece: str) -> int:
+        n = len(self.encoding.encode_ordinary(piece))
+        if len(piece) > LONG_PIECE:
+            return n
         if len(self) >= self.limit:
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))
-        self[piece] = n = len(self.encoding.encode_ordinary(piece))
+        self[piece] = n
         return n
 
 
