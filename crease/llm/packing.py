@@ -10,11 +10,15 @@ into the other, removes the bins that then hold duplicates, and best-fits the
 displaced pieces; after each epoch an island's elite migrates to the next one
 in the ring.  An island rests once its elite needs no more bins than the
 block's tokens do.  The emptiest bins of each block are opened again and their
-pieces pooled into fewer blocks, until one block is left.
-
-Defined cases: null text is empty and makes a piece of one id; repeated rows
-are packed as often as given; null doc_ids are kept; an empty table gives an
-empty result; other columns are ignored.
+pieces pooled into fewer blocks, until one block is left.  Where that would not
+leave fewer pieces (bins of very many small ones), the open bins are pooled as
+wholes; a round ends the search if even these are not half as many.  So pieces
+or bins fall by a constant share in every round.
+
+Defined cases: null text is empty and makes a piece of one id; a very long text
+is cut into full pieces and one rest; repeated rows are packed as often as
+given; null doc_ids are kept; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from crease.llm.common import discard, stage
 from crease.llm.pretokens import PieceIds, encode_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+LESS = 0.75  # share of the pieces that a round may leave for the next one
 PLACED = "piece_key long, length long, sequence_id long, offset long, open boolean"
 
 
@@ -268,8 +273,21 @@ def place(items: DataFrame, capacity: int = 2048, block_items: int = 4096, islan
             done.append(placed)
             break
         done.append(placed.where("not open"))
-        left = placed.where("open").select("piece_key", "length")
-        count = left.count()
+        opened = placed.where("open")
+        left = opened.select("piece_key", "length")
+        before, count = count, left.count()
+        if count > before * LESS:
+            # bins of many small pieces: the open bins themselves are packed on, if they are fewer than their pieces
+            bins, _ = stage(opened.groupBy(F.col("sequence_id").alias("piece_key")).agg(F.sum("length").alias("length")),
+                            "packing-bins")
+            if 2 * bins.count() <= count:
+                outer = place(bins, capacity, block_items, islands, epochs, generations, members, full, share).select(
+                    F.col("piece_key").alias("inner"), F.col("sequence_id").alias("outer"), F.col("offset").alias("ahead"))
+                opened = opened.join(outer, opened["sequence_id"] == outer["inner"]).select(
+                    "piece_key", "length", F.col("outer").alias("sequence_id"),
+                    (F.col("ahead") + F.col("offset")).alias("offset"), "open")
+            done.append(opened)
+            break
     if not done:
         return items.select("piece_key", F.col("piece_key").alias("sequence_id"),
                             F.lit(0).cast("long").alias("offset")).where("false")

@@ -240,3 +240,18 @@ def test_long_chain_of_calls(workers):
     r = c.selectExpr("conv_id", "call_id", "turn", "'x' as content")
     got = tool_calls.link(c, r, tool_calls.SCHEMAS).where("kind = 'call'").collect()
     assert sorted((x.turn, x.level) for x in got) == [(i, 2 * i) for i in range(n)]
+
+
+@pytest.mark.parametrize("capacity, block_items, count, size", [
+    (100, 10, 60, 1), (8192, 64, 300, 1), (7, 4, 20, 2), (6, 3, 8, 5)])
+def test_packing_ends_on_small_pieces(workers, capacity, block_items, count, size):
+    items = workers.range(count).selectExpr("id piece_key", f"cast({size} as long) length")
+    got = packing.place(items, capacity, block_items=block_items, epochs=1, generations=2).collect()
+    used = brute.check_sequences([(r.sequence_id, r.offset, size) for r in got], capacity)
+    assert len(got) == count and used <= 1.3 * -(-count // (capacity // size)) + 1
+
+
+def test_many_empty_texts_are_packed(workers):
+    docs = workers.range(300).selectExpr("id doc_id", "'' text")
+    got = packing.pack(docs, tokenizer_path(), capacity=512, block_items=64, epochs=1, generations=1).collect()
+    assert brute.check_sequences([(r.sequence_id, r.offset, r.length) for r in got], 512) == 1 and len(got) == 300
