@@ -105,8 +105,8 @@ SELECT conv_id, 'call-' || turn AS call_id, 'call' AS kind, turn, CAST(2 * depth
        CASE WHEN size % 2 = 0 AND size NOT BETWEEN 1 AND 1000 THEN '$.limit: out of bounds'
             WHEN NOT answered THEN 'missing result' WHEN NOT based THEN 'missing dependency' END AS error,
        '{"after":' || COALESCE('"' || after || '"', 'null') || ',"role":"assistant","tool_call":{"arguments":{' ||
-       CASE WHEN size % 2 = 0 THEN '"limit":' || size || ',"query":' || CAST(to_json(substr(text, 1, 40)) AS VARCHAR)
-            ELSE '"page":' || size END ||
+       CASE WHEN size % 2 = 0 THEN '"limit":' || size || ',"query":' || CAST(to_json(text) AS VARCHAR)
+            ELSE '"page":' || size || ',"text":' || CAST(to_json(text) AS VARCHAR) END ||
        COALESCE(',"uses":"' || after || '"', '') || '},"id":"call-' || turn || '","name":"' ||
        CASE WHEN size % 2 = 0 THEN 'search' ELSE 'open' END || '"}}' AS message
 FROM told
@@ -114,5 +114,10 @@ UNION ALL
 SELECT r.conv_id, 'call-' || (r.turn - 1), 'result', r.turn, CAST(2 * c.depth + 1 AS BIGINT), c.turn IS NOT NULL,
        CASE WHEN c.turn IS NULL THEN 'missing call' END,
        '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"role":"tool","tool_call_id":"call-' || (r.turn - 1) || '"}'
-FROM result r LEFT JOIN ranked c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1""",
+FROM result r LEFT JOIN ranked c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1
+UNION ALL
+SELECT conv_id, NULL, 'message', turn, NULL, false, NULL,
+       '{"content":' || CAST(to_json(COALESCE(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}'
+FROM conversations
+WHERE role IS DISTINCT FROM 'assistant' AND NOT (role IS NOT DISTINCT FROM 'user' AND COALESCE(turn > 0, false))""",
 }

@@ -23,8 +23,10 @@ result``.  Faulty rows are kept.  ``level`` is null for rows on or behind a
 cycle and for results without a call; a chain that starts at a missing call
 counts from there.
 
-Defined cases: null identifiers never link; null arguments are bad JSON; null
-content is null in the message; repeated rows are duplicates of each other;
+Defined cases: null identifiers never link; null arguments are bad JSON, and so
+are numbers beyond a double, nesting too deep to read and lone surrogates, whose
+text stays in the message as it is; null content is null in the message; texts
+of any length are carried whole; repeated rows are duplicates of each other;
 rows of empty tables link nothing; other columns are ignored.
 """
 
@@ -78,11 +80,34 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError("not a finite number")
+    return value
+
+
 def _strict(text: str | None):
     def no_constant(name):
         raise ValueError(name)
 
-    return json.loads(text or "", parse_constant=no_constant)
+    return json.loads(text or "", parse_constant=no_constant, parse_float=_finite)
+
+
+def call_message(row: dict, schemas: dict[str, dict]) -> tuple[str | None, str]:
+    """The fault of a call's arguments, and its message; arguments that cannot be written as JSON stay text."""
+    def told(arguments) -> str:
+        text = canonical({"role": "assistant", "after": row["after"], "tool_call": {
+            "id": row["call_id"], "name": row["name"], "arguments": arguments}})
+        text.encode()  # lone surrogates have no UTF-8 form
+        return text
+
+    try:
+        arguments = _strict(row["body"])
+        found = "unknown tool" if row["name"] not in schemas else fault(arguments, schemas[row["name"]])
+        return found, told(arguments)
+    except (ValueError, RecursionError):
+        return "bad json", told(row["body"])
 
 
 def depths(calls: DataFrame, longest: int) -> DataFrame:
@@ -145,18 +170,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             for r in b.to_pylist():
                 error = r["before"]
                 if r["kind"] == "result":
-                    message = {"role": "tool", "tool_call_id": r["call_id"], "content": r["body"]}
+                    message = canonical({"role": "tool", "tool_call_id": r["call_id"], "content": r["body"]})
                 else:
-                    try:
-                        arguments = _strict(r["body"])
-                        found = "unknown tool" if r["name"] not in schemas else fault(arguments, schemas[r["name"]])
-                    except ValueError:
-                        arguments, found = r["body"], "bad json"
+                    found, message = call_message(r, schemas)
                     error = error or found or r["later"]
-                    message = {"role": "assistant", "after": r["after"], "tool_call": {
-                        "id": r["call_id"], "name": r["name"], "arguments": arguments}}
                 errors.append(error)
-                messages.append(canonical(message))
+                messages.append(message)
             keep = b.select(["conv_id", "call_id", "kind", "turn", "level", "linked"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(errors, pa.string()),
                                               pa.array(messages, pa.string())], [*keep.schema.names, "error", "message"])
@@ -168,38 +187,68 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 #: tools of the derived calls, and their schemas
 SCHEMAS = {
     "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {
-        "query": {"type": "string", "minLength": 1, "maxLength": 200},
-        "limit": {"type": "integer", "minimum": 1, "maximum": 1000}, "uses": {"type": "string"}}},
+        "query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 1000},
+        "uses": {"type": "string"}}},
     "open": {"type": "object", "required": ["page"], "additionalProperties": False, "properties": {
-        "page": {"type": "integer", "minimum": 0}, "uses": {"type": "string"}}},
+        "page": {"type": "integer", "minimum": 0}, "text": {"type": "string"}, "uses": {"type": "string"}}},
 }
 
 
+def _turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                                F.col("role").cast("string").alias("role"),
+                                F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+IS_CALL, IS_RESULT = "role <=> 'assistant'", "role <=> 'user' and coalesce(turn > 0, false)"
+
+
 def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that conversations imply: an assistant turn calls, the user turn behind it answers.
 
-    A call's id is its turn in the conversation, its arguments come from its
-    text: the first 40 characters and the text's length.  It uses the result of
-    the assistant turn two turns before.  Texts of 1000 characters and more
-    give a limit out of bounds; every other call opens a page.
+    A call's id is its turn in the conversation, its arguments are its whole
+    text and the text's length.  It uses the result of the assistant turn two
+    turns before.  Texts of an even length search, with the length as limit (so
+    longer ones than 1000 are out of bounds); the others open a page.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                                "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = _turns(conversations)
     first = F.when(F.col("turn") >= 3, F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")))
-    calls = rows.where("role = 'assistant'").select(
+    even = F.length("text") % 2 == 0
+    calls = rows.where(IS_CALL).select(
         "conv_id", "turn", F.concat(F.lit("call-"), F.col("turn").cast("string")).alias("call_id"),
-        F.when(F.length("text") % 2 == 0, "search").otherwise("open").alias("name"),
-        F.when(F.length("text") % 2 == 0, F.to_json(F.struct(
-            F.substring("text", 1, 40).alias("query"), F.length("text").alias("limit"), first.alias("uses"))))
-        .otherwise(F.to_json(F.struct(F.length("text").alias("page"), first.alias("uses")))).alias("arguments"),
+        F.when(even, "search").otherwise("open").alias("name"),
+        F.when(even, F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit"),
+                                        first.alias("uses"))))
+        .otherwise(F.to_json(F.struct(F.length("text").alias("page"), "text", first.alias("uses")))).alias("arguments"),
         first.alias("after"))
-    results = rows.where("role = 'user' and turn > 0").select(
+    results = rows.where(IS_RESULT).select(
         "conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"),
         F.col("text").alias("content"))
     return calls, results
 
 
+def plain_messages(rows: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) that neither call nor answer, as canonical messages in the form of :func:`link`."""
+
+    def run(batches):
+        for b in batches:
+            told = [canonical({"role": r, "content": t}) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(),
+                                                                         strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(told, pa.string())],
+                                             ["conv_id", "turn", "message"])
+
+    told = rows.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, message string")
+    none = F.lit(None)
+    return told.select("conv_id", none.cast("string").alias("call_id"), F.lit("message").alias("kind"), "turn",
+                       none.cast("long").alias("level"), F.lit(False).alias("linked"),
+                       none.cast("string").alias("error"), "message")
+
+
 def linked_conversations(conversations: DataFrame) -> DataFrame:
-    """:func:`link` over the calls and results that whole conversations imply."""
+    """:func:`link` over the calls and results that whole conversations imply, and all their other turns as messages.
+
+    Every turn gives one row, and its message holds its whole text.
+    """
     calls, results = derived_calls(conversations)
-    return link(calls, results, SCHEMAS)
+    others = _turns(conversations).where(f"not ({IS_CALL}) and not ({IS_RESULT})")
+    return link(calls, results, SCHEMAS).unionByName(plain_messages(others))

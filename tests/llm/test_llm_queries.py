@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,8 +96,18 @@ def test_tool_calls(workers):
                                                                                        "text").collect()]
     calls = {(c, t): x for c, t, role, x in told if role == "assistant"}
     results = {(c, t - 1) for c, t, role, _ in told if role == "user" and t > 0}
-    assert Counter(r[2] for r in rows) == {"call": len(calls), "result": len(results)}
+    assert Counter(r[2] for r in rows) == {"call": len(calls), "result": len(results),
+                                           "message": len(told) - len(calls) - len(results)}
+    held = {}
+    for conv, _, kind, turn, *_, message in rows:
+        m = json.loads(message)
+        given = m["tool_call"]["arguments"] if kind == "call" else None
+        held[conv, turn] = (given.get("query", given.get("text")) if given else m["content"])
+    assert held == {(c, t): x or "" for c, t, _, x in told}  # every row's whole text
     for conv, call, kind, turn, level, linked, error, _ in rows:
+        if kind == "message":
+            assert (call, level, linked, error) == (None, None, False, None)
+            continue
         at = (conv, int(call.split("-")[1]))
         assert linked == (at in (results if kind == "call" else calls))
         if kind == "call":

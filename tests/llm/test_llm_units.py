@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import random
 import zlib
 
@@ -155,3 +156,12 @@ def test_schema_faults(value, schema, want):
 
 def test_canonical_json():
     assert tool_calls.canonical({"b": [1, {"d": None, "c": "é\n"}], "a": 0.5}) == '{"a":0.5,"b":[1,{"c":"é\\n","d":null}]}'
+
+
+@pytest.mark.parametrize("body", ['{"limit":1e400,"query":"x"}', "[" * 100_000, '{"query":"\\ud800","limit":1}', "{",
+                                  None, '{"limit":NaN}', "9" * 5000])
+def test_arguments_that_json_cannot_carry_are_bad_json(body):
+    error, message = tool_calls.call_message({"after": None, "call_id": "c", "name": "search", "body": body},
+                                             tool_calls.SCHEMAS)
+    assert error == "bad json"
+    assert json.loads(message)["tool_call"]["arguments"] == body
