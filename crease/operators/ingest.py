@@ -21,7 +21,7 @@ from crease.operators.keys import assign_keys, dedupe, dedupe_all, ensure_member
 from crease.operators.upsert import DEFAULT_PARTS, upsert_rows
 from crease.sources.documents import DOC_ORDER
 from crease.session import delete_folder
-from crease.sources.sinks import LoadReport, append_rows, stage_lines
+from crease.sources.sinks import LoadReport, append_rows, faulty_lines, keep_rejects, stage_lines
 from crease.sources.tables import load_table, path_exists
 
 UNKNOWN = "Unknown"
@@ -552,14 +552,20 @@ def ingest_all(scorecards: DataFrame, batting_docs: DataFrame, bowling_docs: Dat
         if stored is not None:
             fresh = new_rows(fresh, stored, keys, null_safe=True)
         reports.append(append_rows(fresh, out_dir, table, rejected=bad))
+        if bad:
+            keep_rejects(faulty_lines(lines, FAULT), out_dir, table)
         delete_folder(spark, path)
 
     # faulty career entries and months never reach the aggregates; they are counted on their own
-    bad = career_faults(batting_docs, BATTING_FIELDS).unionByName(career_faults(bowling_docs, BOWLING_FIELDS)).count()
+    faults = career_faults(batting_docs, BATTING_FIELDS).unionByName(career_faults(bowling_docs, BOWLING_FIELDS))
+    if bad := faults.count():
+        keep_rejects(faulty_lines(faults, FAULT), out_dir, "player_format_summary")
     reports.append(upsert_rows(merge_format_summary(batting_docs, bowling_docs, reject=True), out_dir,
                                "player_format_summary", ["player_id", "format"], parts=parts, rejected=bad))
     months, months_path, bad = stage_lines(quarterly_months(batting_docs, with_faults=True), "months", FAULT)
-    reports.append(upsert_months(months.where(F.col(FAULT) == ""), out_dir, parts, rejected=bad))
+    if bad:
+        keep_rejects(faulty_lines(months, FAULT), out_dir, "player_quarterly_stats")
+    reports.append(upsert_months(months.where(F.col(FAULT) == "").drop(FAULT), out_dir, parts, rejected=bad))
     for path in (cards_path, bat_path, bowl_path, months_path):
         delete_folder(spark, path)
     return reports

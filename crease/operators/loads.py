@@ -2,7 +2,8 @@
 
 Each `load_*` takes parsed documents, turns them into rows of one or more
 target tables, keeps only rows whose key is not stored yet (I8), appends
-them (R6-R8) and returns load reports (R10).  Every workflow is idempotent:
+them (R6-R8) and returns load reports (R10).  Lines with unreadable numbers are
+kept under `_rejects` (`sinks.keep_rejects`).  Every workflow is idempotent:
 running it again on the same documents adds nothing, so a rerun after a
 failure is safe.  Tables that do not exist yet are treated as empty.
 """
@@ -18,7 +19,7 @@ from crease.operators import ingest as I
 from crease.operators.keys import consecutive_ids, dedupe_all, met_rows, new_rows
 from crease.session import delete_folder, shared_folder
 from crease.sources.schemas import table_schema
-from crease.sources.sinks import LoadReport, append_rows, conform, stage_lines
+from crease.sources.sinks import LoadReport, append_rows, conform, faulty_lines, keep_rejects, stage_lines
 from crease.sources.tables import load_table, path_exists
 
 PLAYER_LIST_KEYS = ("player", "players", "rank", "values")
@@ -100,6 +101,8 @@ def _load_lines(lines: DataFrame, base_dir: str, table: str, keys: list[str]) ->
     rows = dedupe_all(good.withColumn("stat_id", I.stat_id(*keys)), keys)
     fresh = new_rows(rows, stored(lines.sparkSession, base_dir, table), keys, null_safe=True)
     reports = [_with_player_stubs(good, base_dir), append_rows(fresh, base_dir, table, rejected=bad)]
+    if bad:
+        keep_rejects(faulty_lines(staged, I.FAULT), base_dir, table)
     delete_folder(lines.sparkSession, path)
     return reports
 
@@ -134,5 +137,7 @@ def load_player_match(docs: DataFrame, base_dir: str) -> LoadReport:
     there = met_rows(stored(docs.sparkSession, base_dir, "player_match"), rows, ["match_date"], null_safe=True)
     fresh = rows.exceptAll(there)
     report = append_rows(fresh, base_dir, "player_match", rejected=bad)
+    if bad:
+        keep_rejects(faulty_lines(staged, I.FAULT), base_dir, "player_match")
     delete_folder(docs.sparkSession, path)
     return report

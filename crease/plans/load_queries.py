@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from crease import load
 from crease.operators import ingest as I
 from crease.operators import loads as L
 from crease.operators import products as P
@@ -25,9 +26,9 @@ from crease.session import shared_folder
 from crease.sources.documents import parse_documents, read_documents
 from crease.sources.fixtures import fixture_tables, read_base
 from crease.sources.schemas import PRIMARY_KEYS, TABLE_DDL, VARCHAR_WIDTHS, doc_schema
-from crease.sources.sinks import append_rows, stage_lines
+from crease.sources.sinks import append_rows, rejects_path, stage_lines
 from crease.sources.tables import create_tables, load_table
-from crease.streaming.incremental import run_incremental_load
+from crease.streaming.incremental import keyed_load, run_incremental_load
 
 
 def _docs(df: DataFrame, schema_name: str) -> DataFrame:
@@ -285,23 +286,64 @@ def q_ranking_list(spark: SparkSession, d: str) -> DataFrame:
     return P.ranking_list(_docs(N.ranking_docs(spark, d), "rankings"), "odi")
 
 
-def q_events_in_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of every event spread over files, loaded one file per batch and all in one batch."""
+def _event_versions(spark: SparkSession, d: str) -> tuple[str, int]:
+    """A folder with versions of every event, each version in files of its own; and the number of files."""
     e = read_base(spark, d, "events")
     source = shared_folder(spark, "events")
     for version, some in ((3, "true"), (1, "event_id % 3 <> 0"), (2, "true")):  # the first file has no first version
         e.where(some).select("event_id", F.lit(version).alias("version"), (F.col("value") + version).alias("value")) \
-            .coalesce(1).write.parquet(f"{source}/v{version}")
+            .write.parquet(f"{source}/v{version}")
+    return source, len(spark.read.parquet(f"{source}/*").inputFiles())
+
+
+def _in_batches(spark: SparkSession, d: str, load: Callable) -> DataFrame:
+    """The stored rows of a load in many small batches, and of one in a single batch."""
+    source, files = _event_versions(spark, d)
     schema = spark.read.parquet(f"{source}/v1").schema
     outs = []
-    for files in (1, 1000):
+    for batches, some in (("many", max(1, files // 6)), ("one", files)):
         target = shared_folder(spark, "events-target")
-        run_incremental_load(spark, f"{source}/*", schema, target, ["event_id"], ["version"],
-                             checkpoint=f"{target}-checkpoint", max_files_per_trigger=files)
-        outs.append(spark.read.schema(schema).parquet(target).withColumn("files_per_batch", F.lit(files)))
+        load(spark, f"{source}/*", schema, target, some)
+        outs.append(spark.read.schema(schema).parquet(target).select(*schema.fieldNames(), F.lit(batches).alias("batches")))
     return outs[0].unionByName(outs[1])
 
 
+def q_events_in_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of every event, loaded in many batches and in one."""
+    return _in_batches(spark, d, lambda s, source, schema, target, files: run_incremental_load(
+        s, source, schema, target, ["event_id"], ["version"], checkpoint=f"{target}-checkpoint",
+        max_files_per_trigger=files))
+
+
+def q_events_by_keyed_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the continuous load, whose state store holds each event's kept row."""
+    def load(s, source, schema, target, files):
+        q = keyed_load(s, source, schema, target, ["event_id"], ["version"], f"{target}-checkpoint",
+                       max_files_per_trigger=files, every=None, parts=16)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+
+    return _in_batches(spark, d, load)
+
+
+def q_kept_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Rejects that the load of landed files keeps: documents that are none, lines with unreadable numbers."""
+    landing, tables = shared_folder(spark, "landing"), shared_folder(spark, "tables")
+    docs = _faulty_bowling(spark, d)
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.text(f"{landing}/cards")
+    read_base(spark, d, "events").where("event_id % 10 = 0") \
+        .select(F.concat(F.lit("{not json "), F.col("event_id")).alias("value")).write.text(f"{landing}/events")
+    load.run(spark, "bowling", f"{landing}/*", tables)
+    bad, lines = (spark.read.parquet(rejects_path(tables, n)) for n in ("documents-bowling", "bowling_stats"))
+    line = F.from_json("raw", "match_id bigint, player_id bigint, format string, line_number bigint")
+    return bad.select(F.lit("document").alias("kind"), "reason", F.regexp_extract("raw", r"(\d+)$", 1).cast("long").alias("id"),
+                      F.lit(None).cast("long").alias("player_id"), F.lit(None).cast("string").alias("format"),
+                      F.lit(None).cast("long").alias("line_number")) \
+        .unionByName(lines.select(F.lit("line").alias("kind"), "reason", line.alias("x")).select(
+            "kind", "reason", F.col("x.match_id").alias("id"), "x.player_id", "x.format", "x.line_number"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i11b_load_batting_twice": q_load_batting,
     "i12b_load_bowling_twice": q_load_bowling,
@@ -326,6 +368,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b2b_squad_lists": q_squad_lists,
     "b3b_ranking_list": q_ranking_list,
     "st1b_events_in_batches": q_events_in_batches,
+    "st1c_events_by_keyed_state": q_events_by_keyed_state,
+    "r04_kept_rejects": q_kept_rejects,
 }
 
 
@@ -358,6 +402,10 @@ def _widths_sql() -> str:
         for t, widths in VARCHAR_WIDTHS.items() for c, w in widths.items())
 
 
+_FIRST_VERSIONS = """
+SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version,
+       value + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS value, batches
+FROM events, (SELECT unnest(['many', 'one']) AS batches) b"""
 _NEW = "player_id > 10000000 AND (player_id - 10000000)"
 _STATEMENTS = f"""t1 AS (SELECT player_id, full_name, 'early' AS country, playing_role FROM players),
 t2 AS (SELECT * FROM t1 WHERE player_id % 5 <> 0),
@@ -486,10 +534,14 @@ SELECT * FROM (
          c_custkey AS id, c_name AS name, n_name AS country, CAST(FLOOR(c_acctbal) AS DOUBLE) AS rating
   FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 1)
 WHERE position <= 15""",
-    "st1b_events_in_batches": """
-SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version,
-       value + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS value, CAST(files_per_batch AS BIGINT) AS files_per_batch
-FROM events, (SELECT unnest([1, 1000]) AS files_per_batch) f""",
+    "st1b_events_in_batches": _FIRST_VERSIONS,
+    "st1c_events_by_keyed_state": _FIRST_VERSIONS,
+    "r04_kept_rejects": f"""
+SELECT 'document' AS kind, 'not a JSON object' AS reason, event_id AS id, NULL AS player_id, NULL AS format,
+       NULL AS line_number
+FROM events WHERE event_id % 10 = 0
+UNION ALL
+SELECT 'line', fault, match_id, player_id, format, line_number FROM ({_FAULTS}) WHERE fault <> ''""",
 }
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from crease.session import shared_folder
+
 CORRUPT = "_corrupt_record"
 
 
@@ -49,8 +51,8 @@ def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error:
     is treated as a missing document and dropped.
 
     `with_order=True` adds `_doc_order`, increasing in input order (partition,
-    then row), for "keep the first occurrence" rules downstream.  It is
-    reproducible for the same files and split settings.
+    then row), for "keep the first occurrence" rules downstream.  For landed
+    files `read_documents` has an order that does not depend on the splits.
 
     `observe` counts the rejected documents (metric `rejected`) while a later
     action parses them anyway, so no extra pass is needed.
@@ -72,7 +74,27 @@ def parse_documents(df: DataFrame, text_col: str, schema: StructType, on_error:
     return good, rejected
 
 
-def read_documents(spark: SparkSession, path: str, schema: StructType, on_error: str = "skip",
+DOC_FILE, DOC_BLOCK = "_doc_file", "_doc_block"
+
+
+def read_text_documents(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """The text of landed documents, one a row (column `value`), with their place.
+
+    `_doc_file` and `_doc_block` are the file and the first byte of its split;
+    `_doc_order` orders documents by the file's modification time, its path,
+    the split and the row in the split.  Splits of a file follow each other, so
+    the order of any two documents is the same under all split settings.
+    """
+    text = spark.read.option("wholetext", str(multi_line).lower()).text(path)
+    meta = F.col("_metadata")
+    text = text.select("value", meta["file_path"].alias(DOC_FILE), meta["file_block_start"].alias(DOC_BLOCK),
+                       F.struct(meta["file_modification_time"].alias("modified"), meta["file_path"].alias("file"),
+                                meta["file_block_start"].alias("block"),
+                                F.monotonically_increasing_id().alias("row")).alias(DOC_ORDER))
+    return text if multi_line else text.where(F.trim(F.col("value")) != "")
+
+
+def read_documents(spark: SparkSession, path: str | list[str], schema: StructType, on_error: str = "skip",
                    multi_line: bool = False, with_order: bool = False,
                    observe: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Read landed JSON documents with an explicit schema.
@@ -80,12 +102,38 @@ def read_documents(spark: SparkSession, path: str, schema: StructType, on_error:
     Returns (documents, rejected) like `parse_documents`.  Files are read as
     text: line-delimited files split across tasks, one document per line;
     `multi_line=True` reads one document per file.  Parsing is `from_json`
-    against the explicit schema, never inference.
+    against the explicit schema, never inference.  `with_order=True` adds
+    `_doc_order` (see `read_text_documents`).
     """
-    text = spark.read.option("wholetext", str(multi_line).lower()).text(path)
-    if not multi_line:
-        text = text.where(F.trim(F.col("value")) != "")
-    return parse_documents(text, "value", schema, on_error, with_order=with_order, observe=observe)
+    text = read_text_documents(spark, path, multi_line)
+    return parse_documents(text, "value", schema, on_error, keep=[DOC_ORDER] if with_order else None, observe=observe)
+
+
+NOT_JSON = "not a JSON object"
+
+
+def stage_documents(spark: SparkSession, path: str | list[str], schema: StructType,
+                    multi_line: bool = False) -> tuple[DataFrame, DataFrame, str]:
+    """Parse landed documents once, into shared scratch: (documents with `_doc_order`, rejected, folder).
+
+    One pass writes good and bad documents apart, by verdict.  The rejected
+    ones keep reason, file, block and raw text.  The caller deletes the folder.
+    """
+    text = read_text_documents(spark, path, multi_line)
+    parsed = text.withColumn("_doc", parse_json_column("value", schema))
+    bad = F.col(f"_doc.{CORRUPT}").isNotNull()
+    rows = parsed.select(F.when(bad, "bad").otherwise("good").alias("verdict"), F.when(bad, F.col("value")).alias("raw"),
+                         DOC_FILE, DOC_BLOCK, DOC_ORDER,
+                         *[F.col(f"_doc.`{n}`").alias(n) for n in schema.fieldNames()])
+    folder = shared_folder(spark, "documents")
+    rows.write.partitionBy("verdict").parquet(folder)
+    stored = spark.read.schema(rows.drop("verdict").schema).parquet(folder)
+    if "verdict" not in stored.columns:  # no documents at all: no folder of either verdict
+        stored = stored.withColumn("verdict", F.lit("good"))
+    good = stored.where("verdict = 'good'").select(DOC_ORDER, *[F.col(f"`{n}`") for n in schema.fieldNames()])
+    rejected = stored.where("verdict = 'bad'").select(F.lit(NOT_JSON).alias("reason"), F.col(DOC_FILE).alias("file"),
+                                                      F.col(DOC_BLOCK).alias("block"), "raw")
+    return good, rejected, folder
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

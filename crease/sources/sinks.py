@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crease.session import shared_folder
@@ -53,6 +54,38 @@ def append_rows(df: DataFrame, base_dir: str, table: str, skipped: int = 0, reje
     return LoadReport(table, int(obs.get.get("rows", 0)), skipped, rejected)
 
 
+REJECTS = "_rejects"
+
+
+def rejects_path(base_dir: str, table: str) -> str:
+    return os.path.join(base_dir, REJECTS, table)
+
+
+def keep_rejects(rejected: DataFrame, base_dir: str, table: str) -> None:
+    """Add rejected input to `<base_dir>/_rejects/<table>`, once.
+
+    Rows have a reason, the file and block they come from (NULL for lines,
+    whose documents were good), and the raw text.  What is there already is not
+    added again, so a load that is run twice leaves one copy.
+    """
+    spark, path = rejected.sparkSession, rejects_path(base_dir, table)
+    rows = rejected.select(*[(F.col(c) if c in rejected.columns else F.lit(None)).cast(t).alias(c) for c, t in (
+        ("reason", "string"), ("file", "string"), ("block", "bigint"), ("raw", "string"))])
+    fs, folder = _fs(spark, path)
+    if fs.exists(folder):
+        there = spark.read.schema(rows.schema).parquet(path)
+        same = reduce(Column.__and__, [rows[c].eqNullSafe(there[c]) for c in rows.columns])
+        rows = rows.join(there, same, "left_anti")
+    rows.write.mode("append").parquet(path)
+
+
+def faulty_lines(lines: DataFrame, fault: str) -> DataFrame:
+    """Lines with a fault as rejects: the unreadable fields are the reason, the line's JSON the raw text."""
+    rest = [c for c in lines.columns if c != fault]
+    return lines.where(F.col(fault) != "").select(F.col(fault).alias("reason"),
+                                                  F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("raw"))
+
+
 def stage_lines(df: DataFrame, name: str, fault: str | None = None) -> tuple[DataFrame, str, int]:
     """Write `df` once to the shared scratch folder; return it read back, its folder, and its faulty rows.
 

@@ -10,17 +10,28 @@ rest.  The rows of a run therefore do not depend on how its files fell into
 batches; a key that an earlier run has stored keeps its stored row.  Merging
 again adds nothing, so a failure before the staged batches are dropped does
 no harm.  The checkpoint records which files were consumed.
+
+:func:`keyed_load` is the continuous form.  The stream's state store holds the
+kept row of every key; a batch changes the state of its own keys only and gives
+the rows whose kept row is new or smaller than before, which are upserted into
+the few partitions of the target that they fall into.  No batch reads the whole
+target, and the stored rows are those of one load over all files seen since the
+checkpoint began, however the files fell into batches and whenever the stream
+was stopped and started.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from crease.operators.keys import dedupe, new_rows
+from crease.operators.upsert import DEFAULT_PARTS, upsert_rows
 from crease.session import delete_folder
 from crease.sources.tables import path_exists
 
@@ -54,24 +65,55 @@ def incremental_load(spark: SparkSession, source: str, schema: StructType, targe
 
     With `available_now=True` it stages what is there and stops;
     :func:`merge_staged` makes the rows visible (see `run_incremental_load`).
-    A continuous load (`available_now=False`) merges after every batch, so a
-    key keeps its row of the first batch that has it.
+    A continuous load (`available_now=False`) is a :func:`keyed_load`.
     """
+    if not available_now:
+        return keyed_load(spark, source, schema, target, keys, order_by, checkpoint, fmt, glob, max_files_per_trigger)
+    stream = _files(spark, source, schema, fmt, glob, max_files_per_trigger)
+    keys = list(keys)
+
+    def load_batch(batch: DataFrame, epoch: int) -> None:
+        dedupe(batch, keys, order_by).write.mode("overwrite").parquet(f"{staging_folder(checkpoint)}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+
+
+def _files(spark: SparkSession, source: str, schema: StructType, fmt: str, glob: str | None,
+           max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.load(source)
+    return reader.load(source)
+
+
+def keyed_load(spark: SparkSession, source: str, schema: StructType, target: str, keys: Sequence[str],
+               order_by: Sequence[str], checkpoint: str, fmt: str = "parquet", glob: str | None = None,
+               max_files_per_trigger: int | None = DEFAULT_MAX_FILES_PER_TRIGGER, every: str | None = "30 seconds",
+               parts: int = DEFAULT_PARTS) -> StreamingQuery:
+    """Start a load whose kept row per key (the first by `order_by`) lives in the state store.
+
+    The state is a streaming aggregate: rows of a batch are combined map-side
+    before they meet their key's state, so a hot key is no hot task.  `target`
+    is stored in hash parts of the keys (see `upsert_rows`); a batch replayed
+    after a failure gives the same rows and changes nothing.  `every=None`
+    processes what is there and stops.  With many keys, let the session use the
+    RocksDB state store, which keeps state on disk.
+    """
     keys = list(keys)
+    rest = [c for c in schema.fieldNames() if c not in keys]
+    stream = _files(spark, source, schema, fmt, glob, max_files_per_trigger)
+    kept = stream.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first"))
+    folder, name = os.path.split(target.rstrip("/"))
 
-    def load_batch(batch: DataFrame, epoch: int) -> None:
-        dedupe(batch, keys, order_by).write.mode("overwrite").parquet(f"{staging_folder(checkpoint)}/batch={epoch}")
-        if not available_now:
-            merge_staged(batch.sparkSession, schema, target, keys, order_by, checkpoint)
+    def put(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(*keys, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*schema.fieldNames())
+        upsert_rows(rows, folder, name, keys, parts=parts)
 
-    w = stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    w = kept.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()
 
 
