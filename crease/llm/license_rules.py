@@ -1,7 +1,7 @@
 """Ordered licence signatures over canonical text (lower-case words, one space between).
 
 Families are written by hand: a label, the keywords (words, with or without a
-digit joined on) of which one at least stands wherever its signatures match,
+version joined on) of which one at least stands wherever its signatures match,
 and the names it goes by.  Each family gives a signature for its identifier, for grants ("licensed under ..."), for a heading
 and for a bare mention.  Clause signatures are whole sentences of licence
 texts.  A rule's gate is one group of words or two; wherever the rule matches,
@@ -24,15 +24,19 @@ class Rule(NamedTuple):
 
 
 def numbered(words: tuple[str, ...], digits: int) -> tuple[str, ...]:
-    """The words, and each with so many digits at most joined on (gpl3, license2)."""
-    ends = [f"{x:0{n}d}" for n in range(1, digits + 1) for x in range(10 ** n)]
-    return words + tuple(w + e for w in words for e in ends)
+    """The words, and each with a "v" or so many digits at most, or both, joined on (gpl3, gplv3, license2)."""
+    ends = [v + f"{x:0{n}d}" for v in ("", "v") for n in range(1, digits + 1) for x in range(10 ** n)]
+    return words + tuple(w + e for w in words for e in ["v", *ends])
 
 
-V1, V2, V3 = r"(?: version| v)? ?1(?: 0)?", r"(?: version| v)? ?2(?: 0)?", r"(?: version| v)? ?3(?: 0)?"
-ANY = r"(?:(?: version| v)? ?\d(?: \d){0,2})?"
+V1, V2, V3 = r"(?: version| ?v)? ?1(?: 0)?", r"(?: version| ?v)? ?2(?: 0)?", r"(?: version| ?v)? ?3(?: 0)?"
+ANY = r"(?:(?: version| ?v)? ?\d(?: \d){0,2})?"
+#: the version that a form adds behind a name, which may have one joined on
+ADDED = r"(?:(?: version| v)? ?\d(?: \d){0,2})?"
 #: e with or without its accent, also as a capital (only A-Z is lower-cased) or with a combining accent
 E_ACUTE = r"(?:\w{1,2}|\u00e9|\u00c9|e\u0301)"
+#: the copyright sign is a word, also with a year joined on
+SIGN = r"\u00a9"
 #: names that end so always have the word in them
 LICENSE = tuple(f" license{v}" for v in ("", V1, V2, V3, ANY))
 GPL, LGPL, AGPL = r"(?:gnu )?general public license", r"(?:gnu )?(?:lesser|library) general public license", \
@@ -42,7 +46,7 @@ GPL, LGPL, AGPL = r"(?:gnu )?general public license", r"(?:gnu )?(?:lesser|libra
 FAMILIES = [
     ("mit", "mit", r"mit"), ("mit-0", "mit", r"mit (?:0|no attribution)"), ("x11", "x11", r"x11"),
     ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{V2}"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
+    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| ?v)? ?1 1"),
     ("apache", "apache", r"apache(?: software)? license"),
     ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
@@ -51,12 +55,12 @@ FAMILIES = [
     ("gpl-1.0", "general", rf"{GPL}{V1}"), ("gpl-2.0", "general", rf"{GPL}{V2}"), ("gpl-3.0", "general", rf"{GPL}{V3}"),
     ("gpl-1.0", "gpl", rf"(?:gnu )?gpl{V1}"), ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{V2}"),
     ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{V3}"), ("gpl", "gpl", r"(?:gnu )?gpl"), ("gpl", "general", GPL),
-    ("lgpl-2.0", "general", rf"{LGPL}{V2}"), ("lgpl-2.1", "general", rf"{LGPL}(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "general", rf"{LGPL}{V3}"), ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2 1"),
+    ("lgpl-2.0", "general", rf"{LGPL}{V2}"), ("lgpl-2.1", "general", rf"{LGPL}(?: version| ?v)? ?2 1"),
+    ("lgpl-3.0", "general", rf"{LGPL}{V3}"), ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| ?v)? ?2 1"),
     ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{V3}"), ("lgpl", "lgpl", r"(?:gnu )?lgpl"), ("lgpl", "general", LGPL),
     ("agpl-3.0", "affero", rf"{AGPL}{V3}"), ("agpl", "affero", AGPL), ("agpl", "agpl", rf"(?:gnu )?agpl{ANY}"),
     ("fdl", "documentation", rf"(?:gnu )?free documentation license{ANY}"), ("fdl", "gfdl", rf"gfdl{ANY}"),
-    ("mpl-1.1", "mozilla", r"mozilla public license(?: version| v)? ?1 1"),
+    ("mpl-1.1", "mozilla", r"mozilla public license(?: version| ?v)? ?1 1"),
     ("mpl-2.0", "mozilla", rf"mozilla public license{V2}"), ("mpl", "mozilla", r"mozilla public license"),
     ("mpl-2.0", "mpl", rf"mpl{V2}"), ("mpl", "mpl", rf"mpl{ANY}"),
     ("epl-1.0", "eclipse", rf"eclipse public license{V1}"), ("epl-2.0", "eclipse", rf"eclipse public license{V2}"),
@@ -129,7 +133,8 @@ CLAUSES = [
     ("bsl-1.0", "boost", r"www boost org license 1 0"),
     ("reserved", "reserved", r"all rights reserved"), ("reserved", "rechte", r"alle rechte vorbehalten"),
     ("reserved", "droits", rf"tous droits r{E_ACUTE}serv{E_ACUTE}s"), ("reserved", "derechos", r"todos los derechos reservados"),
-    ("copyright", "copyright", r"copyright(?: c)? (?:\d{4}(?: \d{4})* )?(?:by )?\w+"),
+    ("copyright", "copyright", rf"copyright(?: c)?(?: {SIGN})?(?: {SIGN}?\d{{4}})*(?: by)? \w+"),
+    ("copyright", "\u00a9", rf"{SIGN}(?:(?:19|20)\d\d)?(?: copyright)?(?: \d{{4}})*(?: by)? \w+"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "prohibited", r"(?:unauthorized|unauthorised) (?:copying|reproduction|use|distribution)(?: \w+){0,8} (?:is )?(?:strictly )?prohibited"),
     ("proprietary", "permission", r"(?:no part of|may not be) (?:this|reproduced)(?: \w+){0,10} (?:reproduced|without)(?: \w+){0,6} permission"),
@@ -157,7 +162,7 @@ WEAK = {"mit", "x11", "bsd", "isc", "zlib", "curl", "vim", "openssl", "postgresq
         "ruby", "python-2.0", "polyform", "ncsa"}
 #: clause keywords that are everyday words, and rarer words of the same sentences
 CLAUSE_GATES = {"later": ("license",), "notice": ("copyright",), "compliance": ("license",),
-                "trade": ("secret", "secrets")}
+                "trade": ("secret", "secrets"), "\u00a9": ("\u00a9", *(f"\u00a9{y}" for y in range(1900, 2100)))}
 #: names with an everyday word among their keywords: the gate of their bare mention
 MENTION_GATES = {"mit-0": (("mit",), ("0", "attribution")), "qpl-1.0": (("qpl", "license"),)}
 
@@ -178,5 +183,5 @@ def rules() -> list[Rule]:
             gate = tuple(numbered(own, 1 if form == "mention" else 2) if words is None else words for words in gate)
             if form == "mention" and label in MENTION_GATES:
                 gate = tuple(numbered(words, 1) for words in MENTION_GATES[label])
-            out.append(Rule(label, keys, around.replace("{any}", ANY).replace("{}", f"(?:{name})"), priority, weight, gate))
+            out.append(Rule(label, keys, around.replace("{any}", ADDED).replace("{}", f"(?:{name})"), priority, weight, gate))
     return sorted(out, key=lambda r: -r.priority)

@@ -57,12 +57,13 @@ def gates(phrases: dict[str, str], ordered: list[Rule]) -> list[list[list[str]]]
     return [[sorted(single)], *([sorted(a), sorted(b)] for a, b in double.items())]
 
 
-def _gate(words: Column, phrases: dict[str, str], ordered: list[Rule]) -> Column:
+def _gate(words: str, phrases: dict[str, str], ordered: list[Rule]) -> Column:
     out = F.lit(False)
     for groups in gates(phrases, ordered):
         every = F.lit(True)
         for group in groups:
-            every = every & F.arrays_overlap(words, F.split(F.lit(" ".join(group)), " "))
+            # a set of literals: a look-up for each word of the text, however many words the gate has
+            every = every & F.expr(f"exists({words}, w -> w in ({', '.join(map(repr, group))}))")
         out = out | every
     return out
 
@@ -123,7 +124,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     empty = F.when(F.col("words")[0] == "", 1).otherwise(0) \
         + F.when((F.element_at("words", -1) == "") & (F.size("words") > 1), 1).otherwise(0)
     rows = rows.select("row", "doc_id", (F.size("words") - empty).cast("long").alias("n_words"),
-                       F.when(_gate(F.col("words"), phrases, ordered), canonical(F.col("text"))).alias("canon"))
+                       F.when(_gate("words", phrases, ordered), canonical(F.col("text"))).alias("canon"))
     canon = F.col("canon")
     either = F.lit("(?= (?:" + "|".join(phrases) + ") )")
     places = {p: F.regexp_count(canon, F.lit(f"(?= {p} )")) for p in phrases}

@@ -45,6 +45,19 @@ BY_HAND = [
 ]
 
 
+HEADERS = [
+    ("Licensed under GPLv3", "gpl-3.0"), ("Licensed under the AGPLv3+.", "agpl"), ("GPLv2 or later", "gpl-2.0"),
+    ("is licensed under the LGPLv2.1", "lgpl-2.1"), ("released under MPLv2.0", "mpl-2.0"),
+    ("Apache License v2.0", "apache-2.0"), ("Apache Licensev2", "apache-2.0"), ("EPLv1.0", "epl"),
+    ("Copyright \u00a9 2020 Foo Inc", "copyright"), ("Copyright (C) 1999, 2004 by Foo", "copyright"),
+    ("\u00a9 2020 Foo Inc", "copyright"), ("\u00a92020 Foo Inc", "copyright"), ("copyrighted work", ""),
+]
+
+
+def test_spellings_of_headers(workers):
+    assert [labels for labels, _ in found(workers, [t for t, _ in HEADERS])] == [label for _, label in HEADERS]
+
+
 def test_alternatives_by_hand(workers):
     assert [labels for labels, _ in found(workers, [t for t, _ in BY_HAND])] == [label for _, label in BY_HAND]
 
