@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crease.llm.common import scratch, stage
+from crease.llm.common import discard, scratch, shared_fs, stage
 
 INDEX = ("shard int, dim int, ids binary, node_of binary, vectors binary, "
          "layers array<struct<nodes:binary,neighbours:binary>>")
@@ -104,16 +104,27 @@ def beam_search(x, queries, neighbours, entry, ef: int, step: int = 4):
     return beam, score
 
 
-def link_layer(x, nodes, neighbours, degree: int, ef: int, start, batch: int = 256):
-    """Insert ``nodes`` (first ``start`` of them are linked already) into the layer, in growing batches."""
-    at = start
+def descend(x, queries, above, width: int = 16):
+    """Entry nodes of each query: the best found in each of the layers ``above``, from the top down."""
+    entry = np.tile(above[0][0][:8], (len(queries), 1)).astype(int)
+    for _, neighbours in above:
+        entry = beam_search(x, queries, neighbours, entry, width)[0]
+    return entry
+
+
+def link_layer(x, nodes, neighbours, degree: int, ef: int, above: list, batch: int = 256):
+    """Insert ``nodes`` into the layer, in growing batches; those of the layers ``above`` come first."""
+    at, known = 0, len(above[-1][0]) if above else 0
     while at < len(nodes):
         new = nodes[at:at + min(batch, max(1, at))]
         old = nodes[:at]
         width = min(ef, 3 * degree)
         if at:
-            spread = old[np.linspace(0, at - 1, min(at, 8)).astype(int)]
-            found, score = beam_search(x, x[new], neighbours, np.tile(spread, (len(new), 1)), ef)
+            if known and at >= known:  # all nodes of the layers above are in this one
+                entry = descend(x, x[new], above)
+            else:
+                entry = np.tile(old[np.linspace(0, at - 1, min(at, 8)).astype(int)], (len(new), 1))
+            found, score = beam_search(x, x[new], neighbours, entry, ef)
             found, score = found[:, :width], score[:, :width]
         else:
             found, score = np.full((len(new), 1), -1), np.full((len(new), 1), -np.inf)
@@ -170,38 +181,42 @@ def build(x, m: int, ef: int, seed: int = 1) -> list[tuple]:
     x = same_norm(np.asarray(x, np.float64) / max(1e-300, np.abs(x).max()))
     level = level_of(len(x), m, seed)
     nodes = np.argsort(-level, kind="stable")
-    layers = []
-    for layer in range(level.max() + 1):
+    above, layers = [], []
+    for layer in range(level.max(), -1, -1):
         inside = nodes[:int((level >= layer).sum())]
         degree = 2 * m if layer == 0 else m
         neighbours = np.full((len(x), degree), -1, np.int32)
-        link_layer(x, inside, neighbours, degree, ef, 0)
+        link_layer(x, inside, neighbours, degree, ef, above)
+        above.append((inside, neighbours))
         # upper layers are stored by their own nodes only
         layers.append((inside.astype(np.int32), neighbours if layer == 0 else neighbours[inside]))
-    return layers
+    return layers[::-1]
 
 
 def find(x, layers, queries, ef: int, block: int = 256):
     """Nodes of each query's ``ef`` best found, from the top layer down."""
     scale = max(1e-300, np.abs(x).max())
     x = same_norm(np.asarray(x, np.float64) / scale)
-    out = []
+    above, out = [], []
+    for nodes, stored in layers[:0:-1]:
+        neighbours = np.full((len(x), stored.shape[1]), -1, np.int32)
+        neighbours[nodes] = stored
+        above.append((nodes, neighbours))
     for begin in range(0, len(queries), block):
         q = np.asarray(queries[begin:begin + block], np.float64)
         q = np.concatenate([q / np.abs(q).max(1, keepdims=True), np.zeros((len(q), 1))], 1).astype(np.float32)
-        entry = np.tile(layers[-1][0][:8], (len(q), 1)).astype(int)
-        for nodes, stored in layers[:0:-1]:
-            neighbours = np.full((len(x), stored.shape[1]), -1, np.int32)
-            neighbours[nodes] = stored
-            entry = beam_search(x, q, neighbours, entry, 16)[0]
+        entry = descend(x, q, above) if above else np.tile(layers[0][0][:8], (len(q), 1)).astype(int)
         out.append(beam_search(x, q, layers[0][1], entry, ef)[0])
     return np.concatenate(out)
 
 
 # ---------------------------------------------------------------- Spark
 
-def index(rows: DataFrame, shard_rows: int = 8192, m: int = 16, ef: int = 96) -> DataFrame:
-    """A row per shard (and vector length): ids, distinct vectors and the graph's layers, staged."""
+def index(rows: DataFrame, folder: str, shard_rows: int = 8192, m: int = 16, ef: int = 96) -> DataFrame:
+    """Write a graph per shard (and vector length) into ``folder``, a file each; return their numbers (shard, dim).
+
+    A file has ids, distinct vectors and the graph's layers.
+    """
 
     def run(key, f):
         every = np.stack(f["x"].to_numpy()).astype(np.float64)
@@ -215,27 +230,48 @@ def index(rows: DataFrame, shard_rows: int = 8192, m: int = 16, ef: int = 96) ->
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"),
                         F.size("x").alias("dim"), "vec_id", "x")
-    return stage(dealt.groupBy("shard", "dim").applyInPandas(run, INDEX), "hnsw-index")[0]
+    dealt.groupBy("shard", "dim").applyInPandas(run, INDEX).write.partitionBy("shard", "dim").parquet(folder)
+    return rows.sparkSession.read.schema(INDEX).parquet(folder).select("shard", "dim").distinct()
+
+
+def _table(folder: str):
+    """The rows of a folder of Parquet files on shared storage, read in a task."""
+    import pyarrow.parquet as pq
+
+    fs, path = shared_fs(folder)
+    return pq.ParquetDataset(path, filesystem=fs, partitioning=None).read()
+
+
+def _read_shard(folder: str, shard: int, dim: int, m: int):
+    (row,) = _table(f"{folder}/shard={shard}/dim={dim}").to_pylist()
+    return (np.frombuffer(row["ids"], np.int64), np.frombuffer(row["node_of"], np.int32),
+            np.frombuffer(row["vectors"], np.float64).reshape(-1, dim),
+            [(np.frombuffer(a["nodes"], np.int32), np.frombuffer(a["neighbours"], np.int32).reshape(
+                -1, m if n else 2 * m)) for n, a in enumerate(row["layers"])])
+
+
+def _read_block(folder: str, block: int, dim: int):
+    found = _table(f"{folder}/block={block}/dim={dim}")
+    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return found.column("vec_id").to_numpy(), x
+
 
+def _answer(graphs: str, asked: str, k: int, ef: int, m: int):
+    """The shards' nearest for rows (shard, dim, block), which come shard by shard."""
 
-def _answer(block, k: int, ef: int, m: int):
     def run(frames):
+        at = None
         for f in frames:
-            for row in f.itertuples(index=False):
-                if row.dim not in block.value:
-                    continue
-                query_ids, queries = block.value[row.dim]
-                ids = np.frombuffer(row.ids, np.int64)
-                node_of = np.frombuffer(row.node_of, np.int32)
-                x = np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim)
-                layers = [(np.frombuffer(a["nodes"], np.int32), np.frombuffer(a["neighbours"], np.int32).reshape(
-                    -1, m if n else 2 * m)) for n, a in enumerate(row.layers)]
-                nodes = find(x, layers, queries, ef)
-                # members of a node, smallest id first; only the k+1 smallest can be among a query's k nearest
-                order = np.lexsort((ids, node_of))
-                first = np.searchsorted(node_of[order], np.arange(len(x) + 1))
+            for work in f.itertuples(index=False):
+                if at != (work.shard, work.dim):
+                    at = (work.shard, work.dim)
+                    ids, node_of, x, layers = _read_shard(graphs, work.shard, work.dim, m)
+                    # members of a node, smallest id first; only the k+1 smallest can be among a query's k nearest
+                    order = np.lexsort((ids, node_of))
+                    first = np.searchsorted(node_of[order], np.arange(len(x) + 1))
+                query_ids, queries = _read_block(asked, work.block, work.dim)
                 out = []
-                for q, near in enumerate(nodes):
+                for q, near in enumerate(find(x, layers, queries, ef)):
                     near = near[near >= 0]
                     score = x[near] @ queries[q]
                     got = [(-s, i) for n, s in zip(near, score, strict=True)
@@ -252,24 +288,23 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
            query_block: int = 16384) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of every query."""
     spark = rows.sparkSession
-    held, _ = stage(usable(rows, vec_id, vector), "hnsw-rows")
-    asked = usable(queries, vec_id, vector)
-    graph = index(held, shard_rows, m, ef_build)
-    shards = graph.count()
-    total = asked.count()
-    blocks = max(1, -(-total // query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)))
-    path = scratch(spark, "hnsw-found")
-    for b in range(blocks):
-        by_dim: dict[int, list] = {}
-        for q in asked.where(F.col("block") == b).toLocalIterator():
-            by_dim.setdefault(len(q.x), []).append((q.vec_id, q.x))
-        block = spark.sparkContext.broadcast({d: (np.array([i for i, _ in v]), np.array([x for _, x in v]))
-                                              for d, v in by_dim.items()})
-        spread = graph.repartition(max(1, shards), "shard", "dim")
-        spread.mapInPandas(_answer(block, k, ef, m), FOUND).write.mode("append").parquet(path)
-        block.unpersist()
-    found = spark.read.schema(FOUND).parquet(path)
+    held, held_path = stage(usable(rows, vec_id, vector), "hnsw-rows")
+    graphs, asked = scratch(spark, "hnsw-graphs"), scratch(spark, "hnsw-queries")
+    shards = index(held, graphs, shard_rows, m, ef_build)
+    discard(spark, held_path)
+    chosen, chosen_path = stage(usable(queries, vec_id, vector), "hnsw-asked")
+    blocks = max(1, -(-chosen.count() // query_block))
+    chosen.select("vec_id", "x", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"),
+                  F.size("x").alias("dim")).repartition("block", "dim").write.partitionBy("block", "dim").parquet(asked)
+    discard(spark, chosen_path)
+    kinds = spark.read.schema("vec_id long, block int, dim int").parquet(asked).select("block", "dim").distinct()
+    work = shards.join(kinds, "dim")  # numbers only
+    some = max(1, work.count())
+    # few shards: a task for each item of work; many: the blocks of a shard in one task
+    tasks = some if some < 4 * spark.sparkContext.defaultParallelism else max(1, shards.count())
+    work = work.repartitionByRange(tasks, "shard", "dim", "block").sortWithinPartitions("shard", "dim", "block")
+    found, _ = stage(work.select("shard", "dim", "block").mapInPandas(_answer(graphs, asked, k, ef, m), FOUND), "hnsw-found")
+    discard(spark, graphs, asked)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

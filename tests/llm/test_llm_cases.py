@@ -255,3 +255,16 @@ def test_many_empty_texts_are_packed(workers):
     docs = workers.range(300).selectExpr("id doc_id", "'' text")
     got = packing.pack(docs, tokenizer_path(), capacity=512, block_items=64, epochs=1, generations=1).collect()
     assert brute.check_sequences([(r.sequence_id, r.offset, r.length) for r in got], 512) == 1 and len(got) == 300
+
+
+def test_hnsw_recall_over_twenty_shards(workers):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 16)) + rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)]
+    df = workers.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rows(hnsw.search(df, df.where("vec_id % 40 = 0"), shard_rows=200, query_block=30))
+    near = {}
+    for q, _, v, _ in got:
+        near.setdefault(q, set()).add(v)
+    assert len(near) == 100
+    hits = [len(near[q] & set(brute.nearest(range(4000), x, q))) / 20 for q in near]
+    assert np.mean(hits) >= 0.9 and min(hits) >= 0.6
