@@ -96,3 +96,9 @@ def upsert_rows(df: DataFrame, base_dir: str, table: str, keys: Sequence[str], p
     for scratch in (given_path, changed_path):
         delete_folder(spark, scratch)
     return LoadReport(table, total - updated, skipped=total_given - total, rejected=rejected, updated=updated)
+
+
+def read_upserted(spark: SparkSession, base_dir: str, table: str) -> DataFrame:
+    """A table stored by `upsert_rows`, without the column of its layout."""
+    df = spark.read.parquet(os.path.join(base_dir, table))
+    return df.drop(*[c for c in df.columns if c.startswith(PREFIX)])

@@ -33,6 +33,8 @@ from crease.functions.semantics import (
     round_half_up, years_back,
 )
 
+from crease.operators.states import LG_K
+
 Tables = Mapping[str, DataFrame]
 
 FORMATS = ("Test", "ODI", "T20I")
@@ -270,11 +272,19 @@ def q17_toss_advantage(tables: Tables, status: str = COMPLETED) -> DataFrame:
                     pct2(F.col("toss_win_and_match_win"), F.col("total_matches")).alias("win_percentage"))
 
 
+def _matches(approximate: bool) -> F.Column:
+    """COUNT(DISTINCT match_id): exact, or a HyperLogLog estimate (0.8 % standard error) in one aggregation."""
+    if approximate:
+        return F.hll_sketch_estimate(F.hll_sketch_agg("match_id", LG_K))
+    return F.count_distinct("match_id")
+
+
 def q18_economical_bowlers(tables: Tables, formats: Sequence[str] = ("ODI", "T20I"),
-                           min_matches: int = 10, min_overs_per_match: float = 2) -> DataFrame:
+                           min_matches: int = 10, min_overs_per_match: float = 2,
+                           approximate: bool = False) -> DataFrame:
     bs = tables["bowling_stats"].filter(F.col("format").isin(list(formats)))
     g = (bs.groupBy("player_id")
-         .agg(F.count_distinct("match_id").alias("matches_played"),
+         .agg(_matches(approximate).alias("matches_played"),
               F.sum("overs_bowled").alias("total_overs"),
               F.sum("runs_conceded").alias("total_runs"),
               F.sum("wickets_taken").alias("total_wickets"))
@@ -300,19 +310,20 @@ def q19_consistent_batsmen(tables: Tables, min_balls: int = 10, since="2022-01-0
             .orderBy(F.col("run_std_dev").asc_nulls_first(), F.col("player_id").asc()))
 
 
-def q20a_format_counts(tables: Tables, formats: Sequence[str] = FORMATS) -> DataFrame:
+def q20a_format_counts(tables: Tables, formats: Sequence[str] = FORMATS, approximate: bool = False) -> DataFrame:
     bs = tables["batting_stats"]
     return (bs.groupBy("player_id")
             .agg(F.count(F.lit(1)).alias("total_rows"),
-                 F.count_distinct("match_id").alias("matches_played"),
+                 _matches(approximate).alias("matches_played"),
                  F.sum(F.when(F.col("format").isin(list(formats)), 1).otherwise(0)).alias("valid_format_rows"),
                  round_half_up(avg_int_exact("runs_scored")).alias("batting_avg")))
 
 
-def q20b_format_counts_min(tables: Tables, formats: Sequence[str] = FORMATS, min_valid: int = 20) -> DataFrame:
+def q20b_format_counts_min(tables: Tables, formats: Sequence[str] = FORMATS, min_valid: int = 20,
+                           approximate: bool = False) -> DataFrame:
     bs = tables["batting_stats"]
     return (bs.groupBy("player_id")
-            .agg(F.count_distinct("match_id").alias("matches_played"),
+            .agg(_matches(approximate).alias("matches_played"),
                  round_half_up(avg_int_exact("runs_scored")).alias("batting_avg"),
                  F.sum(F.when(F.col("format").isin(list(formats)), 1).otherwise(0)).alias("valid"))
             .filter(F.col("valid") >= min_valid)
@@ -472,11 +483,16 @@ def q25_quarterly_trend(tables: Tables, min_rows: int = 3) -> DataFrame:
     runs, 6 for the DECIMAL(5,2) rate.
     """
     pm = tables["player_match"].select("player_id", "match_date", "runs_scored", "strike_rate")
-    q = (pm.groupBy("player_id", F.year("match_date").alias("year"), F.quarter("match_date").alias("quarter"))
-         .agg(F.count(F.lit(1)).alias("n"),
-              avg_int_exact("runs_scored").alias("avg_runs"),
-              F.avg("strike_rate").alias("avg_sr"))
-         .filter(F.col("n") >= min_rows)
+    return trend_of_quarters(
+        pm.groupBy("player_id", F.year("match_date").alias("year"), F.quarter("match_date").alias("quarter"))
+        .agg(F.count(F.lit(1)).alias("n"),
+             avg_int_exact("runs_scored").alias("avg_runs"),
+             F.avg("strike_rate").alias("avg_sr")), min_rows)
+
+
+def trend_of_quarters(quarters: DataFrame, min_rows: int = 3) -> DataFrame:
+    """Q25 from per-quarter averages (player_id, year, quarter, n, avg_runs, avg_sr)."""
+    q = (quarters.filter(F.col("n") >= min_rows)
          .withColumn("quarter_index", F.col("year") * 4 + F.col("quarter"))
          # one range exchange on player_id serves both the per-player window
          # (clustered on player_id) and the final ORDER BY player_id, quarter

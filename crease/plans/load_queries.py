@@ -16,11 +16,14 @@ from crease import load
 from crease.operators import ingest as I
 from crease.operators import loads as L
 from crease.operators import products as P
+from crease.operators import states as S
 from crease.operators.changes import apply_changes
 from crease.operators.keys import consecutive_ids
+from crease.operators.upsert import read_upserted, upsert_rows
 from crease.operators.quality import check_castable, check_types, check_unique
 from crease.plans import nesting as N
-from crease.plans.oracle_sql import r2, with_tables
+from crease.plans.analytics import q20a_format_counts, trend_of_quarters
+from crease.plans.oracle_sql import ORACLE_QUERIES, r2, with_tables
 from crease.plans.registry import normalize_types
 from crease.session import shared_folder
 from crease.sources.documents import parse_documents, read_documents
@@ -344,7 +347,52 @@ def q_kept_rejects(spark: SparkSession, d: str) -> DataFrame:
             "kind", "reason", F.col("x.match_id").alias("id"), "x.player_id", "x.format", "x.line_number"))
 
 
+def _stored_states(spark: SparkSession, table: str, lines: DataFrame, keys: list[str], state_of) -> DataFrame:
+    """States stored for a first part of the lines, then refreshed for the periods of the rest."""
+    base = shared_folder(spark, "states")
+    later = F.col("player_id") % 3 == 0
+    upsert_rows(state_of(lines.where(~later | (F.dayofmonth("match_date") < 15))), base, table, keys, part_keys=["player_id"])
+    touched = lines.where(later).select("player_id", S.month_of("match_date").alias("month")).distinct()
+    S.refresh_states(lines.withColumn("month", S.month_of("match_date")), touched, state_of, base, table, keys)
+    return read_upserted(spark, base, table)
+
+
+def q_consistent_from_states(spark: SparkSession, d: str) -> DataFrame:
+    lines = fixture_tables(spark, d)["player_recent_form"]
+    states = _stored_states(spark, "form_states", lines, ["player_id", "month"], S.form_states)
+    return S.consistent_batsmen_from_states(states, lines, "1996-01-01")
+
+
+def q_consistent_from_a_broken_month(spark: SparkSession, d: str) -> DataFrame:
+    lines = fixture_tables(spark, d)["player_recent_form"]
+    states = _stored_states(spark, "form_states", lines, ["player_id", "month"], S.form_states)
+    return S.consistent_batsmen_from_states(states, lines, "1996-01-17")
+
+
+def q_trend_from_states(spark: SparkSession, d: str) -> DataFrame:
+    lines = fixture_tables(spark, d)["player_match"]
+    states = _stored_states(spark, "match_states", lines, ["player_id", "month"], S.match_states)
+    return trend_of_quarters(S.quarters_from_states(states))
+
+
+def q_matches_by_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct matches per player: exact, and whether both estimates (one pass, united states) are within 5 %."""
+    t = fixture_tables(spark, d)
+    exact = q20a_format_counts(t).select("player_id", "matches_played")
+    one = q20a_format_counts(t, approximate=True).select("player_id", F.col("matches_played").alias("once"))
+    bat = t["batting_stats"].join(t["matches"].select("match_id", F.year("match_date").alias("year")), "match_id", "left")
+    states = S.distinct_states(bat, ["player_id", "format", "year"], "match_id")
+    united = S.merge_distinct(states, ["player_id"]).select("player_id", F.col("distinct").alias("united"))
+    off = F.greatest(F.abs(F.col("once") - F.col("matches_played")), F.abs(F.col("united") - F.col("matches_played")))
+    return exact.join(one, "player_id").join(united, "player_id").select(
+        "player_id", "matches_played", (off <= 0.05 * F.col("matches_played")).alias("near"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "q19b_consistent_from_states": q_consistent_from_states,
+    "q19c_consistent_from_a_broken_month": q_consistent_from_a_broken_month,
+    "q25b_trend_from_states": q_trend_from_states,
+    "q20c_matches_by_sketch": q_matches_by_sketch,
     "i11b_load_batting_twice": q_load_batting,
     "i12b_load_bowling_twice": q_load_bowling,
     "i13b_load_player_match_twice": q_load_player_match,
@@ -534,6 +582,12 @@ SELECT * FROM (
          c_custkey AS id, c_name AS name, n_name AS country, CAST(FLOOR(c_acctbal) AS DOUBLE) AS rating
   FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 1)
 WHERE position <= 15""",
+    "q19b_consistent_from_states": ORACLE_QUERIES["q19_consistent_batsmen"],
+    "q19c_consistent_from_a_broken_month": ORACLE_QUERIES["q19_consistent_batsmen"].replace("1996-01-01", "1996-01-17"),
+    "q25b_trend_from_states": ORACLE_QUERIES["q25_quarterly_trend"],
+    "q20c_matches_by_sketch": """
+SELECT player_id, CAST(COUNT(DISTINCT match_id) AS BIGINT) AS matches_played, true AS near
+FROM batting_stats GROUP BY player_id""",
     "st1b_events_in_batches": _FIRST_VERSIONS,
     "st1c_events_by_keyed_state": _FIRST_VERSIONS,
     "r04_kept_rejects": f"""

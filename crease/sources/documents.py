@@ -109,6 +109,21 @@ def read_documents(spark: SparkSession, path: str | list[str], schema: StructTyp
     return parse_documents(text, "value", schema, on_error, keep=[DOC_ORDER] if with_order else None, observe=observe)
 
 
+def variant_fields(df: DataFrame, doc: str) -> DataFrame:
+    """The other columns of `df`, and key and value (text) of every field of its documents.
+
+    `doc` is JSON text or a VARIANT; keys need not be known before.  Nested
+    values are JSON text; a document that is no JSON object has no fields.
+    """
+    if dict(df.dtypes)[doc] == "string":
+        df = df.withColumn(doc, F.try_parse_json(doc))
+    rest = [F.col(f"`{c}`") for c in df.columns if c != doc]
+    packed = df.select(F.struct(*rest).alias("_rest"), F.col(doc).alias("_doc"))
+    spread = packed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_doc").outer()).alias("f"))
+    text = F.coalesce(F.try_variant_get("f.value", "$", "string"), F.to_json("f.value"))
+    return spread.where("f.key is not null").select("_rest.*", "f.key", text.alias("value"))
+
+
 NOT_JSON = "not a JSON object"
 
 
