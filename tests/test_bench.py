@@ -11,7 +11,7 @@ from crease.plans.analytics import ALL_QUERIES
 
 
 def test_bench_prints_one_json_line():
-    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2")
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_OPERATOR_SECONDS="5")
     out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], env=env, capture_output=True,
                          text=True, timeout=600, check=True).stdout.strip().splitlines()
     assert len(out) == 1
