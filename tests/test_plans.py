@@ -1,6 +1,7 @@
 """Plan shapes and properties of the analytic queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from crease.plans import analytics as A
@@ -144,3 +145,40 @@ def test_partitioned_layout_prunes_and_matches(spark, tmpdir_path):
         a = sorted(map(tuple, normalize_types(fn(src, **params)).collect()), key=repr)
         b = sorted(map(tuple, normalize_types(fn(part, **params)).collect()), key=repr)
         assert a == b, name
+
+
+def test_curve_clustering_skips_files_for_both_ranges(spark, tmpdir_path):
+    """Files and rows left by the footers' ranges for a date filter (Q16, Q19) and for a player filter."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from crease.sources.tables import CLUSTERING, write_clustered
+    prf = fixture_tables(spark, SF_SMALL)["player_recent_form"]
+    prf = prf.unionByName(prf).unionByName(prf).coalesce(2)
+    cols = CLUSTERING["player_recent_form"]
+    paths = {n: f"{tmpdir_path}/{n}" for n in ("plain", "clustered")}
+    prf.repartition(32).write.parquet(paths["plain"])
+    write_clustered(prf, paths["clustered"], cols, files=32)
+    since = sorted(r.match_date for r in prf.select("match_date").collect())[int(0.8 * prf.count())]
+    players = (20, 30)
+
+    def groups_met(path):
+        dates = ids = 0
+        for f in glob.glob(f"{path}/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            names = [meta.schema.column(k).name for k in range(meta.num_columns)]
+            for g in range(meta.num_row_groups):
+                stats = {n: meta.row_group(g).column(names.index(n)).statistics for n in cols}
+                dates += stats["match_date"].max >= since
+                ids += stats["player_id"].min <= players[1] and stats["player_id"].max >= players[0]
+        return dates, ids
+
+    plain, clustered = groups_met(paths["plain"]), groups_met(paths["clustered"])
+    assert clustered[0] < 0.6 * plain[0] and clustered[1] < 0.5 * plain[1]
+    both = [spark.read.parquet(p) for p in paths.values()]
+    for some in (F.col("match_date") >= since, F.col("player_id").between(*players)):
+        a, b = (sorted(x.where(some).select("player_id", "match_id", "match_date").collect()) for x in both)
+        assert a == b
+    read = both[1].where(F.col("match_date") >= since).select(F.input_file_name()).distinct().count()
+    assert read < 32
