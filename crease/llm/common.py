@@ -70,3 +70,17 @@ def shared_fs(path: str):
 def held_remainder(doc_id: str, parts: int):
     """crc32 of doc_id as text, modulo ``parts`` (null for a null doc_id)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+
+
+def whole_rows(docs: DataFrame, text: str, *more):
+    """The rows as struct ``doc`` beside ``more``, and a function that gives a record batch's texts.
+
+    The text travels once: a text column is read from the struct, one of another
+    type is cast and sent beside it.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if dict(docs.dtypes)[text] == "string":
+        at = docs.columns.index(text)
+        return docs.select(doc, *more), lambda batch: batch.column(0).field(at)
+    return docs.select(doc, *more, F.col(text).cast("string").alias("_text")), \
+        lambda batch: batch.column(batch.num_columns - 1)

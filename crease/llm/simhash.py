@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import stage
+from crease.llm.common import stage, whole_rows
 from crease.llm.components import components
 
 SEED = 42
@@ -148,12 +148,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2,
                 segments: int = 7, bucket_rows: int = 64) -> DataFrame:
     """One row of every component, with the columns of ``docs``: that with the smallest id (null ids last)."""
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                       F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    kept, texts = whole_rows(docs, text, F.monotonically_increasing_id().alias("row"))
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype="<u8").view("<i8")
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in texts(b)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc", "row", "fp"])
 
     # staged with row numbers: decisions are about rows, also where ids repeat or are null
