@@ -207,6 +207,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = fps.join(ring, "key").join(follow.withColumnRenamed("key", "next_key"), "next_key")
     same = reduce(Column.__and__, [F.col(a) == F.col(f"q{a}") for a in f])
     return rows.join(found, same, "left").select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex("edited_sha256")).alias("edited_sha256"), hexed(f).alias("fingerprint"),
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"), hexed(f).alias("fingerprint"),
         hexed(e).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, g).alias("near_next"),
         F.when(F.col("doc_id") % every == 0, F.col("n_within")).alias("n_within"))
