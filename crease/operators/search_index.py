@@ -19,9 +19,14 @@ from crease.operators.products import player_search
 def name_trigrams(players: DataFrame, name_col: str = "full_name") -> DataFrame:
     """(trigram, player_id), distinct; names of fewer than three characters have none."""
     name = players.select("player_id", F.lower(F.col(name_col)).alias("name")).where(F.length("name") >= 3)
-    at = F.sequence(F.lit(1), F.length("name") - 2)
-    grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("name"), i, F.lit(3))))
-    return name.select(F.explode(grams).alias("trigram"), "player_id").distinct()
+    # a player's names (mostly one) meet before they are cut: no task holds a table of the far more numerous trigrams
+    names = name.groupBy("player_id").agg(F.collect_set("name").alias("names"))
+
+    def cut(n):
+        return F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3)))
+
+    grams = F.array_distinct(F.flatten(F.transform("names", cut)))
+    return names.select(F.explode(grams).alias("trigram"), "player_id")
 
 
 def write_name_index(players: DataFrame, path: str, name_col: str = "full_name") -> None:
