@@ -89,7 +89,7 @@ def run(spark, kind: str, docs_path: str, tables: str, docs2: str | None = None,
         news = any(listed(path, name) for path, name in zip((docs2, docs3), names, strict=True))
         careers = [read(path, "career", name, [tuple(r) for r in list_files(spark, path, name).collect()] if news else [])
                    for path, name in zip((docs2, docs3), names, strict=True)]
-        reports = ingest_all(docs, *careers, tables)
+        reports = ingest_all(docs, *careers, tables, staged=True)
     else:
         reports = [L.load_player_match(docs, tables)]
     if ledger and loaded:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import ingest as I
-from crease.operators.keys import consecutive_ids, dedupe_all, met_rows, new_rows
-from crease.session import delete_folder, shared_folder
+from crease.operators.keys import consecutive_ids, fresh_rows, met_rows, new_rows
+from crease.session import delete_folder, is_small, shared_folder
 from crease.sources.schemas import table_schema
 from crease.sources.sinks import LoadReport, append_rows, conform, faulty_lines, keep_rejects, stage_lines
 from crease.sources.tables import load_table, path_exists
@@ -98,8 +98,10 @@ def _load_lines(lines: DataFrame, base_dir: str, table: str, keys: list[str]) ->
     """
     staged, path, bad = stage_lines(lines, table, I.FAULT)
     good = staged.where(F.col(I.FAULT) == "").drop(I.FAULT)
-    rows = dedupe_all(good.withColumn("stat_id", I.stat_id(*keys)), keys)
-    fresh = new_rows(rows, stored(lines.sparkSession, base_dir, table), keys, null_safe=True)
+    there = stored(lines.sparkSession, base_dir, table).select(*keys)
+    if is_small(staged):
+        there = met_rows(there, good, keys, null_safe=True)
+    fresh = fresh_rows(good, there, keys).withColumn("stat_id", I.stat_id(*keys))
     reports = [_with_player_stubs(good, base_dir), append_rows(fresh, base_dir, table, rejected=bad)]
     if bad:
         keep_rejects(faulty_lines(staged, I.FAULT), base_dir, table)
