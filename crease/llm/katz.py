@@ -60,6 +60,9 @@ BEGIN = LIMIT - 1  # number of the begin symbol
 #: what tasks exchange: a chunk, a bucket, and packed arrays
 PART = "chunk long, bucket int, kind string, a binary, b binary, c binary, d binary"
 NAMES = [x.split()[0] for x in PART.split(", ")]
+#: files of packed rows: compressed already, never equal, and so large that pages and row groups are measured at every row
+FILES = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1",
+         "parquet.block.size.row.check.min": "1"}
 
 
 def _frame(rows) -> pd.DataFrame:
@@ -444,28 +447,28 @@ def _totals(tables: DataFrame, column: str) -> tuple[dict[int, int], int]:
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, held: int = 2,
-          chunk_tokens: int = 1 << 21, bucket_pairs: int = 1 << 21) -> DataFrame:
+          chunk_tokens: int = 1 << 19, bucket_pairs: int = 1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    chunks, _ = stage(_chunks(docs, doc_id, text, parts, held, chunk_tokens), "katz-chunks")
+    chunks, _ = stage(_chunks(docs, doc_id, text, parts, held, chunk_tokens), "katz-chunks", **FILES)
     sums = chunks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
     if sums[0] is None:
         return docs.sparkSession.createDataFrame([], RESULT)
     buckets = max(8, min(sums[0] // bucket_pairs, 1 << 16))
 
     asked = chunks.select("chunk", "words", "sizes", "counts").mapInPandas(_ask_words(buckets), PART)
-    word_rows, _ = stage(asked.groupBy("bucket").applyInPandas(_count_words(buckets), PART), "katz-words")
+    word_rows, _ = stage(asked.groupBy("bucket").applyInPandas(_count_words(buckets), PART), "katz-words", **FILES)
     words, tokens = _totals(word_rows, "c")
 
     own = chunks.selectExpr("chunk", "-1 as bucket", "'chunk' as kind", "tokens as a", "docs as b", "ids as c",
                             "cast(null as binary) as d").unionByName(word_rows.where("kind = 'word'"))
     asked = own.groupBy("chunk").applyInPandas(_ask_pairs(buckets), PART)
-    pair_rows, _ = stage(asked.groupBy("bucket").applyInPandas(_count_pairs, PART), "katz-pairs")
+    pair_rows, _ = stage(asked.groupBy("bucket").applyInPandas(_count_pairs, PART), "katz-pairs", **FILES)
     pairs, _ = _totals(pair_rows, "b")
     model = Model(tokens, words, pairs, sums[1])
 
     told = own.unionByName(pair_rows.where("kind = 'pair'"))
-    part_rows, _ = stage(told.groupBy("chunk").applyInPandas(_ask_contexts(buckets, model), PART), "katz-partial")
+    part_rows, _ = stage(told.groupBy("chunk").applyInPandas(_ask_contexts(buckets, model), PART), "katz-partial", **FILES)
     asked = part_rows.where("kind = 'ask'").groupBy("bucket").applyInPandas(_sum_contexts, PART)
-    alphas, _ = stage(asked, "katz-contexts")
+    alphas, _ = stage(asked, "katz-contexts", **FILES)
     last = part_rows.where("kind = 'partial'").unionByName(alphas.where("kind = 'alpha'"))
     return last.groupBy("chunk").applyInPandas(_finish(model), RESULT)
