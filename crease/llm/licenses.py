@@ -19,6 +19,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +30,20 @@ from crease.llm.license_rules import Rule, rules
 
 #: the base phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: characters between words, one by one: a class of single characters is a look-up, one of ranges is not
+GAP = "[" + "".join(rf"\x{c:02X}" for c in range(0x80) if not chr(c).isalnum()) + "]"
+#: what stands between words, but for a single space, which can stay as it is
+UNEVEN = rf"{GAP}(?:(?<! )|(?={GAP})){GAP}*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def spread(lowered: Column) -> Column:
+    """'^ ' and each word of a lower-cased text with a space behind it."""
+    return F.concat(F.lit("^ "), F.ltrim(F.regexp_replace(F.concat(lowered, F.lit(" ")), UNEVEN, " ")))
+
+
 def canonical(text: Column) -> Column:
-    """'^ ' and each word with a space behind it."""
-    spaced = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " "))
-    return F.concat(F.lit("^ "), F.when(spaced == "", "").otherwise(F.concat(spaced, F.lit(" "))))
+    return spread(F.translate(text, UPPER, LOWER))
 
 
 def spaces(text: Column) -> Column:
@@ -57,15 +66,38 @@ def gates(phrases: dict[str, str], ordered: list[Rule]) -> list[list[list[str]]]
     return [[sorted(single)], *([sorted(a), sorted(b)] for a, b in double.items())]
 
 
-def _gate(words: str, phrases: dict[str, str], ordered: list[Rule]) -> Column:
+def any_of(words) -> str:
+    """Regex of the words (letters and digits) by their common beginnings; characters with the same rest share a class."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def regex(node: dict) -> str:
+        by_rest: dict[str, list[str]] = {}
+        for c in sorted(c for c in node if c):
+            by_rest.setdefault(regex(node[c]), []).append(c)
+        ways = [("".join(cs) if len(cs) == 1 else f"[{''.join(cs)}]") + rest for rest, cs in by_rest.items()]
+        if "" not in node:
+            return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:{'|'.join(ways)})?" if ways else ""
+
+    return regex(tree)
+
+
+def _gate(spaced: Column, phrases: dict[str, str], ordered: list[Rule]) -> Column:
+    """Whether the words of a text pass a gate, by literal patterns: no array of the words is made."""
+    def holds(words) -> Column:
+        return F.regexp_like(spaced, F.lit(f" {any_of(words)} "))
+
+    every = gates(phrases, ordered)
     out = F.lit(False)
-    for groups in gates(phrases, ordered):
-        every = F.lit(True)
-        for group in groups:
-            # a set of literals: a look-up for each word of the text, however many words the gate has
-            every = every & F.expr(f"exists({words}, w -> w in ({', '.join(map(repr, group))}))")
-        out = out | every
-    return out
+    for groups in every:
+        out = out | reduce(and_, map(holds, groups))
+    # most texts have no word of any gate's first group: one pass
+    return holds(sorted({w for first, *_ in every for w in first})) & out
 
 
 def _rule_groups(ordered: list[Rule]) -> Column:
@@ -91,17 +123,17 @@ def _lengths(canon: Column, ordered: list[Rule]) -> Column:
 
 def detections(scanned: DataFrame, ordered: list[Rule]) -> DataFrame:
     """row, start, stop (characters of canonical text), label, priority, weight of what is not suppressed."""
-    spark = scanned.sparkSession
-    table = spark.createDataFrame([(n, r.label, r.priority, r.weight) for n, r in enumerate(ordered)],
-                                  "n int, label string, priority int, weight double")
+    # the rules as literals: rows made on the driver would start Python workers on the executors
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"),
+                               F.lit(r.weight).alias("weight")) for r in ordered])
     each = scanned.select("row", F.explode("found").alias("f"))
     # the stretch behind a rule's last match has no match: posexplode of hits leaves it out
     each = each.select("row", "f.n", "f.gaps", F.posexplode("f.hits").alias("k", "hit"))
     each = each.select("row", "n", "k", "hit", F.expr("gaps[k]").alias("gap"))
     along = Window.partitionBy("row", "n").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     spans = each.select("row", "n", (F.sum(F.col("gap") + F.col("hit")).over(along)).alias("stop"), "hit")
-    spans = spans.select("row", "n", (F.col("stop") - F.col("hit")).alias("start"), "stop")
-    spans = spans.join(F.broadcast(table), "n")  # the rules: a few hundred rows
+    spans = spans.select("row", "n", (F.col("stop") - F.col("hit")).alias("start"), "stop", table[F.col("n")].alias("r"))
+    spans = spans.select("row", "n", "start", "stop", "r.label", "r.priority", "r.weight")
     before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.desc("priority"), "n") \
         .rowsBetween(Window.unboundedPreceding, -1)
     covered = F.lit(False)
@@ -119,12 +151,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # lower() also changes letters beyond A-Z, but never the places where words begin and end, nor an ASCII word
-    rows = rows.withColumn("words", F.split(F.lower("text"), GAP, -1))
-    # a gap at either end leaves an empty string there
-    empty = F.when(F.col("words")[0] == "", 1).otherwise(0) \
-        + F.when((F.element_at("words", -1) == "") & (F.size("words") > 1), 1).otherwise(0)
-    rows = rows.select("row", "doc_id", (F.size("words") - empty).cast("long").alias("n_words"),
-                       F.when(_gate("words", phrases, ordered), canonical(F.col("text"))).alias("canon"))
+    rows = rows.withColumn("spaced", spread(F.lower("text")))
+    rows = rows.select("row", "doc_id", (spaces(F.col("spaced")) - 1).cast("long").alias("n_words"),
+                       F.when(_gate(F.col("spaced"), phrases, ordered), canonical(F.col("text"))).alias("canon"))
     canon = F.col("canon")
     either = F.lit("(?= (?:" + "|".join(phrases) + ") )")
     places = {p: F.regexp_count(canon, F.lit(f"(?= {p} )")) for p in phrases}

@@ -103,3 +103,29 @@ def test_every_signature_passes_gate_and_prefilter(workers):
     lost = [(r, t) for (r, t), (_, score) in zip(cases, found(workers, [t for _, t in cases]), strict=True)
             if score < min(r.weight, 0.99)]
     assert not lost
+
+
+def test_words_as_a_pattern_match_nothing_else():
+    words = ["gpl", "gplv", "gplv2", "gpl2", "lgpl", "0", "©", "©1999"]
+    near = [w + c for w in words for c in "v2 "] + [w[1:] for w in words] + [w[:-1] for w in words]
+    for one in (words, words[:1], words[:2]):
+        assert [w for w in {*words, *near} if re.fullmatch(licenses.any_of(one), w) and w not in one] == []
+        assert all(re.fullmatch(licenses.any_of(one), w) for w in one)
+
+
+def test_gaps_of_all_kinds(workers):
+    texts = ["", " ", "-", " - ", "a", " a", "a ", "\ta\n", "a--b", "a - b", "a  b c", "^gpl^", "İ gpl\r\n\r\nv3 İ",
+             "\x00mit\x7f license", "CC-BY\t4.0", "x  all  rights\nreserved."]
+    df = workers.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.first_word, r.labels) for r in licenses.scan(df).collect())
+    own = {11: "gpl", 12: "gpl-3.0", 13: "mit", 14: "cc-by", 15: "reserved"}
+    first = {14: 0, 15: 1}
+    assert got == [(i, len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)), first.get(i), own.get(i, ""))
+                   for i, t in enumerate(texts)]
+
+
+def test_rules_take_no_rows_of_the_driver(workers):
+    """Such rows start Python workers on every executor, which stay in its memory."""
+    df = workers.createDataFrame([(1, "under GPL")], "doc_id long, text string")
+    plan = licenses.scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "LogicalRDD" not in plan and "broadcast" not in plan.lower()
