@@ -32,6 +32,10 @@ the chunk, so a frequent word or pair is pre-aggregated before every shuffle,
 and a frequent context's pairs are spread over all buckets.  Every pair is
 owned by the first chunk that trains it, which counts it into its context.
 Nothing corpus-wide reaches the driver but totals and counts of counts.
+Numbers travel as small integers: a chunk's words in the order of their
+numbers, so that differences are sent, and a context's masses as how many
+counts of each size they come from.  Files that no later step reads are
+deleted once the scores but for alphas are written.
 
 Defined cases: null text is empty, and scored as its end token; null doc_ids
 train (their remainder is unknown, so they are not held out) and are scored;
@@ -52,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crease.llm.common import held_remainder, stage
+from crease.llm.common import discard, held_remainder, stage
 
 END = b" "  # no word has a space in it
 LIMIT = 1 << 32
@@ -122,6 +126,21 @@ def discounted(counts, d: list[float]):
     return np.where(low, table[np.where(low, c, 0).astype(np.int64)] * c, c - k * (1 - d[k]))
 
 
+def _tally(place, counts, size: int, d: list[float]):
+    """For each of ``size`` places: how many of its positive counts are 1..k, how many are larger, and the sum of these."""
+    k = len(d) - 1
+    many = np.bincount(place * (k + 1) + np.minimum(counts, k + 1) - 1, minlength=size * (k + 1))
+    large = counts > k
+    return many.reshape(size, k + 1).T, np.bincount(place[large], counts[large], size).astype(np.int64)
+
+
+def _tallied(many, rest, d: list[float]):
+    """Sum of :func:`discounted` over each place's counts."""
+    k = len(d) - 1
+    lost = k * (1 - d[k]) if k else 0.5
+    return (np.array(d[1:]) * np.arange(1, k + 1)) @ many[:k] + rest - many[k] * lost
+
+
 # ---------------------------------------------------------------- chunks
 
 CHUNK = ("chunk long, tokens binary, docs binary, ids binary, words binary, sizes binary, counts binary, "
@@ -221,12 +240,16 @@ def _count_words(buckets: int):
         ranked = sorted(total, key=lambda w: (-total[w], w))
         if len(ranked) * buckets >= LIMIT:
             raise OverflowError("more distinct words than 32-bit numbers")
-        number = {w: k * buckets + bucket for k, w in enumerate(ranked)}
+        rank = {w: k for k, w in enumerate(ranked)}
+        counts = np.fromiter((total[w] for w in ranked), np.int64, len(ranked))
         out = [(-1, bucket, "table", zlib.compress(b"".join(ranked), 1), _pack([len(w) for w in ranked], "<i4"),
-                _pack([total[w] for w in ranked], "<i8"))]
+                _pack(counts, "<i8"))]
         for chunk, words, at in asked:
-            out.append((chunk, bucket, "word", at, _pack([number[w] for w in words], "<u4"),
-                        _pack([total[w] for w in words], "<i8")))
+            ranks = np.fromiter((rank[w] for w in words), np.int64, len(words))
+            order = np.argsort(ranks)
+            ranks = ranks[order]
+            out.append((chunk, bucket, "word", _pack(_unpack(at, "<i4")[order], "<i4"),
+                        _pack(np.diff(ranks, prepend=0), "<u4"), _pack(-np.diff(counts[ranks], prepend=0), "<i8")))
         return _frame(out)
 
     return run
@@ -241,25 +264,25 @@ def _by_kind(rows: pd.DataFrame) -> dict[str, list]:
     return out
 
 
-def _numbers(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Global number and training count of each local word."""
-    got = [(_unpack(r.a, "<i4"), _unpack(r.b, "<u4"), _unpack(r.c, "<i8")) for r in rows]
-    n = sum(len(at) for at, _, _ in got)
+def _numbers(rows, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Global number (its rank in its bucket times the buckets, and the bucket) and training count of each local word."""
+    got = [(r.bucket, _unpack(r.a, "<i4"), _unpack(r.b, "<u4"), _unpack(r.c, "<i8")) for r in rows]
+    n = sum(len(at) for _, at, _, _ in got)
     number, count = np.zeros(n, "<u4"), np.zeros(n, "<i8")
-    for at, numbers, counts in got:
-        number[at], count[at] = numbers, counts
+    for bucket, at, ranks, falls in got:
+        number[at], count[at] = np.cumsum(ranks, dtype=np.int64) * buckets + bucket, -np.cumsum(falls)
     return number, count
 
 
 class _Chunk:
     """A chunk's positions as distinct pairs of context and token."""
 
-    def __init__(self, parts):
+    def __init__(self, parts, buckets: int = 1):
         row = parts["chunk"][0]
         self.tokens = _unpack(row.a, "<i4").astype(np.int64)
         self.held, self.lengths = _unpack(row.b, "<i4").reshape(2, -1).astype(np.int64)
         self.ids = row.c
-        self.numbers, self.counts = _numbers(parts["word"])
+        self.numbers, self.counts = _numbers(parts["word"], buckets)
         n = self.n = len(self.numbers)  # local number of the begin symbol
         self.starts = np.cumsum(self.lengths) - self.lengths
         context = np.r_[n, self.tokens[:-1]]
@@ -272,7 +295,7 @@ class _Chunk:
 
 def _ask_pairs(buckets: int):
     def run(key, f):
-        chunk = _Chunk(_by_kind(f))
+        chunk = _Chunk(_by_kind(f), buckets)
         train = np.repeat(chunk.held == 0, chunk.lengths)
         trained = np.bincount(chunk.place[train], minlength=len(chunk.keys))
         order = np.argsort(chunk.keys)
@@ -345,7 +368,7 @@ def _ask_contexts(buckets: int, model: Model):
 
     def run(key, f):
         parts = _by_kind(f)
-        chunk = _Chunk(parts)
+        chunk = _Chunk(parts, buckets)
         count, owns = _answers(parts["pair"], chunk.keys, buckets)
         n, docs = chunk.n, len(chunk.lengths)
         p1 = model.unigram(chunk.counts)
@@ -355,8 +378,8 @@ def _ask_contexts(buckets: int, model: Model):
         logs = np.log10(np.where(count > 0, seen, p1[chunk.token]))
         base = np.log10((chunk.counts + 1) / (model.tokens + 1 * (model.words + 1)))
 
-        kept = np.bincount(chunk.context[owns], discounted(count[owns], model.d2), n + 1)
-        share = np.bincount(chunk.context[owns], p1[chunk.token[owns]], n + 1)
+        pairs, large = _tally(chunk.context[owns], count[owns], n + 1, model.d2)
+        words, frequent = _tally(chunk.context[owns], chunk.counts[chunk.token[owns]], n + 1, model.d1)
         backs_off = (count == 0) & known_context
         asks, gives = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
         asks[chunk.context[backs_off]] = True
@@ -373,35 +396,44 @@ def _ask_contexts(buckets: int, model: Model):
 
         at = np.flatnonzero(asks | gives)
         at = at[np.argsort(chunk.globals[at])]
-        names, total = chunk.globals[at], np.where(at < n, of_context[at], model.documents)
-        sums = np.stack([kept[at], share[at], total])
+        names = chunk.globals[at]
+        many = np.concatenate([pairs, words])[:, at]
+        # whoever asks for a context's alpha relies on its owners for its count
+        sums = np.stack([large[at], frequent[at], np.where(gives[at], of_context[at].astype(np.int64), 0)])
         slots = np.where(asks[at], slot[at], -1)
         where = (_mix(names) % np.uint64(buckets)).astype(np.int64)
-        rows += _buckets(key[0], where, buckets, lambda x: _pack_sorted(names[x]),
-                         lambda x: _pack(sums[:, x], "<f8"), lambda x: _pack(slots[x], "<i4"))
+        rows += _buckets(key[0], where, buckets, lambda x: _pack_sorted(names[x]), lambda x: _pack(many[:, x], "<i4"),
+                         lambda x: _pack(slots[x], "<i4"), lambda x: _pack(sums[:, x], "<i8"))
         return _frame(rows)
 
     return run
 
 
-def _sum_contexts(key, f):
+def _sum_contexts(model: Model):
     """Alpha of every context in the bucket, and of those that a chunk asked for, by its slots."""
-    f = f.sort_values("chunk")
-    names = [_unpack_sorted(x) for x in f.a]
-    cuts = np.cumsum([0, *map(len, names)])
-    kept, share, count = np.concatenate([_unpack(x, "<f8").reshape(3, -1) for x in f.b], axis=1)
-    distinct, place = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.zeros(len(distinct))
-    total[place] = count
-    kept, share = np.bincount(place, kept, len(distinct)), np.bincount(place, share, len(distinct))
-    alpha = (1 - kept / total) / (1 - share)
-    out = [(-1, key[0], "table", _pack_sorted(distinct), _pack(alpha, "<f8"))]
-    for k, row in enumerate(f.itertuples(index=False)):
-        slots = _unpack(row.c, "<i4")
-        if (slots >= 0).any():
-            out.append((row.chunk, key[0], "alpha", _pack(slots[slots >= 0], "<i4"),
-                        _pack(alpha[place[cuts[k]:cuts[k + 1]][slots >= 0]], "<f8")))
-    return _frame(out)
+
+    def run(key, f):
+        f = f.sort_values("chunk")
+        names = [_unpack_sorted(x) for x in f.a]
+        cuts = np.cumsum([0, *map(len, names)])
+        distinct, place = np.unique(np.concatenate(names), return_inverse=True)
+        kept, share, total = np.zeros((3, len(distinct)))
+        for k, row in enumerate(f.itertuples(index=False)):
+            at = place[cuts[k]:cuts[k + 1]]  # a chunk has each context once
+            many, sums = _unpack(row.b, "<i4").reshape(-1, len(at)), _unpack(row.d, "<i8").reshape(3, -1)
+            kept[at] += _tallied(many[:len(model.d2)], sums[0], model.d2)
+            share[at] += _tallied(many[len(model.d2):], sums[1], model.d1) / model.tokens
+            total[at] = np.maximum(total[at], sums[2])
+        alpha = (1 - kept / total) / (1 - share)
+        out = [(-1, key[0], "table", _pack_sorted(distinct), _pack(alpha, "<f8"))]
+        for k, row in enumerate(f.itertuples(index=False)):
+            slots = _unpack(row.c, "<i4")
+            if (slots >= 0).any():
+                out.append((row.chunk, key[0], "alpha", _pack(slots[slots >= 0], "<i4"),
+                            _pack(alpha[place[cuts[k]:cuts[k + 1]][slots >= 0]], "<f8")))
+        return _frame(out)
+
+    return run
 
 
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -449,26 +481,27 @@ def _totals(tables: DataFrame, column: str) -> tuple[dict[int, int], int]:
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, held: int = 2,
           chunk_tokens: int = 1 << 19, bucket_pairs: int = 1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    chunks, _ = stage(_chunks(docs, doc_id, text, parts, held, chunk_tokens), "katz-chunks", **FILES)
+    chunks, chunk_files = stage(_chunks(docs, doc_id, text, parts, held, chunk_tokens), "katz-chunks", **FILES)
     sums = chunks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
     if sums[0] is None:
         return docs.sparkSession.createDataFrame([], RESULT)
     buckets = max(8, min(sums[0] // bucket_pairs, 1 << 16))
 
     asked = chunks.select("chunk", "words", "sizes", "counts").mapInPandas(_ask_words(buckets), PART)
-    word_rows, _ = stage(asked.groupBy("bucket").applyInPandas(_count_words(buckets), PART), "katz-words", **FILES)
+    word_rows, word_files = stage(asked.groupBy("bucket").applyInPandas(_count_words(buckets), PART), "katz-words", **FILES)
     words, tokens = _totals(word_rows, "c")
 
     own = chunks.selectExpr("chunk", "-1 as bucket", "'chunk' as kind", "tokens as a", "docs as b", "ids as c",
                             "cast(null as binary) as d").unionByName(word_rows.where("kind = 'word'"))
     asked = own.groupBy("chunk").applyInPandas(_ask_pairs(buckets), PART)
-    pair_rows, _ = stage(asked.groupBy("bucket").applyInPandas(_count_pairs, PART), "katz-pairs", **FILES)
+    pair_rows, pair_files = stage(asked.groupBy("bucket").applyInPandas(_count_pairs, PART), "katz-pairs", **FILES)
     pairs, _ = _totals(pair_rows, "b")
     model = Model(tokens, words, pairs, sums[1])
 
     told = own.unionByName(pair_rows.where("kind = 'pair'"))
     part_rows, _ = stage(told.groupBy("chunk").applyInPandas(_ask_contexts(buckets, model), PART), "katz-partial", **FILES)
-    asked = part_rows.where("kind = 'ask'").groupBy("bucket").applyInPandas(_sum_contexts, PART)
+    discard(docs.sparkSession, chunk_files, word_files, pair_files)
+    asked = part_rows.where("kind = 'ask'").groupBy("bucket").applyInPandas(_sum_contexts(model), PART)
     alphas, _ = stage(asked, "katz-contexts", **FILES)
     last = part_rows.where("kind = 'partial'").unionByName(alphas.where("kind = 'alpha'"))
     return last.groupBy("chunk").applyInPandas(_finish(model), RESULT)
