@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from crease.llm.common import stage, whole_rows
+from crease.llm.common import stage
 from crease.llm.components import components
 
 SEED = 42
@@ -56,16 +57,21 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+def _fingerprinted(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with the text in their last column replaced by fp, its fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.columns[-1]], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], [*b.schema.names[:-1], "fp"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("fp", LongType())]))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    return _fingerprinted(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+                                      F.col(text).cast("string").alias("text")), shingle)
 
 
 def ring(max_bits: int, segments: int) -> tuple[list[list[int]], list[int]]:
@@ -148,17 +154,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2,
                 segments: int = 7, bucket_rows: int = 64) -> DataFrame:
     """One row of every component, with the columns of ``docs``: that with the smallest id (null ids last)."""
-    kept, texts = whole_rows(docs, text, F.monotonically_increasing_id().alias("row"))
-
-    def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in texts(b)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc", "row", "fp"])
-
     # staged with row numbers: decisions are about rows, also where ids repeat or are null
-    rows, _ = stage(kept.mapInArrow(run, f"doc {kept.schema['doc'].dataType.simpleString()}, row long, fp long"),
-                    "simhash-docs")
-    light = rows.select("row", "fp", F.col(f"doc.{doc_id}").alias("id"))
+    rows, _ = stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                                F.monotonically_increasing_id().alias("row")), "simhash-docs")
+    # whole rows stay in the JVM: no task holds them for Python, back from Python and for a file at once
+    light, _ = stage(_fingerprinted(rows.select("row", F.col(f"doc.`{doc_id}`").alias("id"),
+                                                F.col(f"doc.`{text}`").cast("string").alias("text")), shingle), "simhash")
     named = roots(light, max_bits, segments, bucket_rows)
     first = light.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).join(named, "fp")
     keep = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
