@@ -6,7 +6,7 @@ three characters, five at most, a pair weighs three.  Every term is hashed to
 ``64 * WORDS`` bits, and each hash votes on every bit with its term's weight:
 a bit is 1 if more than half of the weight votes for it.  Votes are plain sums:
 bits j, j + 16, j + 32 and j + 48 of a hash are added as the four 16-bit lanes of
-one long, for stretches of 4096 words, which are then added in 32-bit lanes that
+one long, for stretches of 2048 words, which are then added in 32-bit lanes that
 hold any text that a row can.
 
 :func:`within` finds the fingerprints within ``radius`` bits of each query: the
@@ -43,7 +43,7 @@ from crease.operators.keys import consecutive_ids
 
 WORDS = 4
 LONGEST, FREE, MOST, PAIR = 16, 3, 5, 3
-STRETCH = 4096  # words whose weights fit a 16-bit lane
+STRETCH = 2048  # words whose weights fit a 16-bit lane, also the uppermost one, which has the sign
 ONES = sum(1 << k for k in (0, 16, 32, 48))
 WIDE = 0xFFFF | 0xFFFF << 32
 WORD = rf"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{1,{LONGEST}}}"

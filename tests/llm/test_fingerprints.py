@@ -114,6 +114,13 @@ def test_cases(workers):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"ono").hexdigest()
 
 
+def test_long_words_all_the_way(workers):
+    # every word weighs the most that it can, and all vote alike: the lanes of a stretch are as full as they get
+    docs = [(0, "thesedly " * 4_200), (1, "a" * 70_000), (50, "Pneumonia, gammatron " * 2_100), (2, "short")]
+    df = workers.createDataFrame(docs, "doc_id long, text string")
+    check([tuple(r) for r in fingerprints.fingerprint_edits(df).collect()], docs)
+
+
 @pytest.mark.parametrize("radius, blocks", [(0, 1), (3, 4), (3, 5), (7, 8)])
 def test_block_tables_find_all(workers, radius, blocks):
     import random
