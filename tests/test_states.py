@@ -10,7 +10,7 @@ from crease.operators import states as S
 from crease.operators.products import player_search
 from crease.operators.search_index import indexed_search, name_trigrams
 from crease.operators.upsert import read_upserted, upsert_rows
-from crease.sources.documents import variant_fields
+from crease.sources.documents import variant_fields, variant_numbers
 
 
 def test_merged_moments_equal_the_direct_ones(spark):
@@ -78,3 +78,23 @@ def test_free_keys_of_documents(spark):
     got = {(r.id, r.key): r.value for r in variant_fields(df, "doc").collect()}
     assert got == {(1, "a"): "1", (1, "b"): '{"c":[1,"x"]}', (1, "n"): got[1, "n"], (6, "z"): "t"}
     assert got[1, "n"] in (None, "null")
+
+
+def test_numbers_of_documents_by_path(spark):
+    df = spark.createDataFrame([(1, '{"a": "1.5", "t": [{"b": 2, "c": "x"}, {"b": "3"}], "n": null, "f": true}'), (2, "7"),
+                                (3, '{"e": {}, "l": [], "m": [4, "-5"]}'), (4, None)], "id int, doc string")
+    got = variant_numbers(df.withColumn("doc", F.parse_json("doc")), "doc", 3).collect()
+    assert {(r.id, r.key): r.value for r in got} == {(1, "a"): 1.5, (1, "t[0].b"): 2.0, (1, "t[1].b"): 3.0, (2, ""): 7.0,
+                                                     (3, "m[0]"): 4.0, (3, "m[1]"): -5.0}
+    assert len(got) == 6
+
+
+def test_all_numbers_of_career_entries(spark):
+    from conftest import SF_SMALL
+    from crease.plans.product_queries import product_queries
+
+    keys = product_queries()["x24b_stat_variants"](spark, SF_SMALL)
+    keys = {(r.kind, r.key) for r in keys.select("kind", F.regexp_replace("key", r"\[\d+\]", "").alias("key")).distinct().collect()}
+    assert keys == {("batting", k) for k in ("runs", "average", "strikeRate", "hundreds", "matches", "innings",
+                                             *(f"timeline.{k}" for k in ("year", "month", "runs", "strikeRate", "matches")))} \
+        | {("bowling", k) for k in ("wickets", "average", "economyRate")}
